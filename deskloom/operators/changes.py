@@ -81,17 +81,22 @@ def _editable(tickets: DataFrame) -> dict[str, Column]:
     return {c: v for c, v in values.items() if c in tickets.columns}
 
 
-def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
-    """All tickets, with the last accepted edit applied. Write it as a new snapshot.
+def _with_edits(tickets: DataFrame, edits: DataFrame, order: list[str], how: str) -> DataFrame:
+    """Tickets with their last accepted edit as struct ``edit``.
 
     Both sides have one row per key here, so the join has no hot keys.
     """
     key = key_column(tickets)
     last = last_edits(check_edits(edits), key, order)
     packed = last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
+    return tickets.join(packed, key, how)
+
+
+def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """All tickets, with the last accepted edit applied. Write it as a new snapshot."""
     values = _editable(tickets)
     matched = F.col("edit").isNotNull()
-    return tickets.join(packed, key, "left").select(
+    return _with_edits(tickets, edits, order, "left").select(
         *[
             F.when(matched, values[f.name]).otherwise(quoted(f.name)).cast(f.dataType).alias(f.name)
             if f.name in values
@@ -114,23 +119,17 @@ def apply_deletes(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 _COMPARED = ("store_name", "subject", "job_order", "status", "contact_number", "email")
 
 
-def _record_fields(df: DataFrame) -> dict[str, Column]:
+def _record(df: DataFrame) -> Column:
+    """One side of a change record."""
     fields = {c: read_field(df, c) for c in _COMPARED}
     fields["status"] = status_choice(fields["status"])
     fields["assigned"] = read_field(df, "assigned_it")
-    return fields
+    return F.struct(*[v.alias(c) for c, v in fields.items()])
 
 
-def diff_tickets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Change records: old and new values of tickets that differ in at least one of them."""
-    key = key_column(old)
-    sides = []
-    for df, prefix in ((old, "old"), (new, "new")):
-        fields = _record_fields(df)
-        sides.append(df.select(quoted(key), F.struct(*[v.alias(c) for c, v in fields.items()]).alias(prefix)))
-    changed = sides[0].join(sides[1], key).where(~F.col("old").eqNullSafe(F.col("new")))
+def _records(sides: DataFrame, key: str) -> DataFrame:
     pairs = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in _COMPARED for side in ("old", "new")]
-    return changed.select(
+    return sides.where(~F.col("old").eqNullSafe(F.col("new"))).select(
         key,
         *pairs,
         F.col("old.assigned").alias("old_assigned_it"),
@@ -138,6 +137,24 @@ def diff_tickets(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def diff_tickets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Change records between two snapshots: tickets that differ in at least one field."""
+    key = key_column(old)
+    before = old.select(quoted(key), _record(old).alias("old"))
+    after = new.select(quoted(key), _record(new).alias("new"))
+    return _records(before.join(after, key), key)
+
+
+def update_records(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """The change records an update leaves, from one join instead of two snapshots."""
+    key = key_column(tickets)
+    matched = _with_edits(tickets, edits, order, "inner")
+    values = _editable(tickets)
+    old = matched.withColumn("old", _record(tickets))
+    new = old.withColumns({c: v.cast(data_type(tickets, c)) for c, v in values.items()})
+    return _records(new.withColumn("new", _record(new)), key)
+
+
 def status_transitions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Tickets whose status choice changed, with the confirmation's ``from X to Y``."""
     key = key_column(old)

@@ -396,6 +396,7 @@ ORACLE_SQL: dict[str, str] = {
         "tickets deletes", "select * from tickets where ticket_no not in (select ticket_no from deletes)"
     ),
     "diff_tickets": _sql("tickets edits", f"{_UPDATES}, {_DIFF}"),
+    "update_records": _sql("tickets edits", f"{_UPDATES}, {_DIFF}"),
     "status_transitions": _sql(
         "tickets edits",
         f"{_UPDATES}, before as (select ticket_no, {_bucket('Pending', 'Ongoing', 'Completed')} as label from tickets), "

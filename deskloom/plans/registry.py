@@ -232,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "rejected_edits": _on("edits", lambda df: C.rejected_edits(df, EDIT_ORDER)),
     "apply_deletes": _on_two("tickets", "deletes", lambda t, d: C.apply_deletes(t, d, "ticket_no")),
     "diff_tickets": _change_rows(C.diff_tickets),
+    "update_records": _on_two("tickets", "edits", lambda t, e: C.update_records(t, e, EDIT_ORDER)),
     "status_transitions": _change_rows(C.status_transitions),
     # People
     "user_list": _on("users", U.user_list),

@@ -47,9 +47,11 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Fix the rows of ``df`` on reliable storage, so that later plans all see the same ones."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """Fix the rows of ``df`` as a table in the shared folder, so that all later plans see the same.
+
+    A table, unlike a checkpoint, lets later plans read single columns and know sizes.
+    """
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
