@@ -114,7 +114,7 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
 
     Authority is judged against ``users`` as they are before the batch.
     """
-    known = users.select("id", F.col("role").alias("_old"))
+    known = users.select("id", F.col("role").alias("_old"), F.lit(True).alias("_known"))
     joined = edits.join(known, "id", "left")
     role = P.norm_role(F.coalesce(truthy(F.col("role")), F.col("_old")), F.col("_old"))
     cleaned = joined.withColumns(
@@ -123,7 +123,7 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
             "last_name": strip(F.col("last_name")),
             "role": role,
             "is_active": F.col("is_active") == "1",
-            "_manage": P.can_manage(F.col("actor_role"), F.col("_old")),
+            "_manage": F.col("_known").isNotNull() & P.can_manage(F.col("actor_role"), F.col("_old")),
         }
     )
     missing = truthy(F.col("first_name")).isNull() | truthy(F.col("last_name")).isNull()
@@ -132,7 +132,7 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
         .when(~P.can_set_role(F.col("actor_role"), F.col("role")), _ROLE)
         .when(missing, "First name and last name are required.")
     )
-    return cleaned.withColumn("error", error).drop("_old", "_manage")
+    return cleaned.withColumn("error", error).drop("_old", "_known", "_manage")
 
 
 def apply_user_updates(users: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
@@ -172,9 +172,11 @@ def check_user_deletes(requests: DataFrame, users: DataFrame) -> DataFrame:
     If the batch would take the last super admin, the request that would do so is refused.
     """
     actors = users.select(F.col("id").alias("actor_id"), F.col("role").alias("actor_role"))
-    targets = users.select(F.col("id").alias("target_id"), F.col("role").alias("target_role"))
+    targets = users.select(
+        F.col("id").alias("target_id"), F.col("role").alias("target_role"), F.lit(True).alias("_known")
+    )
     joined = requests.join(actors, "actor_id", "left").join(targets, "target_id", "left")
-    found = F.col("target_role").isNotNull() & P.can_manage(F.col("actor_role"), F.col("target_role"))
+    found = F.col("_known").isNotNull() & P.can_manage(F.col("actor_role"), F.col("target_role"))
     error = F.when(F.col("actor_id") == F.col("target_id"), _SELF).when(~found, _NO_DELETE)
     checked = joined.withColumn("error", error)
     taken = (

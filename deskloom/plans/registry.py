@@ -29,7 +29,7 @@ from deskloom.streaming.audit_stream import write_available
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = "2026-01-01 00:00:00"
-DAY = "1998-10-03"
+DAY = "1998-04-01"
 EDIT_ORDER = ["seq", "seq2"]
 
 

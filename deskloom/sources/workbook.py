@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,9 @@ FIELDS = (
     "labor_fee",
 )
 _SCHEMA = "file string, row_num bigint, " + ", ".join(f"{f} string" for f in FIELDS) + ", error string"
+_ARROW = pa.schema(
+    [("file", pa.string()), ("row_num", pa.int64()), *[(f, pa.string()) for f in FIELDS], ("error", pa.string())]
+)
 _BATCH = 10_000
 
 # Namespaces of the workbook format.
@@ -128,26 +131,25 @@ def _decode(file: str, content: bytes) -> Iterator[dict]:
         yield record
 
 
-def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file", "row_num", *FIELDS, "error"]
+def _decode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            rows: list[dict] = []
+            path, rows = file.as_py(), []
             try:
-                for record in _decode(file, content):
+                for record in _decode(path, content.as_py()):
                     rows.append(record)
                     if len(rows) >= _BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
                         rows = []
             except Exception as problem:  # a broken file is refused, the others go on
-                rows.append({"file": file, "row_num": 0, "error": f"Error reading Excel file: {problem}"})
+                rows.append({"file": path, "row_num": 0, "error": f"Error reading Excel file: {problem}"})
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
     """Rows of workbooks given as (path, content)."""
-    return files.select("path", "content").mapInPandas(_decode_files, _SCHEMA)
+    return files.select("path", "content").mapInArrow(_decode_files, _SCHEMA)
 
 
 def read_ticket_workbooks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,159 @@
+"""Ticket edits, deletes, change records and user requests on small frames."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from deskloom.operators import changes as C
+from deskloom.operators import people as U
+from deskloom.sources.tables import jdbc_options, select_users
+
+EDIT = "ticket_no int, seq int, store_name string, contact_number string, email string, subject string, job_order string, reported_concern string, assigned_to string, status string, service_done string, labor_fee string"
+
+
+@pytest.fixture
+def tickets(spark):
+    rows = [(1, "Uno", "Printer", "pending", "jo-0001"), (2, "Dos", "Screen", "ongoing", "jo-0002"), (3, "Tres", "Mouse", "x", None)]
+    df = spark.createDataFrame(rows, "ticket_no int, store_name string, subject string, status string, job_order string")
+    extra = {c: F.lit("old") for c in ("contact_number", "email", "concern", "assigned_it", "service_done")}
+    return df.withColumns({**extra, "labor_fee": F.lit(1).cast("decimal(10,2)"), "other": F.lit("kept")})
+
+
+@pytest.fixture
+def edits(spark):
+    return spark.createDataFrame(
+        [
+            (1, 1, "first", "", "", "", "", "", "", "weird", "", ""),
+            (1, 2, " last ", "1", "", "Printer", "jo-0001", "c", "Ann", " COMPLETE ", "done", "2.5"),
+            (1, 3, "x" * 46, "", "", "", "", "", "", "", "", ""),
+            (1, 4, "bad fee", "", "", "", "", "", "", "", "", "much"),
+            (3, 1, "", None, "", "", "", "", "", None, "", " "),
+            (9, 1, "nobody", "", "", "", "", "", "", "", "", ""),
+        ],
+        EDIT,
+    )
+
+
+def test_last_accepted_edit_replaces_all_fields(tickets, edits):
+    rows = {r["ticket_no"]: r.asDict() for r in C.apply_updates(tickets, edits, ["seq"]).collect()}
+    assert sorted(rows) == [1, 2, 3]
+    assert rows[2] == tickets.where("ticket_no = 2").first().asDict()
+    assert rows[1]["store_name"] == "last" and rows[1]["email"] is None and rows[1]["status"] == "completed"
+    assert rows[1]["labor_fee"] == Decimal("2.50") and rows[1]["concern"] == "c" and rows[1]["assigned_it"] == "Ann"
+    assert rows[3]["store_name"] is None and rows[3]["status"] == "pending" and rows[3]["labor_fee"] is None
+    assert {r["other"] for r in rows.values()} == {"kept"}
+    errors = [(r["seq"], r["error"]) for r in C.rejected_edits(edits, ["seq"]).orderBy("seq").collect()]
+    assert errors == [(3, "Data too long for column store_name"), (4, "Incorrect decimal value for labor_fee")]
+
+
+def test_update_without_concern_column_packs_the_block(tickets, edits):
+    old = tickets.drop("concern")
+    rows = {r["ticket_no"]: r["assigned_it"] for r in C.apply_updates(old, edits, ["seq"]).collect()}
+    assert rows == {1: "Contact: 1\nReported concern: c\nAssigned to: Ann", 2: "old", 3: "Reported concern: "}
+
+
+def test_change_records(tickets, edits):
+    new = C.apply_updates(tickets, edits, ["seq"])
+    records = {r["ticket_no"]: r for r in C.diff_tickets(tickets, new).collect()}
+    assert sorted(records) == [1, 3]
+    assert (records[1]["old_store_name"], records[1]["new_store_name"]) == ("Uno", "last")
+    assert (records[1]["old_status"], records[1]["new_status"]) == ("pending", "completed")
+    assert (records[1]["old_assigned_it"], records[1]["new_assigned_to"]) == ("old", "Ann")
+    assert sorted(C.update_records(tickets, edits, ["seq"]).collect()) == sorted(records.values())
+    moves = C.status_transitions(tickets, new).collect()
+    assert [tuple(r) for r in moves] == [(1, "from Pending to Completed")]
+
+
+def test_deletes(spark, tickets):
+    gone = spark.createDataFrame([(1,), (1,), (7,)], "ticket_no int")
+    assert sorted(r[0] for r in C.apply_deletes(tickets, gone, "ticket_no").select("ticket_no").collect()) == [2, 3]
+
+
+@pytest.fixture
+def users(spark):
+    rows = [
+        (1, "root@x", "R", "Root", "super_admin", "1"),
+        (2, "two@x", "T", "Two", "super_admin", "0"),
+        (3, "adm@x", "A", "Adm", "admin", "yes"),
+        (4, "end@x", "E", "End", "end_user", None),
+        (5, "odd@x", None, None, None, "1"),
+    ]
+    return spark.createDataFrame(rows, "id int, email string, first_name string, last_name string, role string, is_active string")
+
+
+def test_user_order_and_cards(users):
+    assert [r["id"] for r in U.user_list(users).collect()] == [5, 1, 2, 3, 4]
+    cards = {r["id"]: r for r in U.user_cards(users, "super_admin").collect()}
+    assert cards[5]["display_name"] == "odd@x" and cards[5]["role_label"] == "End User" and cards[5]["role_title"] == "—"
+    assert cards[3]["is_active"] is True and cards[4]["is_active"] is False
+    assert [r["id"] for r in U.user_cards(users, "admin").collect()] == [4]
+    assert U.user_cards(users, "end_user").count() == 0
+
+
+def test_requests_in_sequence(spark, users):
+    rows = [
+        (1, "super_admin", "A", "B", " ROOT@x", "end_user"),
+        (2, "admin", "A", "B", "new@x", "admin"),
+        (3, "admin", " ", "B", "new@x", "end_user"),
+        (4, "admin", "A", "B", "NEW@x", "boss"),
+        (5, "super_admin", "A", "B", "néw@x", "admin"),
+        (6, "super_admin", "A", "B", None, "admin"),
+    ]
+    requests = spark.createDataFrame(rows, "row_num int, actor_role string, first_name string, last_name string, email string, role string")
+    got = {r["row_num"]: r["error"] for r in U.check_new_users(requests, users).collect()}
+    exists, missing = "An account with that email already exists.", "Please fill in all required fields."
+    assert got == {1: exists, 2: "You cannot assign that role.", 3: missing, 4: None, 5: exists, 6: missing}
+    registered = {r["row_num"]: (r["error"], r["role"]) for r in U.check_new_users(requests, users, register=True).collect()}
+    assert registered[2] == (None, "end_user") and registered[4][0] == exists and registered[3][0] == "Please fill in all fields."
+
+
+def test_user_edits(spark, users):
+    rows = [
+        (4, 1, "admin", "X", "Y", "admin", "1"),
+        (4, 2, "admin", "X", "Y", "boss", "1"),
+        (3, 1, "admin", "X", "Y", "end_user", "1"),
+        (3, 2, "super_admin", "", "Y", "end_user", "1"),
+        (9, 1, "super_admin", "X", "Y", "end_user", "1"),
+    ]
+    edits = spark.createDataFrame(rows, "id int, seq int, actor_role string, first_name string, last_name string, role string, is_active string")
+    errors = {(r["id"], r["seq"]): r["error"] for r in U.check_user_edits(edits, users).collect()}
+    refused = "User not found or you cannot edit this user."
+    assert errors == {
+        (4, 1): "You cannot assign that role.",
+        (4, 2): None,
+        (3, 1): refused,
+        (3, 2): "First name and last name are required.",
+        (9, 1): refused,
+    }
+    new = U.apply_user_updates(users, edits, ["seq"])
+    row = new.where("id = 4").first()
+    assert (row["first_name"], row["last_name"], row["role"], row["is_active"], row["email"]) == ("X", "Y", "end_user", "1", "end@x")
+    assert new.where("id <> 4").exceptAll(users.where("id <> 4")).count() == 0
+    assert [tuple(r) for r in U.user_transitions(users, new).collect()] == [(4, None, "activate")]
+    named = U.apply_user_updates(users, edits.drop("is_active").withColumn("is_active", F.lit("0")), ["seq"])
+    assert named.where("id = 4").first()["is_active"] == "0"
+
+
+def test_last_super_admin_stays(spark, users):
+    rows = [(1, 1, 1), (2, 3, 1), (3, 2, 1), (4, 1, 2), (5, 3, 4), (6, 1, 9)]
+    requests = spark.createDataFrame(rows, "seq int, actor_id int, target_id int")
+    errors = {r["seq"]: r["error"] for r in U.check_user_deletes(requests, users).collect()}
+    refused = "User not found or you cannot delete this user."
+    assert errors == {
+        1: "You cannot delete your own account.",
+        2: refused,
+        3: None,
+        4: "Cannot delete the last super admin.",
+        5: None,
+        6: refused,
+    }
+    assert sorted(r["id"] for r in U.apply_user_deletes(users, requests).collect()) == [2, 3, 5]
+
+
+def test_sources(spark):
+    raw = spark.createDataFrame([(1, "e", "h", "f", "l", "r", "1")], "idusers int, email string, password_hash string, first_name string, last_name string, role string, is_active string")
+    assert select_users(raw).columns == ["id", "email", "first_name", "last_name", "role", "is_active"]
+    options = jdbc_options("mysql://me:p%40ss@db.example.com:3307/desk")
+    assert options == {"url": "jdbc:mysql://db.example.com:3307/desk", "user": "me", "password": "p@ss"}
+    assert jdbc_options(user="u")["url"] == "jdbc:mysql://localhost:3306/ticketing_db"
