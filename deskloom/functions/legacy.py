@@ -5,36 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deskloom.functions.text import strip, truthy
+from deskloom.functions.text import SPACES, strip, truthy
 
 
-def _line(label: str, ignore_case: bool) -> str:
-    # d: only \n ends a line; U: spaces as Python sees them.
-    flags = "(?imdU)" if ignore_case else "(?mdU)"
-    return flags + r"^[^\S\n]*" + label + r":([^\n]*)"
+def _value(c: Column, label: str, ignore_case: bool = True) -> Column:
+    """Text after ``label`` on the first line that starts with it, stripped; NULL without one.
 
-
-_CONCERN = _line("reported concern", True)
-_ASSIGNEE = _line("assigned to", True)
-_CONTACT = _line("Contact", False)
-
-
-def _value(c: Column, pattern: str) -> Column:
-    """Text after the label on its first line, stripped; NULL without such a line."""
-    return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
+    Most texts hold no such label, which a plain search settles.
+    """
+    spaces = "".join(f"\\x{{{ord(ch):x}}}" for ch in SPACES if ch != "\n")
+    flags = "(?imd)" if ignore_case else "(?md)"  # d: only \n ends a line
+    line = F.regexp_extract(c, f"{flags}^[{spaces}]*{label}[^\n]*", 0)
+    searched = F.lower(c) if ignore_case else c
+    after = strip(F.substr(line, F.locate(":", line) + 1))
+    return F.when(F.contains(searched, F.lit(label)) & (line != ""), after)
 
 
 def legacy_concern(c: Column) -> Column:
-    return _value(c, _CONCERN)
+    return _value(c, "reported concern:")
 
 
 def legacy_contact(c: Column) -> Column:
-    return _value(c, _CONTACT)
+    return _value(c, "Contact:", ignore_case=False)
 
 
 def assigned_to(c: Column) -> Column:
     """The ``Assigned to:`` line, else the whole text."""
-    return F.coalesce(truthy(_value(c, _ASSIGNEE)), truthy(c))
+    return F.coalesce(truthy(_value(c, "assigned to:")), truthy(c))
 
 
 def pack_legacy(

@@ -26,7 +26,7 @@ def dict_to_json(c: Column) -> Column:
         bare = F.replace(t, F.lit("None"), F.lit("null"))
         bare = F.replace(bare, F.lit("True"), F.lit("true"))
         bare = F.replace(bare, F.lit("False"), F.lit("false"))
-        quoted = F.regexp_replace(t, _HEX_ESCAPE, r"\\u00$1")
+        quoted = F.when(F.contains(t, F.lit("\\x")), F.regexp_replace(t, _HEX_ESCAPE, r"\\u00$1")).otherwise(t)
         return F.when(t.startswith("'") | t.startswith('"'), quoted).otherwise(bare)
 
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1)), token), "")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 FOLDED = "UNICODE_CI_AI"  # ignores case and accents, keeps trailing spaces significant
 
 # Everything ``str.strip`` removes.
-_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def _accented() -> tuple[str, str]:
@@ -28,7 +28,8 @@ _MARKED, _PLAIN = _accented()
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACES))
+    """``str.strip``. In printable ASCII, which is most text, only plain spaces count."""
+    return F.when(c.rlike("[^ -~]"), F.btrim(c, F.lit(SPACES))).otherwise(F.trim(c))
 
 
 def truthy(c: Column) -> Column:

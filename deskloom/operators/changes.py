@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskloom import schema as S
 from deskloom.functions import tickets as K
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_choice, status_store, status_transition
 from deskloom.functions.text import clean
+from deskloom.operators.ingest import too_wide
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type, key_column, quoted, read_field, write_column
 
@@ -32,25 +32,28 @@ def check_edits(edits: DataFrame) -> DataFrame:
     """
     fee = clean(F.col("labor_fee"))
     number = fee.try_cast("decimal(10,2)")
-    cleaned = edits.withColumns(
+    wide = too_wide(_LIMITED)
+    error = F.when(wide.isNotNull(), F.concat(F.lit("Data too long for column "), wide)).when(
+        fee.isNotNull() & number.isNull(), "Incorrect decimal value for labor_fee"
+    )
+    return edits.withColumns(
         {
             **{c: clean(F.col(c)) for c in (*_LIMITED, "service_done")},
             "status": status_store(F.col("status")),
             "labor_fee": number,
-            "_bad_fee": fee.isNotNull() & number.isNull(),
+            "error": error,
         }
     )
-    wide = F.coalesce(*[F.when(F.length(c) > S.WIDTHS[w], F.lit(c)) for c, w in _LIMITED.items()])
-    error = F.when(wide.isNotNull(), F.concat(F.lit("Data too long for column "), wide)).when(
-        F.col("_bad_fee"), "Incorrect decimal value for labor_fee"
-    )
-    return cleaned.withColumn("error", error).drop("_bad_fee")
 
 
 def last_edits(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last accepted edit per key: later edits replace all editable columns."""
-    accepted = edits.where(F.col("error").isNull()).drop("error")
-    return first_per_key(accepted, [F.col(key)], [F.desc(c) for c in order])
+    """The last accepted edit per key: later edits replace all editable columns.
+
+    Accepted edits rank before refused ones, instead of a filter on ``error`` that would be pushed
+    down and evaluate all the cleaning twice.
+    """
+    ranking = [F.col("error").isNull().desc(), *[F.desc(c) for c in order]]
+    return first_per_key(edits, [F.col(key)], ranking).where(F.col("error").isNull()).drop("error")
 
 
 def _editable(tickets: DataFrame) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from deskloom import schema as S
 from deskloom.functions import tickets as K
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_store, status_store_workbook
-from deskloom.functions.text import clean, truthy
+from deskloom.functions.text import clean, strip, truthy
 from deskloom.operators.numbering import max_job_order, max_ticket_no, with_sequence
 from deskloom.operators.schema_ops import key_column, write_column
 
@@ -24,37 +24,47 @@ _LIMITED = {
 }
 
 
-def _row(message: str) -> Column:
-    return F.concat(F.lit("Row "), F.col("row_num").cast("string"), F.lit(f": {message}"))
+def blank(c: Column) -> Column:
+    return F.coalesce(F.length(strip(c)), F.lit(0)) == 0
 
 
 def too_wide(widths: dict[str, str]) -> Column:
-    """Name of the first column over its declared width, else NULL."""
-    checks = [F.when(F.length(c) > S.WIDTHS[w], F.lit(c)) for c, w in widths.items()]
-    return F.coalesce(*checks)
+    """Name of the first column whose cleaned text is over its declared width, else NULL.
+
+    Cleaning only shortens a text, so most rows are settled by the raw length.
+    """
+
+    def over(name: str, width: int) -> Column:
+        return (F.length(name) > width) & (F.length(strip(F.col(name))) > width)
+
+    return F.coalesce(*[F.when(over(c, S.WIDTHS[w]), F.lit(c)) for c, w in widths.items()])
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    """Uploaded text rows, cleaned, with the first failed rule as ``error`` (NULL if none)."""
-    cleaned = rows.withColumns({c: clean(F.col(c)) for c in _LIMITED})
-    cleaned = cleaned.withColumn("status", status_store(F.col("status")))
+    """Uploaded text rows, cleaned, with the first failed rule as ``error`` (NULL if none).
+
+    The rules look at the raw columns: a filter on ``error`` is pushed below the cleaning, and has
+    to stay small there.
+    """
     required = F.lit(False)
     for c in S.UPLOAD_REQUIRED:
-        required = required | F.col(c).isNull()
-    no_contact = F.col("contact_number").isNull() & F.col("email").isNull()
+        required = required | blank(F.col(c))
+    no_contact = blank(F.col("contact_number")) & blank(F.col("email"))
     wide = too_wide(_LIMITED)
-    error = F.lit(None).cast("string")
-    # Last check first, so that earlier ones win.
-    error = F.when(wide.isNotNull(), F.concat(_row("Data too long for column "), wide)).otherwise(error)
-    error = F.when(
-        no_contact, _row("At least one of contact_number or email is required")
-    ).otherwise(error)
-    error = F.when(required, _row("Missing required fields")).otherwise(error)
-    if "short" in rows.columns:
-        error = F.when(F.col("short"), _row("Row is shorter than the header")).otherwise(error)
+    rules = []
     if "too_long" in rows.columns:
-        error = F.when(F.col("too_long"), _row("Field larger than the field limit")).otherwise(error)
-    return cleaned.withColumn("error", error).drop("short", "too_long")
+        rules.append((F.col("too_long"), F.lit("Field larger than the field limit")))
+    if "short" in rows.columns:
+        rules.append((F.col("short"), F.lit("Row is shorter than the header")))
+    rules += [
+        (required, F.lit("Missing required fields")),
+        (no_contact, F.lit("At least one of contact_number or email is required")),
+        (wide.isNotNull(), F.concat(F.lit("Data too long for column "), wide)),
+    ]
+    failed = F.coalesce(*[F.when(broken, message) for broken, message in rules])
+    error = F.concat(F.lit("Row "), F.col("row_num").cast("string"), F.lit(": "), failed)
+    cleaned = {**{c: clean(F.col(c)) for c in _LIMITED}, "status": status_store(F.col("status"))}
+    return rows.withColumns({**cleaned, "error": error}).drop("short", "too_long")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deskloom.functions import people as P
 from deskloom.functions.text import folded, same_folded, strip, truthy
+from deskloom.operators.changes import last_edits
 from deskloom.operators.filters import visible_users
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type
@@ -137,8 +138,7 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
 
 def apply_user_updates(users: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     """All users, with the last accepted edit of name, role and activity applied."""
-    accepted = check_user_edits(edits, users).where(F.col("error").isNull())
-    last = first_per_key(accepted, [F.col("id")], [F.desc(c) for c in order])
+    last = last_edits(check_user_edits(edits, users), "id", order)
     active = F.when(F.col("is_active"), "1").otherwise("0")
     changes = {"first_name": F.col("first_name"), "last_name": F.col("last_name"), "role": F.col("role"), "is_active": active}
     changes = {c: v for c, v in changes.items() if c in users.columns and c in edits.columns}

@@ -16,6 +16,8 @@ def local_session(cores: str = "*", app: str = "deskloom", **conf: str) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        # Above this size the JVM interprets a generated method instead of compiling it.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

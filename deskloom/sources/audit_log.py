@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from deskloom.functions.payload import DICT_OPTIONS, dict_to_json
 
-_LINE = r"(?s)^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d),(\d{3}) \[(\w+)\] (.*)$"
-_EVENT = r"(?s)^(\w+) \| (\{.*\})\s*$"
+# What stands before the message, and the action before a printed dict.
+_HEAD = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3} \[\w+\] "
+_ACTION = r"^\w+(?= \| \{)"
 
 # Keys of the logged dicts. In ``ticket_created`` the email is the ticket's.
 _BASE = "user_id bigint, email string, role string, ip string, ua string"
@@ -28,21 +29,21 @@ DETAIL_SCHEMA = (
 def parse_audit_lines(lines: DataFrame) -> DataFrame:
     """One row per line of column ``value``; what is not there or not readable is NULL."""
 
-    def part(pattern: str, text: str, group: int):
-        return F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, group))
-
-    split = lines.withColumns(
-        {
-            "timestamp": F.concat_ws(".", part(_LINE, "value", 1), part(_LINE, "value", 2)),
-            "level": part(_LINE, "value", 3),
-            "message": F.coalesce(part(_LINE, "value", 4), F.col("value")),
-        }
+    headed = lines.select("value", F.regexp_extract("value", _HEAD, 0).alias("head"))
+    size = F.length("head")
+    split = headed.select(
+        F.replace(F.substring("head", 1, 23), F.lit(","), F.lit(".")).try_cast("timestamp_ntz").alias("timestamp"),
+        # The level stands between "… [" and "] ".
+        F.when(size > 0, F.substr("head", F.lit(26), size - 27)).alias("level"),
+        F.substr("value", size + 1).alias("message"),
     )
-    events = split.withColumns(
+    named = split.withColumn("action", F.regexp_extract("message", _ACTION, 0))
+    is_event = (F.col("action") != "") & F.rtrim("message").endswith("}")
+    printed = F.substr("message", F.length("action") + 4)
+    events = named.withColumns(
         {
-            "timestamp": F.nullif("timestamp", F.lit("")).try_cast("timestamp_ntz"),
-            "action": part(_EVENT, "message", 1),
-            "payload": dict_to_json(part(_EVENT, "message", 2)),
+            "action": F.when(is_event, F.col("action")),
+            "payload": F.when(is_event, dict_to_json(printed)),
         }
     )
     detail = F.from_json("payload", DETAIL_SCHEMA, DICT_OPTIONS)
