@@ -28,8 +28,8 @@ _MARKED, _PLAIN = _accented()
 
 
 def strip(c: Column) -> Column:
-    """``str.strip``. In printable ASCII, which is most text, only plain spaces count."""
-    return F.when(c.rlike("[^ -~]"), F.btrim(c, F.lit(SPACES))).otherwise(F.trim(c))
+    """``str.strip``."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def truthy(c: Column) -> Column:

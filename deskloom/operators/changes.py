@@ -30,20 +30,18 @@ def check_edits(edits: DataFrame) -> DataFrame:
 
     No field is required. Widths and the fee's type are the table's own limits.
     """
-    fee = clean(F.col("labor_fee"))
-    number = fee.try_cast("decimal(10,2)")
-    wide = too_wide(_LIMITED)
-    error = F.when(wide.isNotNull(), F.concat(F.lit("Data too long for column "), wide)).when(
-        fee.isNotNull() & number.isNull(), "Incorrect decimal value for labor_fee"
-    )
-    return edits.withColumns(
+    cleaned = edits.withColumns(
         {
             **{c: clean(F.col(c)) for c in (*_LIMITED, "service_done")},
             "status": status_store(F.col("status")),
-            "labor_fee": number,
-            "error": error,
+            "_fee": clean(F.col("labor_fee")),
         }
+    ).withColumn("labor_fee", F.col("_fee").try_cast("decimal(10,2)"))
+    wide = too_wide(_LIMITED)
+    error = F.when(wide.isNotNull(), F.concat(F.lit("Data too long for column "), wide)).when(
+        F.col("_fee").isNotNull() & F.col("labor_fee").isNull(), "Incorrect decimal value for labor_fee"
     )
+    return cleaned.withColumn("error", error).drop("_fee")
 
 
 def last_edits(edits: DataFrame, key: str, order: list[str]) -> DataFrame:

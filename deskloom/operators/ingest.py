@@ -9,9 +9,10 @@ from deskloom import schema as S
 from deskloom.functions import tickets as K
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_store, status_store_workbook
-from deskloom.functions.text import clean, strip, truthy
+from deskloom.functions.text import clean, truthy
 from deskloom.operators.numbering import max_job_order, max_ticket_no, with_sequence
 from deskloom.operators.schema_ops import key_column, write_column
+from deskloom.session import pin
 
 # Upload column to the ticket column whose declared width limits it.
 _LIMITED = {
@@ -24,32 +25,18 @@ _LIMITED = {
 }
 
 
-def blank(c: Column) -> Column:
-    return F.coalesce(F.length(strip(c)), F.lit(0)) == 0
-
-
 def too_wide(widths: dict[str, str]) -> Column:
-    """Name of the first column whose cleaned text is over its declared width, else NULL.
-
-    Cleaning only shortens a text, so most rows are settled by the raw length.
-    """
-
-    def over(name: str, width: int) -> Column:
-        return (F.length(name) > width) & (F.length(strip(F.col(name))) > width)
-
-    return F.coalesce(*[F.when(over(c, S.WIDTHS[w]), F.lit(c)) for c, w in widths.items()])
+    """Name of the first column over its declared width, else NULL."""
+    return F.coalesce(*[F.when(F.length(c) > S.WIDTHS[w], F.lit(c)) for c, w in widths.items()])
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    """Uploaded text rows, cleaned, with the first failed rule as ``error`` (NULL if none).
-
-    The rules look at the raw columns: a filter on ``error`` is pushed below the cleaning, and has
-    to stay small there.
-    """
+    """Uploaded text rows, cleaned, with the first failed rule as ``error`` (NULL if none)."""
+    cleaned = {**{c: clean(F.col(c)) for c in _LIMITED}, "status": status_store(F.col("status"))}
     required = F.lit(False)
     for c in S.UPLOAD_REQUIRED:
-        required = required | blank(F.col(c))
-    no_contact = blank(F.col("contact_number")) & blank(F.col("email"))
+        required = required | F.col(c).isNull()
+    no_contact = F.col("contact_number").isNull() & F.col("email").isNull()
     wide = too_wide(_LIMITED)
     rules = []
     if "too_long" in rows.columns:
@@ -63,8 +50,16 @@ def validate(rows: DataFrame) -> DataFrame:
     ]
     failed = F.coalesce(*[F.when(broken, message) for broken, message in rules])
     error = F.concat(F.lit("Row "), F.col("row_num").cast("string"), F.lit(": "), failed)
-    cleaned = {**{c: clean(F.col(c)) for c in _LIMITED}, "status": status_store(F.col("status"))}
-    return rows.withColumns({**cleaned, "error": error}).drop("short", "too_long")
+    return rows.withColumns(cleaned).withColumn("error", error).drop("short", "too_long")
+
+
+def stage(checked: DataFrame) -> DataFrame:
+    """Checked rows as a table in the shared folder.
+
+    Accepted rows, rejected rows, the summary and the sampling before a range partitioning all
+    start from it, so that uploads are parsed and cleaned once.
+    """
+    return pin(checked, "staged")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -47,7 +47,7 @@ def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.split_valid(I.validate(view(spark, sf_dir, "uploads")))[0]
+    return I.split_valid(I.stage(I.validate(view(spark, sf_dir, "uploads"))))[0]
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ QUERIES: dict[str, Query] = {
     # Ingest
     "validate_tickets": _on("uploads", I.validate),
     "rejected_rows": _on("uploads", lambda df: _rejected(I.validate(df))),
-    "ingest_summary": _on("uploads", lambda df: I.ingest_summary(I.validate(df))),
+    "ingest_summary": _on("uploads", lambda df: I.ingest_summary(I.stage(I.validate(df)))),
     "ingested_tickets": _ingested,
     "csv_upload": _csv_upload,
     # Changes
