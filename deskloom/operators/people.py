@@ -78,23 +78,20 @@ def check_new_users(requests: DataFrame, users: DataFrame, register: bool = Fals
             "role": role,
         }
     ).withColumn("error", F.when(~allowed, _ROLE).when(incomplete, message))
+    # The first acceptable request per email is known before the join: there, one email on very
+    # many requests is cut to one row per task before it is shuffled.
+    first = first_per_key(
+        cleaned.where(F.col("error").isNull()).select("row_num", "email"),
+        [folded(F.col("email"))],
+        [F.asc("row_num")],
+    ).select("row_num", F.lit(True).alias("_first"))
     known = users.select(folded(F.col("email")).alias("_email")).distinct().withColumn("_known", F.lit(True))
     matched = cleaned.join(known, folded(cleaned["email"]) == known["_email"], "left").drop("_email")
-    checked = matched.withColumn("error", F.coalesce("error", F.when(F.col("_known"), _EXISTS))).drop("_known")
-    first = (
-        first_per_key(
-            checked.where(F.col("error").isNull()).select("row_num", "email"),
-            [folded(F.col("email"))],
-            [F.asc("row_num")],
-        )
-        .select("row_num")
-        .withColumn("_first", F.lit(True))
-    )
-    repeated = F.when(F.col("error").isNull() & F.col("_first").isNull(), _EXISTS)
+    taken = F.when(F.col("_known").isNotNull() | F.col("_first").isNull(), _EXISTS)
     return (
-        checked.join(first, "row_num", "left")
-        .withColumn("error", F.coalesce("error", repeated))
-        .drop("_first")
+        matched.join(first, "row_num", "left")
+        .withColumn("error", F.coalesce("error", taken))
+        .drop("_known", "_first")
     )
 
 
@@ -127,7 +124,7 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
             "_manage": F.col("_known").isNotNull() & P.can_manage(F.col("actor_role"), F.col("_old")),
         }
     )
-    missing = truthy(F.col("first_name")).isNull() | truthy(F.col("last_name")).isNull()
+    missing = _unnamed("first_name") | _unnamed("last_name")
     error = (
         F.when(~F.col("_manage"), _NO_EDIT)
         .when(~P.can_set_role(F.col("actor_role"), F.col("role")), _ROLE)
@@ -136,9 +133,30 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
     return cleaned.withColumn("error", error).drop("_old", "_known", "_manage")
 
 
+def _deciding_edits(edits: DataFrame, order: list[str]) -> DataFrame:
+    """The edits that can be the last accepted one of their user.
+
+    Whether a named edit is accepted depends on the user and on the actor's and the new role only.
+    So the last edit per user and pair of roles is enough, which leaves a few rows per user before
+    the join, however many edits one user has.
+    """
+
+    def known_role(c: str) -> Column:
+        role = F.lower(strip(F.col(c))) if c == "role" else F.col(c)
+        return F.when(role.isin(*P.ROLES), role)
+
+    named = ~(_unnamed("first_name") | _unnamed("last_name"))
+    keys = [F.col("id"), known_role("actor_role"), known_role("role")]
+    return first_per_key(edits.where(named), keys, [F.desc(c) for c in order])
+
+
+def _unnamed(c: str) -> Column:
+    return truthy(strip(F.col(c))).isNull()
+
+
 def apply_user_updates(users: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     """All users, with the last accepted edit of name, role and activity applied."""
-    last = last_edits(check_user_edits(edits, users), "id", order)
+    last = last_edits(check_user_edits(_deciding_edits(edits, order), users), "id", order)
     active = F.when(F.col("is_active"), "1").otherwise("0")
     changes = {"first_name": F.col("first_name"), "last_name": F.col("last_name"), "role": F.col("role"), "is_active": active}
     changes = {c: v for c, v in changes.items() if c in users.columns and c in edits.columns}

@@ -157,3 +157,35 @@ def test_sources(spark):
     options = jdbc_options("mysql://me:p%40ss@db.example.com:3307/desk")
     assert options == {"url": "jdbc:mysql://db.example.com:3307/desk", "user": "me", "password": "p@ss"}
     assert jdbc_options(user="u")["url"] == "jdbc:mysql://localhost:3306/ticketing_db"
+
+
+def test_hot_keys_are_cut_before_the_shuffle(spark, users):
+    """One user and one email on most rows: still only a few rows per task leave for the others."""
+    edits = spark.range(5000).select(
+        F.when(F.col("id") % 5 < 4, 4).otherwise(F.col("id") % 6).cast("int").alias("id"),
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 7 == 0, "super_admin").otherwise("admin").alias("actor_role"),
+        F.when(F.col("id") % 4 == 0, " ").otherwise("X").alias("first_name"),
+        F.concat(F.lit("L"), F.col("id")).alias("last_name"),
+        F.when(F.col("id") % 3 == 0, "admin").when(F.col("id") % 3 == 1, "boss").alias("role"),
+        F.lit("1").alias("is_active"),
+    )
+    new = U.apply_user_updates(users, edits, ["seq"])
+    checked = U.check_user_edits(edits, users).where("error is null").collect()
+    best = {}
+    for r in sorted(checked, key=lambda r: r["seq"]):
+        best[r["id"]] = (r["last_name"], r["role"])
+    assert {r["id"]: (r["last_name"], r["role"]) for r in new.collect() if r["id"] in best} == best
+    requests = spark.range(5000).select(
+        F.col("id").alias("row_num"),
+        F.lit("super_admin").alias("actor_role"),
+        F.lit("A").alias("first_name"),
+        F.lit("B").alias("last_name"),
+        F.when(F.col("id") % 3 == 0, "Hot@x").otherwise(F.concat("id", F.lit("@x"))).alias("email"),
+        F.lit("end_user").alias("role"),
+    )
+    accepted = U.check_new_users(requests, users).where("error is null")
+    assert accepted.count() == 5000 - 1667 + 1 and accepted.where("email = 'hot@x'").first()["row_num"] == 0
+    for df in (new, accepted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "row_number(), 1, Partial" in plan
