@@ -80,7 +80,7 @@ def _length() -> Column:
 
 def _blocks(lines: DataFrame) -> DataFrame:
     """Per block: the state at its start, the records started earlier, the length of the record
-    that runs through whole blocks up to here, and the file's header."""
+    that runs through whole blocks up to here, and where the file's header has the upload columns."""
     text = F.col("value") != ""
 
     def outcome(start: bool) -> Column:
@@ -105,13 +105,16 @@ def _blocks(lines: DataFrame) -> DataFrame:
         "upto", F.sum("length").over(before.rowsBetween(Window.unboundedPreceding, 0))
     )
     latest = F.last(F.when(F.col("begun") > 0, F.col("upto")), ignorenulls=True).over(before)
-    return summed.select(
+    blocks = summed.select(
         *_BLOCK,
         "open",
         F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("begun_before"),
         (F.col("upto") - F.col("length") - F.coalesce(latest, F.lit(0))).alias("run_before"),
         F.first("first", ignorenulls=True).over(whole).alias("header"),
     )
+    # Per block, so that rows need not look at the header again.
+    named = blocks.withColumn("names", header_names(F.col("header"))).drop("header")
+    return named.withColumn("slots", _slots(F.col("names"))).drop("names")
 
 
 def _mapped(lines: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def _mapped(lines: DataFrame) -> DataFrame:
 
 
 def _records(lines: DataFrame) -> DataFrame:
-    """Records as (file, row_num, header, record); row number 1 is the header.
+    """Records as (file, row_num, slots, record); row number 1 is the header.
 
     Blank lines between records do not count. A record over the limit has no text: its lines are
     dropped before they meet in one task.
@@ -149,7 +152,7 @@ def _records(lines: DataFrame) -> DataFrame:
     whole = F.min("fits") & (F.sum("size") <= RECORD_LIMIT)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["value"]), "\n")
     return kept.groupBy("file", "row_num").agg(
-        F.max("header").alias("header"), F.when(whole, text).alias("record")
+        F.any_value("slots").alias("slots"), F.when(whole, text).alias("record")
     )
 
 
@@ -163,34 +166,34 @@ def _missing(names: Column) -> Column:
     return F.filter(required, lambda c: ~F.array_contains(names, c))
 
 
+def _slots(names: Column) -> Column:
+    """Cell number of each upload column (NULL where it is absent; of equal names the last one
+    counts), or NULL if a required column is missing."""
+
+    def slot(c: Column) -> Column:
+        back = F.array_position(F.reverse(names), c)
+        return F.when(back > 0, F.size(names) - back.cast("int") + 1)
+
+    slots = F.transform(F.array(*[F.lit(c) for c in S.UPLOAD_COLUMNS]), slot)
+    return F.when(F.size(_missing(names)) == 0, slots)
+
+
 def parse_uploads(lines: DataFrame) -> DataFrame:
     """Rows of accepted files as (file, row_num, upload columns, short, too_long).
 
     ``short`` rows end before one of the upload columns; cells beyond the header are ignored.
     """
-    records = _records(lines).where("row_num > 1")
-    names = header_names(F.col("header"))
-    parsed = records.withColumns({"names": names, "cells": _cells(F.col("record"))}).where(
-        F.size(_missing(F.col("names"))) == 0
-    )
-    width = F.size("cells")
-
-    def at(name: str) -> Column:
-        # The last of equal names counts.
-        back = F.array_position(F.reverse("names"), F.lit(name))
-        return F.when(back > 0, F.size("names") - back + 1).cast("int")
-
-    def cell(name: str) -> Column:
-        return F.get("cells", at(name) - 1).alias(name)
-
-    short = F.lit(False)
-    for name in S.UPLOAD_COLUMNS:
-        short = short | F.coalesce(at(name) > width, F.lit(False))
+    records = _records(lines).where((F.col("row_num") > 1) & F.col("slots").isNotNull())
+    parsed = records.withColumn("cells", _cells(F.col("record")))
+    short = F.exists("slots", lambda slot: slot > F.size("cells"))
     too_long = F.col("record").isNull() | F.exists("cells", lambda c: F.length(c) > CELL_LIMIT)
     return parsed.select(
         "file",
         F.col("row_num").cast("bigint").alias("row_num"),
-        *[cell(name) for name in S.UPLOAD_COLUMNS],
+        *[
+            F.get("cells", F.get("slots", F.lit(i)) - 1).alias(name)
+            for i, name in enumerate(S.UPLOAD_COLUMNS)
+        ],
         F.coalesce(short, F.lit(False)).alias("short"),
         F.coalesce(too_long, F.lit(False)).alias("too_long"),
     )
