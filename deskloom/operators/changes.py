@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.functions import tickets as K
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_choice, status_store, status_transition
 from deskloom.functions.text import clean

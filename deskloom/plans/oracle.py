@@ -228,19 +228,6 @@ _AUDIT_EVENTS = (
     "'agent [None, True]' as ua, user_id % 2 = 0 as is_active, concat('names,', event_type) as updated_fields from events"
 )
 
-_VIEWS = (
-    "tickets",
-    "users",
-    "audit",
-    "uploads",
-    "edits",
-    "deletes",
-    "candidates",
-    "user_edits",
-    "user_deletes",
-)
-
-
 def _sql(views: str, query: str) -> str:
     """``query`` behind the named views; ``query`` may start with further CTEs and a comma."""
     ctes = ", ".join(f"{name} as ({view_sql(name)})" for name in views.split())

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.functions import legacy as L
-from deskloom.functions import people as P
 from deskloom.functions import status as ST
 from deskloom.functions import tickets as K
 from deskloom.operators import audit as AU
