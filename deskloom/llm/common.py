@@ -7,12 +7,13 @@ their names cannot clash with anything.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.session import new_shared_path, pin, shared_dir
-
-__all__ = ["ascii_lower", "documents", "labels", "new_shared_path", "pages", "partitions", "pin", "shared_dir", "text_of"]
+import deskloom
+from deskloom.session import pin  # noqa: F401
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,3 +46,14 @@ def ascii_lower(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it.
+
+    That suffices for local sessions and shared installs; elsewhere pass it with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(deskloom.__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))

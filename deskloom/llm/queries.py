@@ -1,15 +1,40 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from deskloom.llm.common import ship
 from deskloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from deskloom.llm.mixing import OP5_SQL, op5_mixing
 from deskloom.llm.ngram_join import op6_ngram_join
+from deskloom.llm.packing import op3_packing
+from deskloom.llm.quality import op7_quality
 from deskloom.llm.sharding import op9_sharding
 
-QUERIES = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
-    "op6_ngram_join": op6_ngram_join,
+    "op3_packing": _shipped(op3_packing),
+    "op5_mixing": op5_mixing,
+    "op6_ngram_join": _shipped(op6_ngram_join),
+    "op7_quality": _shipped(op7_quality),
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL = {
+ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op5_mixing": OP5_SQL,
 }
