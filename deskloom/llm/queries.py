@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deskloom.llm.common import ship
 from deskloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from deskloom.llm.fingerprints import op4_fingerprints
+from deskloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from deskloom.llm.mixing import OP5_SQL, op5_mixing
 from deskloom.llm.ngram_join import op6_ngram_join
 from deskloom.llm.packing import op3_packing
@@ -28,13 +30,16 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": _shipped(op3_packing),
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_ngram_join": _shipped(op6_ngram_join),
     "op7_quality": _shipped(op7_quality),
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op5_mixing": OP5_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
