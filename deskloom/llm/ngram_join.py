@@ -16,7 +16,7 @@ share come last and seldom reach a prefix. Three relations between sets save wor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from hashlib import blake2b
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
 from deskloom.llm.common import col, documents, pin, text_of
-from deskloom.llm.components import components
+from deskloom.llm.linking import linked_components, verified
 
 WORDS = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -120,16 +120,6 @@ def _token_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             ], names=["set", "tokens"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("ta"), batch.column("tb")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-
 def _blocked(entries: DataFrame) -> DataFrame:
     """Add the block of an index entry: size class and position class."""
     return entries.withColumns({
@@ -157,7 +147,7 @@ def _possible_blocks(size: Column, pos: Column, by_size: Column, percent: int) -
     return F.array_compact(F.array(*found))
 
 
-def _candidates(probes: DataFrame, lists: DataFrame, percent: int, extra: str) -> DataFrame:
+def _candidates(probes: DataFrame, lists: DataFrame, extra: str, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` of a probe and an entry of its list that pass all filters."""
     sent = probes.select(
         "token", F.col("set").alias("pset"), F.col("size").alias("psize"), F.col("pos").alias("ppos"), F.col("comp").alias("pcomp"),
@@ -183,6 +173,10 @@ def jaccard_components(
     Repeated rows are copies and share a component. An empty table gives an empty result. Other
     columns are ignored. Sets are of 64-bit hashes, their classes keyed by 64 bits.
     """
+    return _components(df, id_col, text_col, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
@@ -211,59 +205,45 @@ def jaccard_components(
         ),
         "lists",
     )
-    labels = _linked_components(lists, partial(_link, docs, sets, words, percent), percent)
+    share = F.count("*") / (F.max("size") - F.ceil(F.max("size") * percent / 100) + 1)
+    labels = linked_components(lists, share, partial(_candidates, percent=percent), partial(_link, docs, sets, words, percent))
     return _by_document(docs.select("doc_id", "doc_key"), sets, labels)
 
 
-def _linked_components(lists: DataFrame, link: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    share = lists.groupBy("set").agg((F.count("*") / (F.max("size") - F.ceil(F.max("size") * percent / 100) + 1)).alias("share"))
-    ranked = pin(lists.join(share, "set"), "ranked")
-    leaders = pin(
-        ranked.groupBy("token").agg(F.max(F.struct("share", -F.col("size"), "set", "size", "pos", "by_size")).alias("l"))
-        .select("token", "l.set", "l.size", "l.pos", "l.by_size", F.col("l.set").alias("comp")),
-        "leaders",
-    )
-    first = pin(_candidates(leaders, lists, percent, "true"), "first-pairs")
-    links = pin(link(first), "first-links")
-    labels = components(links)
-    named = pin(
-        lists.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set")),
-        "named",
-    )
-    led = leaders.drop("comp").join(labels.withColumnRenamed("node", "set"), "set", "left").select(
-        "token", F.coalesce("comp", "set").alias("lead")
-    )
-    others = named.join(pin(led, "led"), "token").where("comp <> lead").drop("lead")
-    second = pin(_candidates(others, named, percent, "comp <> pcomp").join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if second.isEmpty():
-        return labels
-    return components(links.union(link(second)))
-
-
 def _link(docs: DataFrame, sets: DataFrame, words: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs that link, judged on whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     chosen = pin(sets.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key")), "chosen")
     texts = docs.select("doc_key", "text").join(chosen, "doc_key").select("set", "text")
-    known = pin(texts.mapInArrow(partial(_token_sets, k=words), "set long, tokens array<long>").dropDuplicates(["set"]), "sets")
-    of_a = known.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
-    of_b = known.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(partial(_verified, percent=percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+    known = texts.mapInArrow(partial(_token_sets, k=words), "set long, tokens array<long>").dropDuplicates(["set"])
+    return verified(pairs, pin(known, "sets"), percent)
 
 
 def _by_document(docs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Attach each document's component. Joins have a written, unique side, so hot classes split."""
+    """``doc_id, doc_key, n, component_id, keeper`` per row. Joins have a written, unique side, so
+    hot classes split. ``keeper`` is the key of the component's least document."""
     grouped = sets.dropDuplicates(["doc_key"]).join(labels.withColumnRenamed("node", "set"), "set", "left")
-    # A document without words is alone in its group.
-    group = F.when(F.col("n") == 0, F.xxhash64("doc_key")).otherwise(F.coalesce("comp", "set"))
-    placed = pin(
-        docs.join(pin(grouped.select("doc_key", "n", group.alias("grp"), (F.col("n") == 0).alias("bare")), "grouped"), "doc_key"),
-        "placed",
+    bare = F.col("n") == 0  # alone in its group: keys of empty documents cover their ids
+    group = F.when(bare, F.col("doc_key")).otherwise(F.coalesce("comp", "set"))
+    by_key = pin(grouped.select("doc_key", "n", group.alias("grp"), bare.alias("bare")), "grouped")
+    placed = pin(docs.join(by_key, "doc_key"), "placed")
+    least = placed.groupBy("grp", "bare").agg(
+        F.min("doc_id").alias("component_id"), F.min_by("doc_key", F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("keeper")
     )
-    least = pin(placed.groupBy("grp", "bare").agg(F.min("doc_id").alias("component_id")), "least")
-    # The empty documents of one text differ in their keys, as keys cover the id.
-    return placed.join(least, ["grp", "bare"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return placed.join(pin(least, "least"), ["grp", "bare"])
+
+
+def representatives(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each component, whole: that of the least id (nulls last, then the least hash).
+
+    Of repeated rows one stays. Documents without words are linked with nothing, so all ids stay.
+    """
+    found = _components(df, id_col, text_col, words, percent)
+    keepers = pin(found.where("doc_key = keeper").select("doc_key").distinct(), "keepers")
+    packed = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), F.xxhash64(col(id_col), text_of(text_col)).alias("doc_key"))
+    return packed.join(keepers, "doc_key").dropDuplicates(["doc_key"]).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op6_ngram_join(spark, sf_dir):
