@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 import deskloom
 from deskloom.session import pin  # noqa: F401
 
+#: Most rows of a broadcast table whose size depends on the data.
+MOST_BROADCAST = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,6 +50,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has at most so many rows.
+
+    Beyond that it is left as it is, and Spark joins it by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver has it.
 

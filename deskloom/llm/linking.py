@@ -12,58 +12,85 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskloom.llm.common import pin
 from deskloom.llm.components import components
 
 
+def index_lists(entries: DataFrame, rank: Column) -> DataFrame:
+    """Lists of ``token, set`` and other columns, each set once: its entries with ``n``, the list's
+    number of sets, ``lead``, the entry of the highest rank, and ``again``, whether the set came from
+    several tasks. Entries alone in their list are left out unless they came again.
+
+    One shuffle by token serves all of it.
+    """
+    columns = [c for c in entries.columns if c not in ("token", "set")]
+    alike = Window.partitionBy("token")
+    in_order = alike.orderBy("set")
+    once = entries.withColumns({"prev": F.lag("set").over(in_order), "again": F.lead("set").over(in_order)}).where(
+        "prev is null or prev <> set"
+    )
+    led = once.select(
+        "token", "set", *columns, F.coalesce(F.col("again") == F.col("set"), F.lit(False)).alias("again"), F.count("*").over(alike).alias("n"),
+        F.max(F.struct(rank.alias("rank"), "set", *columns)).over(alike).alias("lead"),
+    )
+    return led.where("n > 1 or again")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("set", "pset").alias("a"), F.greatest("set", "pset").alias("b")).distinct()
+
+
 def linked_components(
-    lists: DataFrame,
-    share: Column,
-    candidates: Callable[[DataFrame, DataFrame, str], DataFrame],
-    link: Callable[[DataFrame], DataFrame],
+    lists: DataFrame, fits: Callable[[str, str], str], probe: Callable[[DataFrame], DataFrame], keys: list[str], link: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """``node, comp`` of every set with a link. ``lists`` has rows ``token, set`` and other columns.
+    """``node, comp`` of every set with a link, from written ``index_lists``.
 
-    ``share`` ranks a set over its rows: the highest in a list leads it. ``candidates(probes,
-    lists, condition)`` gives distinct pairs ``a < b`` of a probe and an entry of its list, the
-    condition being on the components ``pcomp`` and ``comp``; ``link(pairs)`` gives those that link.
+    ``fits(a, b)`` is the condition, in the entries' columns with these prefixes, under which a
+    pair of a list may link. ``probe(entries)`` prepares entries, with columns prefixed ``p``, to
+    meet others on ``keys``; ``link(pairs)`` gives the pairs ``a < b`` that do link.
     """
-    others = [c for c in lists.columns if c not in ("token", "set")]
-    ranked = pin(lists.join(lists.groupBy("set").agg(share.alias("share")), "set"), "ranked")
-    leaders = pin(
-        ranked.groupBy("token").agg(F.max(F.struct("share", "set", *others)).alias("l"))
-        .select("token", "l.set", *[f"l.{c}" for c in others], F.col("l.set").alias("comp")),
-        "leaders",
-    )
-    first = pin(candidates(leaders, lists, "true"), "first-pairs")
+    columns = [c for c in lists.columns if c not in ("token", "set", "again", "n", "lead")]
+    star = lists.where("set <> lead.set").select("set", *columns, F.col("lead.set").alias("pset"), *[F.col(f"lead.{c}").alias(f"p{c}") for c in columns])
+    first = pin(_pairs(star.where(fits("", "p"))), "first-pairs")
     links = pin(link(first), "first-links")
     labels = components(links)
-    own = labels.withColumnRenamed("node", "set")
-    named = pin(lists.join(own, "set", "left").withColumn("comp", F.coalesce("comp", "set")), "named")
-    led = leaders.drop("comp").join(own, "set", "left").select("token", F.coalesce("comp", "set").alias("lead"))
-    apart = named.join(pin(led, "led"), "token").where("comp <> lead").drop("lead")
-    second = pin(candidates(apart, named, "comp <> pcomp").join(first, ["a", "b"], "left_anti"), "second-pairs")
+    # In a list of two sets, its leader has answered for both.
+    larger = lists.where("n > 2").select("token", "set", *columns, F.col("lead.set").alias("lead"))
+    own = labels.select(F.col("node").alias("set"), "comp")
+    lead = labels.select(F.col("node").alias("lead"), F.col("comp").alias("led"))
+    named = (
+        larger.join(own, "set", "left").join(lead, "lead", "left")
+        .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")}).drop("lead")
+    )
+    named = pin(named, "named")
+    apart = named.where("comp <> led").drop("led")
+    probes = probe(apart.withColumnsRenamed({c: f"p{c}" for c in ("set", "comp", *columns)}))
+    met = named.drop("led").join(probes, ["token", *keys]).where(f"set <> pset and comp <> pcomp and {fits('', 'p')}")
+    second = pin(_pairs(met).join(first, ["a", "b"], "left_anti"), "second-pairs")
     if second.isEmpty():
         return labels
     return components(links.union(link(second)))
 
 
-def _judged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], percent: int, sets: Callable[[pa.RecordBatch, str], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
-        for x, y in zip(batch.column("ta"), batch.column("tb")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
+        for x, y in zip(sets(batch, "ta"), sets(batch, "tb")):
             shared = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold; ``sets`` has ``set, tokens``."""
-    of_a = sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
-    of_b = sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, sets: Callable[[pa.RecordBatch, str], Iterator[np.ndarray]]) -> DataFrame:
+    """The pairs whose exact Jaccard similarity reaches the threshold.
+
+    ``texts`` has one row ``set, text`` per set; ``sets(batch, column)`` gives the distinct hashes
+    of each text. Texts travel instead of hashes, as they pack better.
+    """
+    of_a = texts.select(F.col("set").alias("a"), F.col("text").alias("ta"))
+    of_b = texts.select(F.col("set").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(partial(_judged, percent=percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+    return both.mapInArrow(partial(_judged, percent=percent, sets=sets), "a long, b long, linked boolean").where("linked").select("a", "b")

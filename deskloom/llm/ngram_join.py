@@ -22,12 +22,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
-from deskloom.llm.common import col, documents, pin, text_of
-from deskloom.llm.linking import linked_components, verified
+from deskloom.llm.common import col, documents, few, pin, text_of
+from deskloom.llm.linking import index_lists, linked_components, verified
 
 WORDS = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -84,7 +84,10 @@ def prefix_length(size, percent: int):
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -> Iterator[pa.RecordBatch]:
-    """Index entries ``token, set, size, pos`` of every distinct set of the task."""
+    """Index entries ``token, set, size, pos`` of every distinct set of the task.
+
+    ``share`` is how much of its prefix is common, in thousandths.
+    """
     tokens, counts = common.value
     seen: set[int] = set()
     for batch in batches:
@@ -98,26 +101,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                     count = np.where(tokens[at] == own, counts[at], 0)
-                    own = own[np.argsort(count, kind="stable")]
+                    order = np.argsort(count, kind="stable")
+                    own, count = own[order], count[order]
+                else:
+                    count = np.zeros(len(own), np.int64)
                 head = own[: prefix_length(len(own), percent)]
-                out.append((head, key, len(own)))
+                out.append((head, key, len(own), int(1000 * np.mean(count[: len(head)] > 0))))
             if out:
-                sizes = [len(h) for h, _, _ in out]
+                sizes = [len(h) for h, *_ in out]
+                spread = lambda i, kind: pa.array(np.repeat(np.array([x[i] for x in out], kind), sizes))
                 yield pa.record_batch([
-                    pa.array(H.signed(np.concatenate([h for h, _, _ in out]))),
-                    pa.array(np.repeat(np.array([s for _, s, _ in out], np.int64), sizes)),
-                    pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), sizes)),
-                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
-                ], names=["token", "set", "size", "pos"])
+                    pa.array(H.signed(np.concatenate([h for h, *_ in out]))), spread(1, np.int64), spread(2, np.int32),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])), spread(3, np.int16),
+                ], names=["token", "set", "size", "pos", "share"])
 
 
-def _token_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, end, data, offsets in H.slices(batch, "text"):
-            sets = H.distinct_sets(data, offsets, k)
-            yield pa.record_batch([
-                batch.column("set").slice(row, end - row), pa.array([H.signed(s) for s in sets], pa.list_(pa.int64())),
-            ], names=["set", "tokens"])
+def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in H.slices(batch, column):
+        yield from H.distinct_sets(data, offsets, k)
 
 
 def _blocked(entries: DataFrame) -> DataFrame:
@@ -147,18 +148,17 @@ def _possible_blocks(size: Column, pos: Column, by_size: Column, percent: int) -
     return F.array_compact(F.array(*found))
 
 
-def _candidates(probes: DataFrame, lists: DataFrame, extra: str, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of a probe and an entry of its list that pass all filters."""
-    sent = probes.select(
-        "token", F.col("set").alias("pset"), F.col("size").alias("psize"), F.col("pos").alias("ppos"), F.col("comp").alias("pcomp"),
-        F.explode(_possible_blocks(F.col("size"), F.col("pos"), F.col("by_size"), percent)).alias("block"),
-    ).select("*", F.col("block.by_size").alias("by_size"), F.col("block.by_pos").alias("by_pos")).drop("block")
-    met = lists.join(sent, ["token", "by_size", "by_pos"]).where(
-        f"""set <> pset and {extra}
-        and {100 + percent} * least(size - pos, psize - ppos) >= {percent} * (size + psize)
-        and 100 * least(size, psize) >= {percent} * greatest(size, psize)"""
-    )
-    return met.select(F.least("set", "pset").alias("a"), F.greatest("set", "pset").alias("b")).distinct()
+def _probe(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries once for each block of their list that they could reach."""
+    possible = _possible_blocks(F.col("psize"), F.col("ppos"), F.col("pby_size"), percent)
+    sent = entries.withColumn("block", F.explode(possible)).drop("pby_size", "pby_pos")
+    return sent.select("*", "block.by_size", "block.by_pos").drop("block")
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    """Whether two entries' sets could still reach the threshold, by their sizes and positions."""
+    return f"""{100 + percent} * least({a}size - {a}pos, {b}size - {b}pos) >= {percent} * ({a}size + {b}size)
+        and 100 * least({a}size, {b}size) >= {percent} * greatest({a}size, {b}size)"""
 
 
 def jaccard_components(
@@ -193,20 +193,13 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], often["n"].to_numpy(np.int64)[order]))
     entries = docs.select("text").mapInArrow(
-        partial(_prefixes, k=words, percent=percent, common=common), "token long, set long, size int, pos int"
+        partial(_prefixes, k=words, percent=percent, common=common), "token long, set long, size int, pos int, share short"
     )
-    alike = Window.partitionBy("token")
-    lists = pin(
-        _blocked(
-            entries.withColumn("prev", F.lag("set").over(alike.orderBy("set")))
-            .withColumns({"low": F.min("set").over(alike), "high": F.max("set").over(alike)})
-            .where("low <> high and (prev is null or prev <> set)")
-            .select("token", "set", "size", "pos")
-        ),
-        "lists",
+    lists = pin(_blocked(index_lists(entries, F.col("share")).drop("share")), "lists")
+    labels = linked_components(
+        lists.withColumn("lead", F.struct("lead.set", "lead.size", "lead.pos", F.lit(0).alias("by_size"), F.lit(0).alias("by_pos"))),
+        partial(_fits, percent=percent), partial(_probe, percent=percent), ["by_size", "by_pos"], partial(_link, docs, sets, words, percent),
     )
-    share = F.count("*") / (F.max("size") - F.ceil(F.max("size") * percent / 100) + 1)
-    labels = linked_components(lists, share, partial(_candidates, percent=percent), partial(_link, docs, sets, words, percent))
     return _by_document(docs.select("doc_id", "doc_key"), sets, labels)
 
 
@@ -214,9 +207,8 @@ def _link(docs: DataFrame, sets: DataFrame, words: int, percent: int, pairs: Dat
     """The pairs that link, judged on whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     chosen = pin(sets.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key")), "chosen")
-    texts = docs.select("doc_key", "text").join(chosen, "doc_key").select("set", "text")
-    known = texts.mapInArrow(partial(_token_sets, k=words), "set long, tokens array<long>").dropDuplicates(["set"])
-    return verified(pairs, pin(known, "sets"), percent)
+    texts = docs.select("doc_key", "text").join(few(chosen), "doc_key").dropDuplicates(["set"]).select("set", "text")
+    return verified(pairs, pin(texts, "texts"), percent, partial(_sets, k=words))
 
 
 def _by_document(docs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
 from deskloom.llm.common import col, documents, pin, text_of
-from deskloom.llm.linking import linked_components, verified
+from deskloom.llm.linking import index_lists, linked_components, verified
 
 WORDS = 5
 PERCENT = 75
@@ -122,28 +122,27 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
             ], names=["doc_key", "set", "start", "end"])
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The distinct runs of words of the wanted paragraphs of each text."""
+def _wanted_texts(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
+    """``set, text`` of the wanted paragraphs of each document."""
     for batch in batches:
         wanted = batch.column("wanted")
         for row, end, data, offsets in H.slices(batch, "text"):
             found = paragraphs(data, offsets, least, k)
-            ids, sets = [], []
+            raw = data.tobytes()
+            digests = H.signed(found["digest"])
+            ids, texts = [], []
             bounds = np.searchsorted(found["document"], np.arange(end - row + 1))
             for d in range(end - row):
                 own = slice(bounds[d], bounds[d + 1])
-                asked = np.isin(H.signed(found["digest"][own]), wanted[row + d].values.to_numpy())
-                for i in np.flatnonzero(asked) + bounds[d]:
-                    at, words = found["at"][i], found["words"][i]
-                    ids.append(int(H.signed(found["digest"][i : i + 1])[0]))
-                    sets.append(H.signed(np.unique(found["runs"][at : at + words - k + 1])))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set", "tokens"])
+                for i in np.flatnonzero(np.isin(digests[own], wanted[row + d].values.to_numpy())) + bounds[d]:
+                    ids.append(int(digests[i]))
+                    texts.append(raw[found["start"][i] : found["end"][i]].decode())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["set", "text"])
 
 
-def _meeting(probes: DataFrame, lists: DataFrame, condition: str) -> DataFrame:
-    sent = probes.select("token", F.col("set").alias("pset"), F.col("comp").alias("pcomp"))
-    met = lists.join(sent, "token").where(f"set <> pset and {condition}")
-    return met.select(F.least("set", "pset").alias("a"), F.greatest("set", "pset").alias("b")).distinct()
+def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in H.slices(batch, column):
+        yield from H.distinct_sets(data, offsets, k)
 
 
 def _linked(docs: DataFrame, places: DataFrame, least: int, k: int, percent: int, pairs: DataFrame) -> DataFrame:
@@ -151,8 +150,8 @@ def _linked(docs: DataFrame, places: DataFrame, least: int, k: int, percent: int
     chosen = places.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key"))
     wanted = pin(chosen.groupBy("doc_key").agg(F.collect_set("set").alias("wanted")), "wanted")  # a document's own paragraphs
     texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("text", "wanted")
-    sets = texts.mapInArrow(partial(_wanted_sets, least=least, k=k), "set long, tokens array<long>").dropDuplicates(["set"])
-    return verified(pairs, pin(sets, "paragraph-sets"), percent)
+    found = texts.mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string").dropDuplicates(["set"])
+    return verified(pairs, pin(found, "paragraph-texts"), percent, partial(_sets, k=k))
 
 
 def repeated_passages(
@@ -174,22 +173,16 @@ def repeated_passages(
     entries = docs.select("text").mapInArrow(
         partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long"
     )
-    alike = Window.partitionBy("token")
-    met = pin(
-        entries.withColumns({"prev": F.lag("set").over(alike.orderBy("set")), "low": F.min("set").over(alike), "high": F.max("set").over(alike)})
-        .where("low <> high or prev = set").select("token", "set", F.coalesce(F.col("prev") == F.col("set"), F.lit(False)).alias("again")),
-        "met",
-    )
-    lists = met.where("not again").select("token", "set")
-    several = lists.groupBy("token").agg((F.min("set") != F.max("set")).alias("s")).where("s").select("token")
-    lists = pin(lists.join(several, "token", "left_semi"), "band-lists")
+    met = pin(index_lists(entries, F.lit(0)), "band-lists")
     active = pin(met.select("set").distinct(), "active")
     places = pin(
         docs.select("doc_key", "text").mapInArrow(partial(_occurrences, least=least, k=words), "doc_key long, set long, start int, end int")
         .join(active, "set", "left_semi").distinct(),
         "places",
     )
-    labels = linked_components(lists, F.count("*"), _meeting, partial(_linked, docs, places, least, words, percent))
+    labels = linked_components(
+        met.where("n > 1"), lambda a, b: "true", lambda probes: probes, [], partial(_linked, docs, places, least, words, percent)
+    )
     clustered = places.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("cluster", F.coalesce("comp", "set"))
     ids = docs.select("doc_key", "doc_id").distinct()
     clustered = pin(clustered.select("doc_key", "cluster", "start", "end").join(ids, "doc_key"), "clustered")
