@@ -68,7 +68,8 @@ def linked_components(
     named = pin(named, "named")
     apart = named.where("comp <> led").drop("led")
     probes = probe(apart.withColumnsRenamed({c: f"p{c}" for c in ("set", "comp", *columns)}))
-    met = named.drop("led").join(probes, ["token", *keys]).where(f"set <> pset and comp <> pcomp and {fits('', 'p')}")
+    # Two probes of a list meet once, in the order of their sets.
+    met = named.join(probes, ["token", *keys]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {fits('', 'p')}")
     second = pin(_pairs(met).join(first, ["a", "b"], "left_anti"), "second-pairs")
     if second.isEmpty():
         return labels
