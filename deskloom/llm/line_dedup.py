@@ -35,18 +35,20 @@ def _lines(df: DataFrame, id_col: str, text_col: str, similarity: float) -> Data
         F.split(text, "\n", -1).alias("lines"),
     )
     lines = docs.select("doc_key", "doc_id", "content", F.posexplode("lines").alias("pos", "line"))
-    plain = F.regexp_replace(F.regexp_replace("line", f"^[{_SPACE}]+|[{_SPACE}]+$", ""), f"[{_SPACE}]+", " ")
+    # The patterns that replace run on the few lines that need them.
+    loose = F.col("line").rlike(r"[\t\x0B\f\r]|  |^ | $")
+    tidy = F.regexp_replace(F.regexp_replace("line", f"^[{_SPACE}]+|[{_SPACE}]+$", ""), f"[{_SPACE}]+", " ")
+    plain = F.when(loose, tidy).otherwise(F.col("line"))
     plain_lines = lines.withColumn("plain", plain).drop("line")
     fields = plain_lines.withColumns({
-        "masked": F.regexp_replace("plain", _WITH_DIGIT, _WILD),
+        "masked": F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", _WITH_DIGIT, _WILD)).otherwise(F.col("plain")),
         "n": F.length("plain") - F.length(F.translate("plain", " ", "")) + 1,
     }).where(F.col("n") >= MIN_TOKENS)
     wild = (F.length("masked") - F.length(F.replace("masked", F.lit(_WILD)))) / len(_WILD)
-    tokens = F.split("masked", " ", -1)
     return (
         fields.withColumn("masked", F.when(F.col("n") - wild >= F.col("n") * similarity, F.col("masked")).otherwise(F.col("plain")))
         .drop("plain")
-        .withColumn("leaf", F.xxhash64("n", F.array_join(F.slice(tokens, 1, DEPTH), " ")))
+        .withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
     )
 
 
@@ -116,7 +118,8 @@ def drop_recurring_lines(
     lines = F.split(own, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     cleaned = F.when(F.col("dropped").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    joined = packed.join(drops, "doc_key", "left")
+    # The lists of lines grow with the corpus, so they are never broadcast.
+    joined = packed.join(drops.hint("merge"), "doc_key", "left")
     kept = [
         (cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns if c not in ("n_lines", "n_dropped")
     ]
