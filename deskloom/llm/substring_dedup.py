@@ -134,7 +134,9 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iter
             bounds = np.searchsorted(found["document"], np.arange(end - row + 1))
             for d in range(end - row):
                 own = slice(bounds[d], bounds[d + 1])
-                for i in np.flatnonzero(np.isin(digests[own], wanted[row + d].values.to_numpy())) + bounds[d]:
+                once = np.zeros(bounds[d + 1] - bounds[d], bool)
+                once[np.unique(digests[own], return_index=True)[1]] = True
+                for i in np.flatnonzero(once & np.isin(digests[own], wanted[row + d].values.to_numpy())) + bounds[d]:
                     ids.append(int(digests[i]))
                     texts.append(raw[found["start"][i] : found["end"][i]].decode())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["set", "text"])
@@ -150,7 +152,7 @@ def _linked(docs: DataFrame, places: DataFrame, least: int, k: int, percent: int
     chosen = places.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key"))
     wanted = pin(chosen.groupBy("doc_key").agg(F.collect_set("set").alias("wanted")), "wanted")  # a document's own paragraphs
     texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("text", "wanted")
-    found = texts.mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string").dropDuplicates(["set"])
+    found = texts.mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string")
     return verified(pairs, pin(found, "paragraph-texts"), percent, partial(_sets, k=k))
 
 
