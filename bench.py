@@ -42,6 +42,10 @@ HEADLINE = (
     "apply_user_updates",
     "audit_events",
     "latest_audit",
+    "diff_tickets",
+    "status_transitions",
+    "ingested_tickets",
+    "audit_stream",
 )
 
 

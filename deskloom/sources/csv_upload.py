@@ -18,8 +18,6 @@ _CLOSED_LINE = f"^{_CLOSED_CELL}(?:,{_CLOSED_CELL})*+$"
 _CELLS = r',("(?:[^"]|"")*+(?:"[^,]*+)?|[^,]*+)'
 _QUOTED = r'(?s)^"((?:[^"]|"")*+)(?:"(.*))?$'
 
-# Fixed value: the longest cell the upload reader takes.
-CELL_LIMIT = 131_072
 # Records above this length are reported as too long without being put together.
 RECORD_LIMIT = 16_777_216
 
@@ -186,7 +184,7 @@ def parse_uploads(lines: DataFrame) -> DataFrame:
     records = _records(lines).where((F.col("row_num") > 1) & F.col("slots").isNotNull())
     parsed = records.withColumn("cells", _cells(F.col("record")))
     short = F.exists("slots", lambda slot: slot > F.size("cells"))
-    too_long = F.col("record").isNull() | F.exists("cells", lambda c: F.length(c) > CELL_LIMIT)
+    too_long = F.col("record").isNull()
     return parsed.select(
         "file",
         F.col("row_num").cast("bigint").alias("row_num"),

@@ -32,7 +32,7 @@ def jdbc_options(
     url: str | None = None,
     host: str = "localhost",
     port: int = 3306,
-    database: str = "ticketing_db",
+    database: str | None = None,
     user: str | None = None,
     password: str | None = None,
 ) -> dict[str, str]:
@@ -43,6 +43,8 @@ def jdbc_options(
         database = parsed.path[1:] or database
         user = unquote(parsed.username) if parsed.username else user
         password = unquote(parsed.password) if parsed.password else password
+    if not database:
+        raise ValueError("name the database, in the URL or by itself")
     options = {"url": f"jdbc:mysql://{host}:{port}/{database}"}
     if user:
         options["user"] = user

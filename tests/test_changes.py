@@ -156,7 +156,9 @@ def test_sources(spark):
     assert select_users(raw).columns == ["id", "email", "first_name", "last_name", "role", "is_active"]
     options = jdbc_options("mysql://me:p%40ss@db.example.com:3307/desk")
     assert options == {"url": "jdbc:mysql://db.example.com:3307/desk", "user": "me", "password": "p@ss"}
-    assert jdbc_options(user="u")["url"] == "jdbc:mysql://localhost:3306/ticketing_db"
+    assert jdbc_options(database="desk", user="u")["url"] == "jdbc:mysql://localhost:3306/desk"
+    with pytest.raises(ValueError, match="database"):
+        jdbc_options(user="u")
 
 
 def test_hot_keys_are_cut_before_the_shuffle(spark, users):

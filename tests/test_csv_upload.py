@@ -123,6 +123,12 @@ def test_endless_quote_is_one_long_record(spark, monkeypatch):
         assert errors == [None, "Row 3: Field larger than the field limit"]
 
 
+def test_a_very_long_extra_cell_is_accepted(spark):
+    text = f'{HEADER},note\nA,1,,s,c,,,{"x" * 140_000}'
+    row = U.parse_uploads(as_lines(spark, {"f": text}, 1000)).first()
+    assert (row["store_name"], row["short"], row["too_long"]) == ("A", False, False)
+
+
 def test_large_file_is_split(spark, tmp_path):
     """Several scan splits of one file give the same rows as one."""
     rows = "".join(f'Store {i},0917,,"multi\nline, {i}",c,,\n' for i in range(3000))
