@@ -19,24 +19,29 @@ from deskloom.llm.common import pin
 from deskloom.llm.components import components
 
 
-def index_lists(entries: DataFrame, rank: Column) -> DataFrame:
+def index_lists(entries: DataFrame, rank: Column, source: str | None = None) -> DataFrame:
     """Lists of ``token, set`` and other columns, each set once: its entries with ``n``, the list's
     number of sets, ``lead``, the entry of the highest rank, and ``again``, whether the set came from
     several tasks. Entries alone in their list are left out unless they came again.
 
+    ``source`` names a column that says where an entry comes from, for lists that are to link
+    different sources only. A set's entry is then that of its least source, ``again`` tells of
+    several sources, and lists of a single source are left out.
+
     One shuffle by token serves all of it.
     """
     columns = [c for c in entries.columns if c not in ("token", "set")]
     alike = Window.partitionBy("token")
-    in_order = alike.orderBy("set")
-    once = entries.withColumns({"prev": F.lag("set").over(in_order), "again": F.lead("set").over(in_order)}).where(
-        "prev is null or prev <> set"
-    )
+    own = [source] if source else []
+    in_order = alike.orderBy("set", *own)
+    again = F.max(source).over(Window.partitionBy("token", "set")) > F.col(source) if source else F.lead("set").over(in_order) == F.col("set")
+    once = entries.withColumns({"prev": F.lag("set").over(in_order), "again": again}).where("prev is null or prev <> set")
     led = once.select(
-        "token", "set", *columns, F.coalesce(F.col("again") == F.col("set"), F.lit(False)).alias("again"), F.count("*").over(alike).alias("n"),
+        "token", "set", *columns, F.coalesce("again", F.lit(False)).alias("again"), F.count("*").over(alike).alias("n"),
         F.max(F.struct(rank.alias("rank"), "set", *columns)).over(alike).alias("lead"),
+        *[(F.min(c).over(alike) < F.max(c).over(alike)).alias("several") for c in own],
     )
-    return led.where("n > 1 or again")
+    return led.where("several or again").drop("several") if source else led.where("n > 1 or again")
 
 
 def _pairs(met: DataFrame) -> DataFrame:

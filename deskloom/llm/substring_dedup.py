@@ -5,6 +5,10 @@ words, so a passage that is set into other text still begins paragraphs of its o
 MinHash signatures over runs of five words; bands of them are tuned for recall. Paragraphs that
 meet in a band are verified on exact Jaccard similarity, linked ones are clustered by components,
 and a cluster that spans documents keeps its paragraphs in the first of them and removes the others.
+
+Paragraphs of one document overlap, so most that meet are neighbours. Two paragraphs that both
+occur in one document are not compared: any other document that has either of them repeats that
+document anyway.
 """
 
 from __future__ import annotations
@@ -92,21 +96,27 @@ def band_keys(found: dict[str, np.ndarray], count: int, rows: int, k: int) -> np
 
 
 def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """``token, set`` per band of a paragraph; equal paragraphs of a task at most twice."""
-    seen: dict[int, int] = {}
+    """``token, set, source`` per band of a paragraph; equal paragraphs of a task for two documents at most."""
+    seen: dict[int, int | None] = {}  # the first document; none after the second
     for batch in batches:
-        for _, _, data, offsets in H.slices(batch, "text"):
+        keys = batch.column("doc_key").to_numpy()
+        for row, _, data, offsets in H.slices(batch, "text"):
             found = paragraphs(data, offsets, least, k)
-            fresh = np.zeros(len(found["digest"]), bool)
-            for i, digest in enumerate(found["digest"].tolist()):
-                met = seen.get(digest, 0)
-                if met < 2:
-                    seen[digest] = met + 1
+            source = keys[row + found["document"]]
+            fresh = np.zeros(len(source), bool)
+            for i, (digest, own) in enumerate(zip(found["digest"].tolist(), source.tolist())):
+                if digest not in seen:
+                    seen[digest] = own
+                    fresh[i] = True
+                elif seen[digest] not in (None, own):
+                    seen[digest] = None
                     fresh[i] = True
             if fresh.any():
                 part = {c: found[c][fresh] for c in ("at", "words", "digest")} | {"runs": found["runs"]}
-                keys = band_keys(part, count, rows, k)
-                yield pa.record_batch([pa.array(H.signed(keys.reshape(-1))), pa.array(H.signed(np.repeat(part["digest"], count)))], names=["token", "set"])
+                tokens = band_keys(part, count, rows, k)
+                yield pa.record_batch([
+                    pa.array(H.signed(tokens.reshape(-1))), pa.array(H.signed(np.repeat(part["digest"], count))), pa.array(np.repeat(source[fresh], count)),
+                ], names=["token", "set", "source"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -172,10 +182,10 @@ def repeated_passages(
     """
     docs = df.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     count = bands(percent, rows, recall)
-    entries = docs.select("text").mapInArrow(
-        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long"
+    entries = docs.select("doc_key", "text").mapInArrow(
+        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long, source long"
     )
-    met = pin(index_lists(entries, F.lit(0)), "band-lists")
+    met = pin(index_lists(entries, F.lit(0), "source"), "band-lists")
     active = pin(met.select("set").distinct(), "active")
     places = pin(
         docs.select("doc_key", "text").mapInArrow(partial(_occurrences, least=least, k=words), "doc_key long, set long, start int, end int")
@@ -183,7 +193,7 @@ def repeated_passages(
         "places",
     )
     labels = linked_components(
-        met.where("n > 1"), lambda a, b: "true", lambda probes: probes, [], partial(_linked, docs, places, least, words, percent)
+        met.where("n > 1"), lambda a, b: f"{a}source <> {b}source", lambda probes: probes, [], partial(_linked, docs, places, least, words, percent)
     )
     clustered = places.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("cluster", F.coalesce("comp", "set"))
     ids = docs.select("doc_key", "doc_id").distinct()

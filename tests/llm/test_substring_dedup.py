@@ -120,3 +120,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert repeated_passages(no_docs).collect() == []
     whole = remove_passages(odd_docs, repeated_passages(odd_docs))
     assert whole.columns == odd_docs.columns and whole.count() == odd_docs.count()
+
+
+def test_a_document_that_repeats_itself_is_left_alone(spark):
+    first, second = text(6), text(6)
+    words = first.split()
+    words[20] = "changed"
+    docs = [first + "\n" + " ".join(words) + "\n" + first, second, text(6)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert repeated_passages(df).collect() == []
+    both = df.union(spark.createDataFrame([(7, text(5) + "\n" + " ".join(words))], df.schema))
+    rows = repeated_passages(both).collect()
+    assert {(r["doc_id"], r["removed"]) for r in rows} == {(0, False), (7, True)}
+    (end,) = {r["span_end"] for r in rows if r["removed"]}
+    assert end == len(both.where("doc_id = 7").first()["text"])
