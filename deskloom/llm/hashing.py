@@ -124,3 +124,24 @@ def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.
     hashes, _, first = words(data, offsets)
     runs, bounds = shingles(hashes, first, k)
     return [np.unique(runs[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit per bucket of a set: whether an odd number of its hashes fall there.
+
+    There are at least as many buckets as hashes, a power of two and no less than 64. Where two
+    such sketches differ, exactly one of the sets has a hash of its own.
+    """
+    size = 1 << max(6, int(len(hashes) - 1).bit_length() if len(hashes) else 0)
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of hashes that only one of two sets has, from their ``parity``.
+
+    The longer sketch is folded: a bucket's parity is that of the buckets it is split into.
+    """
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    return int(np.unpackbits(np.bitwise_xor.reduce(a.reshape(-1, size)) ^ np.bitwise_xor.reduce(b.reshape(-1, size))).sum())

@@ -12,6 +12,8 @@ share come last and seldom reach a prefix. Three relations between sets save wor
   whole lists. A class linked with a leader inherits the leader's component, so only pairs whose
   members do not already lie in one component are looked at again.
 - Every remaining pair is verified on the whole sets, so no link between different texts is lost.
+  Before texts travel, a pair is held against a bound from sketches of about a bit per shingle; it
+  only refuses pairs that cannot link.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Per document ``doc_key, set, n``; per block of distinct sets, ``token, n`` of repeated shingles."""
+    """Per document ``doc_key, set, n``, and ``sketch`` once per set of the task; per block of distinct
+    sets, ``token, n`` of repeated shingles, the token as ``set``."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     count = 0
@@ -57,21 +60,25 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         size = int(often.sum())
         return pa.record_batch([
             pa.nulls(size, pa.int64()), pa.array(H.signed(tokens[often])), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(size, bool)),
-        ], names=["doc_key", "set", "n", "is_doc"])
+            pa.nulls(size, pa.binary()),
+        ], names=["doc_key", "set", "n", "is_doc", "sketch"])
 
     for batch in batches:
         keys = batch.column("doc_key")
         for row, end, data, offsets in H.slices(batch, "text"):
             sets = H.distinct_sets(data, offsets, k)
             ids = [set_key(s) for s in sets]
-            for key, tokens in zip(ids, sets):
+            sketches: list[bytes | None] = [None] * len(sets)
+            for i, (key, tokens) in enumerate(zip(ids, sets)):
                 if key not in seen:
                     seen.add(key)
+                    sketches[i] = H.parity(tokens)
                     held.append(tokens)
                     count += len(tokens)
             yield pa.record_batch([
                 keys.slice(row, end - row), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ones(len(sets), bool)),
-            ], names=["doc_key", "set", "n", "is_doc"])
+                pa.array(sketches, pa.binary()),
+            ], names=["doc_key", "set", "n", "is_doc", "sketch"])
             if count >= _BLOCK_TOKENS:
                 yield repeated()
                 held, count = [], 0
@@ -181,10 +188,11 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     docs = df.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     seen = pin(
-        docs.select("doc_key", "text").mapInArrow(partial(_survey, k=words), "doc_key long, set long, n long, is_doc boolean"),
+        docs.select("doc_key", "text").mapInArrow(partial(_survey, k=words), "doc_key long, set long, n long, is_doc boolean, sketch binary"),
         "survey",
     )
     sets = seen.where("is_doc").select("doc_key", "set", "n")
+    sketches = seen.where("sketch is not null").select("set", "n", "sketch")
     often = (
         seen.where("not is_doc").groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
         .orderBy(F.desc("n"), "set").limit(MOST_COMMON).toPandas()
@@ -198,13 +206,26 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     lists = pin(_blocked(index_lists(entries, F.col("share")).drop("share")), "lists")
     labels = linked_components(
         lists.withColumn("lead", F.struct("lead.set", "lead.size", "lead.pos", F.lit(0).alias("by_size"), F.lit(0).alias("by_pos"))),
-        partial(_fits, percent=percent), partial(_probe, percent=percent), ["by_size", "by_pos"], partial(_link, docs, sets, words, percent),
+        partial(_fits, percent=percent), partial(_probe, percent=percent), ["by_size", "by_pos"], partial(_link, docs, sets, sketches, words, percent),
     )
     return _by_document(docs.select("doc_id", "doc_key"), sets, labels)
 
 
-def _link(docs: DataFrame, sets: DataFrame, words: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs that link, judged on whole sets."""
+def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, na, nb, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb"))
+        # A link needs (100 + percent) * difference <= (100 - percent) * (size + size').
+        keep = [(100 + percent) * H.least_difference(p, q) <= (100 - percent) * (m + n) for p, q, m, n in zip(x, y, na, nb)]
+        kept = pa.array(keep, pa.bool_())
+        yield pa.record_batch([pa.array(a, pa.int64()).filter(kept), pa.array(b, pa.int64()).filter(kept)], names=["a", "b"])
+
+
+def _link(docs: DataFrame, sets: DataFrame, sketches: DataFrame, words: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """The pairs that link: those that their sketches allow, judged on whole sets."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    known = pin(sketches.join(ends, "set", "left_semi").dropDuplicates(["set"]), "sketches")
+    of_a, of_b = (known.withColumnsRenamed({"set": e, "n": f"n{e}", "sketch": f"x{e}"}) for e in "ab")
+    pairs = pin(pairs.join(of_b, "b").join(of_a, "a").mapInArrow(partial(_may_link, percent=percent), "a long, b long"), "likely-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     chosen = pin(sets.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key")), "chosen")
     texts = docs.select("doc_key", "text").join(few(chosen), "doc_key").dropDuplicates(["set"]).select("set", "text")

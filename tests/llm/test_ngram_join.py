@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -98,3 +99,17 @@ def test_hashes_follow_the_words():
         sets = [s for _, _, data, offsets in H.slices(batch, "text", limit) for s in H.distinct_sets(data, offsets)]
         assert [len(s) for s in sets] == [len(shingle_set(t)) for t in texts]
         assert len(np.intersect1d(sets[0], sets[4])) == 1
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n, kept, m in itertools.product((0, 1, 5, 64, 65, 1000), (0.0, 0.5, 0.9, 1.0), (0, 3, 70, 3000)):
+        x = np.unique(draw(n))
+        y = np.unique(np.concatenate([x[: int(n * kept)], draw(m)]))
+        true = len(np.setxor1d(x, y))
+        for a, b in ((x, y), (y, x)):
+            assert H.least_difference(H.parity(a), H.parity(b)) <= true
+        assert H.least_difference(H.parity(x), H.parity(x)) == 0
+    x, y = np.unique(draw(800)), np.unique(draw(800))
+    assert 7 * H.least_difference(H.parity(x), H.parity(y)) > len(x) + len(y)  # strangers are refused
