@@ -72,7 +72,7 @@ def recurring_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``doc_key, dropped``: the positions (from 0) of the lines to drop, per document that has any."""
-    lines = _lines(df, id_col, text_col, similarity)
+    lines = pin(_lines(df, id_col, text_col, similarity), "lines")  # masking costs more than to read it again
     busy = pin(lines.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).drop("c"), "busy-leaves")
     found = lines.join(busy, "leaf", "left_semi").withColumn("line", F.xxhash64("masked"))
     pinned = pin(found.select("doc_key", "doc_id", "content", "pos", "leaf", "line", "n", "masked"), "tree-lines")
