@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import col, documents, pin, text_of
+from deskloom.llm.common import col, documents, few, pin, text_of
 
 #: Leading tokens that lead to a leaf, after the number of tokens.
 DEPTH = 3
@@ -27,28 +27,28 @@ _WILD = "<*>"
 _WITH_DIGIT = f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*"
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """``doc_key, doc_id, content, pos, leaf, masked`` of every line that is long enough."""
-    text = text_of(text_col)
-    docs = df.select(
-        col(id_col).alias("doc_id"), F.xxhash64(col(id_col), text).alias("doc_key"), F.xxhash64(text).alias("content"),
-        F.split(text, "\n", -1).alias("lines"),
-    )
-    lines = docs.select("doc_key", "doc_id", "content", F.posexplode("lines").alias("pos", "line"))
-    # The patterns that replace run on the few lines that need them.
-    loose = F.col("line").rlike(r"[\t\x0B\f\r]|  |^ | $")
-    tidy = F.regexp_replace(F.regexp_replace("line", f"^[{_SPACE}]+|[{_SPACE}]+$", ""), f"[{_SPACE}]+", " ")
-    plain = F.when(loose, tidy).otherwise(F.col("line"))
-    plain_lines = lines.withColumn("plain", plain).drop("line")
-    fields = plain_lines.withColumns({
-        "masked": F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", _WITH_DIGIT, _WILD)).otherwise(F.col("plain")),
-        "n": F.length("plain") - F.length(F.translate("plain", " ", "")) + 1,
-    }).where(F.col("n") >= MIN_TOKENS)
-    wild = (F.length("masked") - F.length(F.replace("masked", F.lit(_WILD)))) / len(_WILD)
+def _lines(docs: DataFrame, similarity: float) -> DataFrame:
+    """``doc_key, doc_id, content, pos, n, masked, leaf, line`` of every line that is long enough.
+
+    ``docs`` has ``doc_key, doc_id, content, text``. Patterns run on the few texts and lines that
+    need them; the rest is counted and cut without any.
+    """
+    text = F.col("text")
+    signs = ["\t", "\x0b", "\f", "\r", "  ", " \n", "\n "]
+    loose = text.startswith(" ") | text.endswith(" ")
+    for sign in signs:
+        loose = loose | F.contains(text, F.lit(sign))
+    tidy = F.btrim(F.regexp_replace(F.regexp_replace(text, f"[{_SPACE}]+", " "), " ?\n ?", "\n"), F.lit(" "))
+    plain = docs.withColumn("text", F.when(loose, tidy).otherwise(text)).withColumn("lines", F.split("text", "\n", -1)).drop("text")
+    lines = plain.select("doc_key", "doc_id", "content", F.posexplode("lines").alias("pos", "plain"))
+    spaces = F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit("")))
+    long = lines.withColumn("n", spaces + 1).where(F.col("n") >= MIN_TOKENS)
+    masked = long.withColumn("masked", F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", _WITH_DIGIT, _WILD)))
+    wild = (F.length("masked") - F.length(F.replace("masked", F.lit(_WILD), F.lit("")))) / len(_WILD)
+    chosen = F.when(F.col("n") - wild >= F.col("n") * similarity, F.col("masked")).otherwise(F.col("plain"))
     return (
-        fields.withColumn("masked", F.when(F.col("n") - wild >= F.col("n") * similarity, F.col("masked")).otherwise(F.col("plain")))
-        .drop("plain")
-        .withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
+        masked.withColumn("masked", chosen).drop("plain")
+        .withColumns({"leaf": F.xxhash64("n", F.substring_index("masked", " ", DEPTH)), "line": F.xxhash64("masked")})
     )
 
 
@@ -72,14 +72,22 @@ def recurring_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``doc_key, dropped``: the positions (from 0) of the lines to drop, per document that has any."""
-    lines = pin(_lines(df, id_col, text_col, similarity), "lines")  # masking costs more than to read it again
-    busy = pin(lines.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).drop("c"), "busy-leaves")
-    found = lines.join(busy, "leaf", "left_semi").withColumn("line", F.xxhash64("masked"))
-    pinned = pin(found.select("doc_key", "doc_id", "content", "pos", "leaf", "line", "n", "masked"), "tree-lines")
-    counted = pinned.groupBy("leaf", "line", "n", "content").agg(F.first("masked").alias("masked"))
-    distinct = pin(
-        counted.groupBy("leaf", "line", "n").agg(F.first("masked").alias("masked"), F.count("*").alias("texts")), "distinct-lines"
+    text = text_of(text_col)
+    docs = df.select(
+        col(id_col).alias("doc_id"), F.xxhash64(col(id_col), text).alias("doc_key"), F.xxhash64(text).alias("content"), text.alias("text")
     )
+    # Hashes only: most lines are alone in their leaf, and their text is not needed again.
+    lines = pin(_lines(docs, similarity).drop("masked"), "lines")
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most"))
+    busy = pin(busy.where((F.col("c") >= min_docs) & (F.col("least") < F.col("most"))).select("leaf"), "busy-leaves")
+    pinned = pin(lines.join(busy, "leaf", "left_semi"), "tree-lines")
+    counted = pinned.groupBy("leaf", "line", "n", "content").agg(F.min("doc_key").alias("doc_key"))
+    counted = pin(counted.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts"), F.min("doc_key").alias("doc_key")), "counted-lines")
+    # One document per line lends its text.
+    lenders = few(pin(counted.select("doc_key").distinct(), "lenders"))
+    lent = _lines(docs.join(lenders, "doc_key", "left_semi"), similarity).select("doc_key", "leaf", "line", "n", "masked")
+    lent = lent.join(counted, ["doc_key", "leaf", "line", "n"]).dropDuplicates(["leaf", "line", "n"])
+    distinct = pin(lent.select("leaf", "line", "n", "masked", "texts"), "distinct-lines")
     general = _templates(distinct, min_docs, similarity)
     named = distinct.select("leaf", "line", "texts").join(general, ["leaf", "line"], "left").select(
         "leaf", "line", "texts", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")
@@ -125,7 +133,7 @@ def drop_recurring_lines(
     ]
     return joined.select(
         *kept,
-        F.when(own.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(own.isNull(), 0).otherwise(F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
     )
 
