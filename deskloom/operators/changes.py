@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskloom import schema as S
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_choice, status_store, status_transition
-from deskloom.functions.text import clean
+from deskloom.functions.text import clean, folded
 from deskloom.operators.ingest import too_wide
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type, key_column, quoted, read_field, write_column
 
+_TAKEN = "Duplicate entry for column job_order"
+
 # Edit column to the ticket column whose declared width limits it.
 _LIMITED = {
     "store_name": "store_name",
     "contact_number": "contact_number",
     "email": "email",
     "subject": "subject",
-    "job_order": "job_order",
     "reported_concern": "concern",
     "assigned_to": "assigned_it",
 }
@@ -27,11 +29,12 @@ _LIMITED = {
 def check_edits(edits: DataFrame) -> DataFrame:
     """Edits as stored (stripped, blank as NULL), with the reason the table would refuse them.
 
-    No field is required. Widths and the fee's type are the table's own limits.
+    No field is required. Widths and the fee's type are the table's own limits; job orders have
+    none, as numbers grow with the tickets.
     """
     cleaned = edits.withColumns(
         {
-            **{c: clean(F.col(c)) for c in (*_LIMITED, "service_done")},
+            **{c: clean(F.col(c)) for c in (*_LIMITED, "job_order", "service_done")},
             "status": status_store(F.col("status")),
             "_fee": clean(F.col("labor_fee")),
         }
@@ -43,6 +46,33 @@ def check_edits(edits: DataFrame) -> DataFrame:
     return cleaned.withColumn("error", error).drop("_fee")
 
 
+def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """Checked edits, refused too where the ticket table itself would refuse them.
+
+    A job order belongs to the ticket that has it before the batch, else to the ticket of the first
+    acceptable edit that asks for it, and no other ticket's edit may take it. One that is given up
+    can be taken by a later batch. Edits that leave a ticket's job order as it is are never refused
+    for it. Without a concern column, the block that holds the concern has a width as well.
+    """
+    checked = check_edits(edits)
+    if write_column(tickets, "concern") is None:
+        block = pack_legacy(F.col("contact_number"), F.col("reported_concern"), F.col("assigned_to"))
+        wide = F.when(F.length(block) > S.WIDTHS["assigned_it"], "Data too long for column assigned_it")
+        checked = checked.withColumn("error", F.coalesce("error", wide))
+    job_order, key = write_column(tickets, "job_order"), key_column(tickets)
+    if job_order is None:
+        return checked
+    own = tickets.select(quoted(key), folded(clean(quoted(job_order))).alias("_own"), F.lit(True).alias("_known"))
+    joined = checked.join(own, key, "left").withColumn("_jo", folded(F.col("job_order")))
+    asks = F.col("error").isNull() & F.col("_known").isNotNull() & F.col("_jo").isNotNull() & ~F.col("_jo").eqNullSafe(F.col("_own"))
+    asked = first_per_key(joined.where(asks).select("_jo", key, *order), [F.col("_jo")], [F.asc(c) for c in (*order, key)])
+    held = own.where(F.col("_own").isNotNull()).groupBy("_own").agg(F.min(key).alias("_holder"))
+    owners = asked.join(held, F.col("_jo") == F.col("_own"), "left").select("_jo", F.coalesce("_holder", key).alias("_owner"))
+    judged = joined.join(owners, "_jo", "left")
+    taken = asks & (F.col("_owner") != F.col(key))
+    return judged.withColumn("error", F.when(taken, _TAKEN).otherwise(F.col("error"))).drop("_own", "_known", "_jo", "_owner")
+
+
 def last_edits(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last accepted edit per key: later edits replace all editable columns.
 
@@ -87,7 +117,7 @@ def _with_edits(tickets: DataFrame, edits: DataFrame, order: list[str], how: str
     Both sides have one row per key here, so the join has no hot keys.
     """
     key = key_column(tickets)
-    last = last_edits(check_edits(edits), key, order)
+    last = last_edits(judge_edits(tickets, edits, order), key, order)
     packed = last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
     return tickets.join(packed, key, how)
 
@@ -106,8 +136,15 @@ def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> Dat
     )
 
 
-def rejected_edits(edits: DataFrame, order: list[str]) -> DataFrame:
-    return check_edits(edits).where(F.col("error").isNotNull()).select("ticket_no", *order, "error")
+def rejected_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    judged = judge_edits(tickets, edits, order)
+    return judged.where(F.col("error").isNotNull()).select(key_column(tickets), *order, "error")
+
+
+def job_order_conflicts(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """The edits refused because another ticket has their job order."""
+    judged = judge_edits(tickets, edits, order)
+    return judged.where(F.col("error") == _TAKEN).select(key_column(tickets), *order, "job_order")
 
 
 def apply_deletes(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -12,11 +12,13 @@ from deskloom.operators.filters import visible_users
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type
 
+# Messages.
 _EXISTS = "An account with that email already exists."
 _ROLE = "You cannot assign that role."
 _NO_EDIT = "User not found or you cannot edit this user."
 _NO_DELETE = "User not found or you cannot delete this user."
 _SELF = "You cannot delete your own account."
+_NAMES = "First name and last name are required."
 _LAST = "Cannot delete the last super admin."
 
 
@@ -110,7 +112,7 @@ def dedupe_users(requests: DataFrame) -> DataFrame:
 def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
     """Account edits with the normalised role and the reason for refusal as ``error``.
 
-    Authority is judged against ``users`` as they are before the batch.
+    Each edit is judged by itself against ``users``; ``apply_user_updates`` takes them in turn.
     """
     known = users.select("id", F.col("role").alias("_old"), F.lit(True).alias("_known"))
     joined = edits.join(known, "id", "left")
@@ -128,48 +130,93 @@ def check_user_edits(edits: DataFrame, users: DataFrame) -> DataFrame:
     error = (
         F.when(~F.col("_manage"), _NO_EDIT)
         .when(~P.can_set_role(F.col("actor_role"), F.col("role")), _ROLE)
-        .when(missing, "First name and last name are required.")
+        .when(missing, _NAMES)
     )
     return cleaned.withColumn("error", error).drop("_old", "_known", "_manage")
 
 
+def _unnamed(c: str) -> Column:
+    return truthy(strip(F.col(c))).isNull()
+
+
+_KINDS = ("sets", "keeps", "blank", "admin")
+
+
 def _deciding_edits(edits: DataFrame, order: list[str]) -> DataFrame:
-    """The edits that can be the last accepted one of their user.
+    """Per user the last edit of each kind, as a struct ``_<kind>``.
 
-    Whether a named edit is accepted depends on the user and on the actor's and the new role only.
-    So the last edit per user and pair of roles is enough, which leaves a few rows per user before
-    the join, however many edits one user has.
+    What an edit does depends on the role before it only through these kinds: ``sets`` is a super
+    admin's edit with a known role, which is accepted in every state; ``keeps`` and ``blank`` are
+    those with an unknown role and without any, which leave the role; ``admin`` is an admin's edit
+    that could apply to an end user, whose role it leaves. So at most four rows per user meet,
+    however many edits one user has.
     """
+    asked = F.lower(strip(F.col("role")))
+    asked = F.when(asked.isin(*P.ROLES), asked)
+    by_super = F.when(asked.isNotNull(), "sets").when(truthy(F.col("role")).isNull(), "blank").otherwise("keeps")
+    by_admin = F.when(F.coalesce(asked, F.lit("end_user")) == "end_user", "admin")
+    kind = F.when(F.col("actor_role") == "super_admin", by_super).when(F.col("actor_role") == "admin", by_admin)
+    named = edits.where(~(_unnamed("first_name") | _unnamed("last_name")) & kind.isNotNull())
+    last = first_per_key(named.withColumn("_kind", kind), [F.col("id"), F.col("_kind")], [F.desc(c) for c in order])
+    edit = F.struct(
+        F.struct(*order).alias("at"), strip(F.col("first_name")).alias("first_name"), strip(F.col("last_name")).alias("last_name"),
+        asked.alias("role"), F.when(F.col("is_active") == "1", "1").otherwise("0").alias("is_active"),
+    )
+    return last.groupBy("id").agg(*[F.first(F.when(F.col("_kind") == k, edit), ignorenulls=True).alias(f"_{k}") for k in _KINDS])
 
-    def known_role(c: str) -> Column:
-        role = F.lower(strip(F.col(c))) if c == "role" else F.col(c)
-        return F.when(role.isin(*P.ROLES), role)
 
-    named = ~(_unnamed("first_name") | _unnamed("last_name"))
-    keys = [F.col("id"), known_role("actor_role"), known_role("role")]
-    return first_per_key(edits.where(named), keys, [F.desc(c) for c in order])
+def _later(a: Column, b: Column) -> Column:
+    """The later of two edits, either of which may be missing."""
+    return F.when(b.isNull() | (a["at"] > b["at"]), a).otherwise(b)
 
 
-def _unnamed(c: str) -> Column:
-    return truthy(strip(F.col(c))).isNull()
+def _replaced(users: DataFrame, joined: DataFrame, values: dict[str, Column], changed: Column) -> DataFrame:
+    """The columns of ``users`` from ``joined``, some with other values in changed rows."""
+    return joined.select(
+        *[
+            F.when(changed, values[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name)
+            for f in users.schema.fields
+        ]
+    )
 
 
 def apply_user_updates(users: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
-    """All users, with the last accepted edit of name, role and activity applied."""
-    last = last_edits(check_user_edits(_deciding_edits(edits, order), users), "id", order)
-    active = F.when(F.col("is_active"), "1").otherwise("0")
-    changes = {"first_name": F.col("first_name"), "last_name": F.col("last_name"), "role": F.col("role"), "is_active": active}
-    changes = {c: v for c, v in changes.items() if c in users.columns and c in edits.columns}
-    packed = last.select("id", F.struct(*[v.alias(c) for c, v in changes.items()]).alias("edit"))
-    matched = F.col("edit").isNotNull()
-
-    def value(f) -> Column:
-        if f.name not in changes:
-            return F.col(f.name)
-        new = F.col(f"edit.{f.name}")
-        return F.when(matched, new).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name)
-
-    return users.join(packed, "id", "left").select(*[value(f) for f in users.schema.fields])
+    """All users, with edits of name, role and activity applied one after the other.
+
+    Every edit is judged by the role that the edits before it left. Users come with the columns
+    ``first_name, last_name, role, is_active``.
+    """
+    joined = users.join(_deciding_edits(edits, order), "id", "left")
+    old, (sets, keeps, blank, admin) = F.col("role"), (F.col(f"_{k}") for k in _KINDS)
+    # Without an edit that sets the role, one that leaves it is accepted if the role is a known one
+    # (or none, which counts as end user), or becomes one by a blank edit, which normalises it.
+    plain = F.lower(strip(old)).isin(*P.ROLES)
+    accepted = truthy(old).isNull() | old.isin(*P.ROLES) | (plain & blank.isNotNull())
+    kept = _later(keeps, blank)
+    by_super = F.when(sets.isNotNull(), _later(sets, kept)).when(accepted, kept)
+    role = F.when(sets.isNotNull(), sets["role"]).when(by_super.isNotNull(), P.norm_role(old, old)).otherwise(old)
+    staged = joined.withColumns({"_super": by_super, "_role": role})
+    by_super, role = F.col("_super"), F.col("_role")
+    # From then on the role stays, so admins' edits are accepted if it is end user.
+    after = admin.isNotNull() & (role == "end_user") & (by_super.isNull() | (admin["at"] > by_super["at"]))
+    staged = staged.withColumn("_edit", F.when(after, admin).otherwise(by_super))
+    values = {c: F.col("_edit")[c] for c in ("first_name", "last_name", "is_active")} | {"role": F.col("_role")}
+    changed = F.col("_edit").isNotNull()
+    return _replaced(users, staged, values, changed)
+
+
+def check_profile_edits(edits: DataFrame) -> DataFrame:
+    """Users' edits of their own names, stripped, with the reason for refusal as ``error``."""
+    error = F.when(_unnamed("first_name") | _unnamed("last_name"), _NAMES)
+    return edits.withColumn("error", error).withColumns({c: strip(F.col(c)) for c in ("first_name", "last_name")})
+
+
+def apply_profile_updates(users: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """All users, with the last accepted edit of their own names; role and activity stay."""
+    last = last_edits(check_profile_edits(edits.select("id", *order, "first_name", "last_name")), "id", order)
+    packed = last.select("id", F.struct("first_name", "last_name").alias("_edit"))
+    values = {c: F.col("_edit")[c] for c in ("first_name", "last_name")}
+    return _replaced(users, users.join(packed, "id", "left"), values, F.col("_edit").isNotNull())
 
 
 def user_transitions(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -127,11 +127,20 @@ _EDIT_CTE = (
     + f", {_stored('status')} as status, {_clean('labor_fee')} as fee_text, "
     + f"try_cast({_clean('labor_fee')} as decimal(10, 2)) as labor_fee from edits), "
     + "wide_edits as (select *, "
-    + _FIRST_WIDE.format(extra="when length(job_order) > 10 then 'job_order' ")
+    + _FIRST_WIDE.format(extra="")
     + " as wide from clean_edits), "
-    + "checked_edits as (select *, case when wide is not null then concat('Data too long for column ', wide) "
+    + "own_errors as (select *, case when wide is not null then concat('Data too long for column ', wide) "
     + "when fee_text is not null and labor_fee is null then 'Incorrect decimal value for labor_fee' end as error "
     + "from wide_edits), "
+    + "asked as (select e.*, lower(e.job_order) as jo from own_errors e join tickets t on e.ticket_no = t.ticket_no "
+    + "where error is null and lower(e.job_order) <> coalesce(lower(trim(t.job_order)), '')), "
+    + "owners as (select jo, coalesce((select min(t.ticket_no) from tickets t where lower(trim(t.job_order)) = jo), "
+    + "first(ticket_no order by seq, seq2, ticket_no)) as owner from asked group by jo), "
+    + "conflicts as (select a.ticket_no, a.seq, a.seq2, a.job_order from asked a join owners o on a.jo = o.jo "
+    + "where a.ticket_no <> o.owner), "
+    + "checked_edits as (select e.* replace (case when c.ticket_no is not null then 'Duplicate entry for column job_order' "
+    + "else error end as error) from own_errors e left join (select distinct * from conflicts) c "
+    + "on e.ticket_no = c.ticket_no and e.seq = c.seq and e.seq2 = c.seq2 and e.error is null), "
     + "last_edits as (select * from (select *, row_number() over (partition by ticket_no "
     + "order by seq desc, seq2 desc) as rank from checked_edits where error is null) where rank = 1), "
     + "updated as (select t.ticket_no, "
@@ -179,21 +188,28 @@ _DIFF = (
 _ROLE_LABEL = (
     "case when {c} = 'super_admin' then 'Super Admin' when {c} = 'admin' then 'Admin' else 'End User' end"
 )
+# Every user's edits in turn: a fold of the state over the ordered list of them.
+_USER_STATE = ("actor_role", "first_name", "last_name", "role", "is_active")
+
+
+def _user_state(**values: str) -> str:
+    return "{" + ", ".join(f"'{c}': {values.get(c, c)}" for c in _USER_STATE) + "}"
+
+
+_NEW_ROLE = "case when e.role in ('super_admin', 'admin', 'end_user') then e.role else coalesce(s.role, 'end_user') end"
 _USER_EDIT_CTE = (
-    "user_steps as (select e.id, e.seq, e.seq2, e.actor_role, trim(e.first_name) as first_name, "
-    "trim(e.last_name) as last_name, u.role as old_role, e.is_active, "
-    "case when lower(trim(e.role)) in ('super_admin', 'admin', 'end_user') then lower(trim(e.role)) "
-    "else coalesce(u.role, 'end_user') end as role from user_edits e left join users u on e.id = u.id), "
-    "last_steps as (select * from (select *, row_number() over (partition by id order by seq desc, seq2 desc) as rank "
-    "from user_steps where old_role is not null "
-    "and (actor_role = 'super_admin' or (old_role = 'end_user' and role = 'end_user')) "
-    "and first_name <> '' and last_name <> '') where rank = 1), "
-    "updated_users as (select u.id, u.email, "
-    + ", ".join(
-        f"case when s.id is not null then s.{c} else u.{c} end as {c}"
-        for c in ("first_name", "last_name", "role", "is_active")
-    )
-    + " from users u left join last_steps s on u.id = s.id)"
+    "user_steps as (select id, list("
+    + _user_state(first_name="trim(first_name)", last_name="trim(last_name)", role="lower(trim(role))")
+    + " order by seq, seq2) as steps from user_edits group by id), "
+    "folded as (select u.id, u.email, list_reduce(list_prepend("
+    + _user_state(actor_role="''")
+    + ", coalesce(steps, [])), lambda s, e: case when e.first_name <> '' and e.last_name <> '' "
+    f"and (e.actor_role = 'super_admin' or (e.actor_role = 'admin' and s.role = 'end_user' and {_NEW_ROLE} = 'end_user')) then "
+    + _user_state(actor_role="e.actor_role", first_name="e.first_name", last_name="e.last_name", role=_NEW_ROLE, is_active="e.is_active")
+    + " else s end) as state from users u left join user_steps on u.id = user_steps.id), "
+    "updated_users as (select id, email, "
+    + ", ".join(f"state.{c} as {c}" for c in _USER_STATE[1:])
+    + " from folded)"
 )
 _USER_DELETE_CTE = (
     "asked as (select d.seq, d.actor_id, d.target_id, t.role as target_role, "
@@ -379,6 +395,7 @@ ORACLE_SQL: dict[str, str] = {
         "tickets edits",
         f"{_UPDATES} select ticket_no, seq, seq2, error from checked_edits where error is not null",
     ),
+    "job_order_conflicts": _sql("tickets edits", f"{_UPDATES} select * from conflicts"),
     "apply_deletes": _sql(
         "tickets deletes", "select * from tickets where ticket_no not in (select ticket_no from deletes)"
     ),
@@ -428,6 +445,14 @@ ORACLE_SQL: dict[str, str] = {
         "then 'An account with that email already exists.' end) as error from judged",
     ),
     "apply_user_updates": _sql("users user_edits", f", {_USER_EDIT_CTE} select * from updated_users"),
+    "profile_updates": _sql(
+        "users user_edits",
+        ", named as (select id, trim(first_name) as first_name, trim(last_name) as last_name, seq, seq2 from user_edits "
+        "where trim(first_name) <> '' and trim(last_name) <> ''), "
+        "last_named as (select * from named qualify row_number() over (partition by id order by seq desc, seq2 desc) = 1) "
+        "select u.id, u.email, coalesce(n.first_name, u.first_name) as first_name, "
+        "coalesce(n.last_name, u.last_name) as last_name, u.role, u.is_active from users u left join last_named n on u.id = n.id",
+    ),
     "user_transitions": _sql(
         "users user_edits",
         f", {_USER_EDIT_CTE}, sides as (select o.id, {_ROLE_LABEL.format(c='o.role')} as a, "

@@ -228,7 +228,8 @@ QUERIES: dict[str, Query] = {
     "csv_upload": _csv_upload,
     # Changes
     "apply_updates": lambda spark, sf_dir: _updated(spark, sf_dir)[1],
-    "rejected_edits": _on("edits", lambda df: C.rejected_edits(df, EDIT_ORDER)),
+    "rejected_edits": _on_two("tickets", "edits", lambda t, e: C.rejected_edits(t, e, EDIT_ORDER)),
+    "job_order_conflicts": _on_two("tickets", "edits", lambda t, e: C.job_order_conflicts(t, e, EDIT_ORDER)),
     "apply_deletes": _on_two("tickets", "deletes", lambda t, d: C.apply_deletes(t, d, "ticket_no")),
     "diff_tickets": _change_rows(C.diff_tickets),
     "update_records": _on_two("tickets", "edits", lambda t, e: C.update_records(t, e, EDIT_ORDER)),
@@ -248,6 +249,9 @@ QUERIES: dict[str, Query] = {
     "apply_user_updates": _on_two(
         "users", "user_edits", lambda u, e: U.apply_user_updates(u, e, EDIT_ORDER)
     ),
+    "profile_updates": _on_two(
+        "users", "user_edits", lambda u, e: U.apply_profile_updates(u, e, EDIT_ORDER)
+    ),
     "user_transitions": _user_changes,
     "check_user_deletes": _on_two("user_deletes", "users", U.check_user_deletes),
     "apply_user_deletes": _on_two("users", "user_deletes", U.apply_user_deletes),

@@ -149,7 +149,12 @@ EDITS = {
     "contact_number": "case when l_returnflag = 'A' then '' else concat('09', cast(l_partkey as string)) end",
     "email": "case when l_returnflag = 'R' then null else concat('s', cast(l_suppkey as string), '@example.com') end",
     "subject": "case when l_linenumber = 7 then rpad('Printer', 50, '!') else 'Printer' end",
-    "job_order": "concat(' jo-', cast(l_orderkey as string), ' ')",
+    "job_order": (
+        "case when l_partkey % 10 = 0 then concat(' jo-', cast(l_orderkey as string), ' ') "
+        "when l_partkey % 10 = 1 then concat('SHARED-', cast(l_suppkey as string)) "
+        "when l_partkey % 10 = 2 then concat('shared-', cast(l_suppkey as string)) "
+        "else concat(' jo-9', lpad(cast(l_orderkey as string), 9, '0'), ' ') end"
+    ),
     "reported_concern": "concat('Part ', cast(l_partkey as string))",
     "assigned_to": "concat('Technician ', cast(l_linenumber as string))",
     "status": (

@@ -1,5 +1,6 @@
 """Ticket edits, deletes, change records and user requests on small frames."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -43,10 +44,32 @@ def test_last_accepted_edit_replaces_all_fields(tickets, edits):
     assert rows[1]["labor_fee"] == Decimal("2.50") and rows[1]["concern"] == "c" and rows[1]["assigned_it"] == "Ann"
     assert rows[3]["store_name"] is None and rows[3]["status"] == "pending" and rows[3]["labor_fee"] is None
     assert {r["other"] for r in rows.values()} == {"kept"}
-    errors = [(r["seq"], r["error"]) for r in C.rejected_edits(edits, ["seq"]).orderBy("seq").collect()]
+    errors = [(r["seq"], r["error"]) for r in C.rejected_edits(tickets, edits, ["seq"]).orderBy("seq").collect()]
     assert errors == [(3, "Data too long for column store_name"), (4, "Incorrect decimal value for labor_fee")]
 
 
+def test_job_orders_stay_unique(spark, tickets):
+    """A job order has one ticket; cases and accents do not tell two apart, and width does not matter."""
+    rows = [
+        (1, 1, "jo-0002"), (1, 2, "JO-0001"), (2, 3, "jo-0077"), (3, 4, "jó-0002"), (9, 5, "new"), (3, 6, "NEW"),
+        (2, 7, "new"), (3, 8, "jo-123456789012"), (1, 9, "jo-0001"), (2, 10, "jo-0002"),
+    ]
+    empty = {c: F.lit("") for c in EDIT.replace(" string", "").replace(" int", "").split(", ")[2:] if c != "job_order"}
+    edits = spark.createDataFrame(rows, "ticket_no int, seq int, job_order string").withColumns(empty)
+    refused = {r["seq"] for r in C.job_order_conflicts(tickets, edits, ["seq"]).collect()}
+    assert refused == {1, 4, 7}
+    new = {r["ticket_no"]: r["job_order"] for r in C.apply_updates(tickets, edits, ["seq"]).collect()}
+    assert new == {1: "jo-0001", 2: "jo-0002", 3: "jo-123456789012"}
+
+
+def test_packed_block_has_a_width(spark, tickets):
+    names = EDIT.replace(" string", "").replace(" int", "").split(", ")
+    row = {c: "" for c in names} | {"ticket_no": 1, "seq": 1, "reported_concern": "c" * 150, "assigned_to": "a" * 150}
+    edits = spark.createDataFrame([tuple(row[c] for c in names)], EDIT)
+    assert C.rejected_edits(tickets, edits, ["seq"]).isEmpty()
+    assert C.rejected_edits(tickets.drop("concern"), edits, ["seq"]).first()["error"] == "Data too long for column assigned_it"
+
+
 def test_update_without_concern_column_packs_the_block(tickets, edits):
     old = tickets.drop("concern")
     rows = {r["ticket_no"]: r["assigned_it"] for r in C.apply_updates(old, edits, ["seq"]).collect()}
@@ -135,6 +158,58 @@ def test_user_edits(spark, users):
     assert named.where("id = 4").first()["is_active"] == "0"
 
 
+def one_after_the_other(state, edits):
+    """Last names and roles by id after edits in order, each judged by the role before it."""
+    roles = ("super_admin", "admin", "end_user")
+    state = dict(state)
+    for e in edits:
+        if e["id"] not in state:
+            continue
+        old = state[e["id"]][1]
+        role = (e["role"] or old or "end_user").strip().lower()
+        role = role if role in roles else old or "end_user"
+        first, last = (e["first_name"] or "").strip(), (e["last_name"] or "").strip()
+        by = e["actor_role"]
+        manages = by == "super_admin" or (by == "admin" and old == "end_user")
+        assigns = role in roles if by == "super_admin" else by == "admin" and role == "end_user"
+        if manages and assigns and first and last:
+            state[e["id"]] = (last, role)
+    return state
+
+
+def test_user_edits_are_taken_in_turn(spark):
+    start = ["super_admin", "admin", "end_user", None, "", " Admin", "End_User ", "boss"]
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        rows.append((i, start[i % len(start)]))
+    users = spark.createDataFrame(rows, "id int, role string").withColumns(
+        {"email": F.lit("e"), "first_name": F.lit("F"), "last_name": F.lit("old"), "is_active": F.lit("0")}
+    )
+    edits = []
+    for i in range(400):
+        for seq in range(rng.randrange(5)):
+            role = rng.choice([None, "", "  ", "boss", "boss", " Admin", "end_user", "super_admin"] if seq else [None, "", "boss", "boss", " Admin", "end_user"])
+            edits.append((i, seq, rng.choice(["super_admin", "admin", "admin", "end_user"]), rng.choice(["A", "A", "A", " "]), f"L{seq}", role, "1"))
+    rng.shuffle(edits)
+    df = spark.createDataFrame(edits, "id int, seq int, actor_role string, first_name string, last_name string, role string, is_active string")
+    got = {r["id"]: (r["last_name"], r["role"]) for r in U.apply_user_updates(users, df, ["seq"]).collect()}
+    expected = one_after_the_other({i: ("old", role) for i, role in rows}, sorted(df.collect(), key=lambda r: r["seq"]))
+    assert got == expected
+
+
+def test_promotions_hold_for_later_edits(spark, users):
+    rows = [(4, 1, "super_admin", "admin"), (4, 2, "super_admin", "unknown"), (4, 3, "admin", "end_user")]
+    edits = spark.createDataFrame(rows, "id int, seq int, actor_role string, role string").withColumns(
+        {"first_name": F.lit("A"), "last_name": F.col("seq").cast("string"), "is_active": F.lit("1")}
+    )
+    row = U.apply_user_updates(users, edits, ["seq"]).where("id = 4").first()
+    assert (row["last_name"], row["role"]) == ("2", "admin")
+    own = U.apply_profile_updates(users, edits.select("id", "seq", "first_name", "last_name"), ["seq"])
+    assert tuple(own.where("id = 4").first()) == (4, "end@x", "A", "3", "end_user", None)
+    assert own.where("id <> 4").exceptAll(users.where("id <> 4")).count() == 0
+
+
 def test_last_super_admin_stays(spark, users):
     rows = [(1, 1, 1), (2, 3, 1), (3, 2, 1), (4, 1, 2), (5, 3, 4), (6, 1, 9)]
     requests = spark.createDataFrame(rows, "seq int, actor_id int, target_id int")
@@ -173,11 +248,9 @@ def test_hot_keys_are_cut_before_the_shuffle(spark, users):
         F.lit("1").alias("is_active"),
     )
     new = U.apply_user_updates(users, edits, ["seq"])
-    checked = U.check_user_edits(edits, users).where("error is null").collect()
-    best = {}
-    for r in sorted(checked, key=lambda r: r["seq"]):
-        best[r["id"]] = (r["last_name"], r["role"])
-    assert {r["id"]: (r["last_name"], r["role"]) for r in new.collect() if r["id"] in best} == best
+    state = {r["id"]: (r["last_name"], r["role"]) for r in users.collect()}
+    expected = one_after_the_other(state, sorted(edits.collect(), key=lambda r: r["seq"]))
+    assert {r["id"]: (r["last_name"], r["role"]) for r in new.collect()} == expected
     requests = spark.range(5000).select(
         F.col("id").alias("row_num"),
         F.lit("super_admin").alias("actor_role"),

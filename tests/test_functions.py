@@ -97,6 +97,13 @@ def test_pretty_json(values):
     assert values(J.pretty_json, ['{"b": 1, "a": [true]}', None, "{oops"]) == ['{"a":[true],"b":1}', "{}", "{oops"]
 
 
+def test_printed_escapes(values):
+    """Two- and eight-digit escapes become characters, however many backslashes stand before them."""
+    texts = ["\x9b", "\U000e0001 end", "\\x41"] + ["\\" * n + "\x85" for n in (1, 2, 49, 50, 51, 60, 400)]
+    got = values(lambda c: F.from_json(J.dict_to_json(c), "t string", J.DICT_OPTIONS)["t"], ["{'t': %r}" % t for t in texts])
+    assert got == texts
+
+
 def test_folded_comparison(values):
     assert values(lambda c: T.same_folded(c, "mesa"), ["Mesa", "MÉSA", "mesa ", None]) == [True, True, False, None]
 
