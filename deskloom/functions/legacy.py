@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deskloom.functions.text import SPACES, strip, truthy
+from deskloom.functions.text import SPACES, truthy
 
 
 def _value(c: Column, label: str, ignore_case: bool = True) -> Column:
@@ -17,8 +17,9 @@ def _value(c: Column, label: str, ignore_case: bool = True) -> Column:
     flags = "(?imd)" if ignore_case else "(?md)"  # d: only \n ends a line
     line = F.regexp_extract(c, f"{flags}^[{spaces}]*{label}[^\n]*", 0)
     searched = F.lower(c) if ignore_case else c
-    after = strip(F.substr(line, F.locate(":", line) + 1))
-    return F.when(F.contains(searched, F.lit(label)) & (line != ""), after)
+    after = F.btrim(F.substr(line, F.locate(":", line) + 1), F.lit(SPACES))
+    labelled = F.contains(c, F.lit(":")) & F.contains(searched, F.lit(label))
+    return F.when(labelled & (line != ""), after)
 
 
 def legacy_concern(c: Column) -> Column:

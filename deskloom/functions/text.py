@@ -14,11 +14,14 @@ SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def _accented() -> tuple[str, str]:
-    """Latin letters that decompose to an ASCII letter, and those letters."""
-    marked, plain = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+    """Latin, Greek and Cyrillic letters that decompose to a letter with marks, and that letter.
+
+    A final sigma counts as a sigma.
+    """
+    marked, plain = ["ς"], ["σ"]
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         base = unicodedata.normalize("NFD", chr(code))[0]
-        if base.isascii() and base.isalpha():
+        if base != chr(code) and base.isalpha():
             marked.append(chr(code))
             plain.append(base)
     return "".join(marked), "".join(plain)
@@ -28,8 +31,9 @@ _MARKED, _PLAIN = _accented()
 
 
 def strip(c: Column) -> Column:
-    """``str.strip``."""
-    return F.btrim(c, F.lit(SPACES))
+    """``str.strip``. Trimming by a set reads every character, so only texts that need it are trimmed."""
+    edge = F.substring(c, 1, 1).isin(*SPACES) | F.substring(c, -1, 1).isin(*SPACES)
+    return F.when(edge, F.btrim(c, F.lit(SPACES))).otherwise(c)
 
 
 def truthy(c: Column) -> Column:
@@ -57,8 +61,9 @@ def same_folded(c: Column, value: Column | str) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Plain lower-case text without accents, for LIKE, which collations do not support."""
-    return F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _MARKED, _PLAIN))
+    """Plain lower-case text without accents, for searches inside texts. Pure ASCII is only lowered."""
+    folded_text = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), _MARKED, _PLAIN)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(folded_text)
 
 
 def _like_pattern(text: str) -> tuple[str, bool]:
@@ -76,9 +81,11 @@ def _like_pattern(text: str) -> tuple[str, bool]:
 
 
 def matches_like(c: Column, text: str) -> Column:
-    """``c LIKE %text%`` without regard to case and accents; ``text`` may hold wildcards."""
+    """``c LIKE %text%`` without regard to case and accents; ``text`` may hold wildcards.
+
+    Letters are compared one by one, so ß is not ss, with wildcards and without.
+    """
     pattern, wild = _like_pattern(text)
     if not wild:
-        return F.contains(folded(c), folded(F.lit(pattern)))
-    plain = "".join(ch for ch in unicodedata.normalize("NFD", pattern) if not unicodedata.combining(ch))
-    return fold(c).like(f"%{plain.lower()}%")
+        return F.contains(fold(c), fold(F.lit(pattern)))
+    return F.like(fold(c), fold(F.lit(f"%{pattern}%")))

@@ -79,5 +79,10 @@ def jo_format(n: Column) -> Column:
 
 
 def labor_fee(c: Column) -> Column:
-    """A fee from text; what is not a number is NULL."""
+    """A fee from text; what is not a number, or out of range, is NULL."""
     return truthy(c).try_cast("decimal(10,2)")
+
+
+def fee_out_of_range(c: Column) -> Column:
+    """Whether a text is a number that no fee can be."""
+    return F.coalesce(F.abs(truthy(c).try_cast("double")) < float("inf"), F.lit(False)) & labor_fee(c).isNull()

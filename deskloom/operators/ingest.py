@@ -144,28 +144,36 @@ def new_tickets(
 def validate_workbook(rows: DataFrame) -> DataFrame:
     """Workbook rows that make tickets; values are not trimmed, incomplete rows are left out.
 
-    ``error`` is set on all rows of a file that could not be read or holds a value over its width:
-    such a file is refused as a whole.
+    ``error`` is set on all rows of a file that could not be read or holds a value over its width or
+    a fee out of range: such a file is refused as a whole. A fee that is no number is left out.
     """
     required = F.lit(True)
     for c in S.UPLOAD_REQUIRED:
         required = required & truthy(F.col(c)).isNotNull()
     contact = F.coalesce(truthy(F.col("contact_number")), truthy(F.col("email")))
     complete = rows.where(F.col("error").isNotNull() | (required & contact.isNotNull()))
-    wide = too_wide(_LIMITED)
+    wide, status = too_wide(_LIMITED), status_store_workbook(F.col("status"))
     checked = complete.withColumns(
         {
             **{c: truthy(F.col(c)) for c in _LIMITED},
-            "status": status_store_workbook(F.col("status")),
+            "status": status,
             "labor_fee": K.labor_fee(F.col("labor_fee")),
-            "error": F.coalesce("error", F.concat(F.lit("Data too long for column "), wide)),
+            "error": F.coalesce(
+                "error",
+                F.concat(F.lit("Data too long for column "), wide),
+                F.when(F.length(status) > S.WIDTHS["status"], "Data too long for column status"),
+                F.when(K.fee_out_of_range(F.col("labor_fee")), "Out of range value for column labor_fee"),
+            ),
         }
     )
     # A workbook sheet holds at most 1,048,576 rows, which bounds the group.
     return checked.withColumn("error", F.max("error").over(Window.partitionBy("file")))
 
 
-def append_tickets(df: DataFrame, path: str) -> None:
-    """Append rows to the ticket table; numbering makes the input exact, so a rerun is the caller's
-    choice."""
-    df.write.mode("append").parquet(path)
+def append_tickets(df: DataFrame, path: str, upload_id: str) -> None:
+    """Append an upload's rows to the ticket table, as its partition ``upload_id``.
+
+    An append that is run again, after a failure or by mistake, replaces that upload's rows only.
+    """
+    named = df.withColumn("upload_id", F.lit(upload_id))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(path)

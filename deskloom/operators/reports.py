@@ -36,31 +36,27 @@ def tickets_by_status(df: DataFrame) -> DataFrame:
     return ticket_counts(df).select(F.inline(F.array(*rows)))
 
 
-def _day_counts(df: DataFrame) -> DataFrame:
-    """Tickets per day, unsorted. Typed dates are grouped as dates and printed afterwards."""
+def _day(df: DataFrame) -> Column:
+    """The day of a ticket; typed dates stay dates, to be printed once per group."""
     column = write_column(df, "date")
     date = read_field(df, "date")
     if column is not None and data_type(df, column) == "string":
-        day = K.day_key(date, "string")
-    else:
-        day = date.cast("date")
-    return (
-        df.select(day.alias("day"))
-        .where(F.col("day").isNotNull())
-        .groupBy("day")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("day").cast("string").alias("day"), "n")
-    )
+        return K.day_key(date, "string")
+    return date.cast("date")
 
 
 def tickets_by_day(df: DataFrame) -> DataFrame:
-    return _day_counts(df).orderBy("day")
+    days = df.select(_day(df).alias("day")).where(F.col("day").isNotNull()).groupBy("day").agg(F.count("*").alias("n"))
+    return days.select(F.col("day").cast("string").alias("day"), "n").orderBy("day")
+
+
+def _store(df: DataFrame) -> Column:
+    return F.coalesce(read_field(df, "store_name"), F.lit(UNKNOWN_STORE))
 
 
 def tickets_by_store(df: DataFrame) -> DataFrame:
     """Tickets per exact store name; missing names count as one unknown store."""
-    store = F.coalesce(read_field(df, "store_name"), F.lit(UNKNOWN_STORE))
-    return df.groupBy(store.alias("store_name")).agg(F.count("*").alias("n"))
+    return df.groupBy(_store(df).alias("store_name")).agg(F.count("*").alias("n"))
 
 
 def top_stores(df: DataFrame, k: int = 10) -> DataFrame:
@@ -69,14 +65,21 @@ def top_stores(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def dashboard_series(df: DataFrame) -> DataFrame:
-    """The three dashboard series as (series, key, n)."""
-    parts = [
-        ("status_counts", tickets_by_status(df).toDF("key", "n")),
-        ("tickets_by_date", _day_counts(df).toDF("key", "n")),
-        ("tickets_by_store", tickets_by_store(df).toDF("key", "n")),
-    ]
-    named = [part.select(F.lit(name).alias("series"), "key", "n") for name, part in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    """The three dashboard series as (series, key, n), from one pass over the tickets.
+
+    A row of weight 0 per status keeps all of them in the result.
+    """
+    points = df.select(
+        status_label(read_field(df, "status")).alias("label"), _day(df).alias("day"), _store(df).alias("store"), F.lit(1).alias("n")
+    )
+    labels = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(name) for name in LABELS])).alias("label"), F.lit(0).alias("n"))
+    sets = [[F.col("label")], [F.col("day")], [F.col("store")]]
+    counted = points.unionByName(labels, allowMissingColumns=True).groupingSets(sets, "label", "day", "store").agg(
+        F.grouping("label").alias("_label"), F.grouping("day").alias("_day"), F.sum("n").alias("n")
+    )
+    series = F.when(F.col("_label") == 0, "status_counts").when(F.col("_day") == 0, "tickets_by_date").otherwise("tickets_by_store")
+    key = F.coalesce("label", F.col("day").cast("string"), "store")
+    return counted.select(series.alias("series"), key.alias("key"), "n").where(F.col("key").isNotNull())
 
 
 def dashboard_json(df: DataFrame) -> DataFrame:

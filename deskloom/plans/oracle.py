@@ -108,7 +108,7 @@ _CSV_ROWS = (
     "when o_orderkey % 13 = 0 then '' else 'Ann' end as assigned_to, "
     "case when o_orderkey % 29 = 0 then null when o_orderkey % 31 = 0 then 'weird' "
     "when o_orderkey % 13 = 0 then 'Complete' when o_orderkey % 11 = 0 then '' else 'ongoing' end as status, "
-    "o_orderkey % 29 = 0 as cut from orders join customer on o_custkey = c_custkey)"
+    "o_orderkey % 29 = 0 as cut from orders join customer on o_custkey = c_custkey where c_nationkey <> 24)"
 )
 
 _EDIT_FIELDS = (
@@ -390,6 +390,28 @@ ORACLE_SQL: dict[str, str] = {
         "cast(null as decimal(10, 2)) as labor_fee from numbered",
     ),
     "csv_upload": f"with {_CSV_ROWS}, {_checked('csv_rows', 'cut')} select * from checked",
+    "refused_uploads": (
+        "select concat('batch-', cast(n_nationkey as string), '.csv') as file, "
+        "'Missing required columns: subject, reported_concern' as message from nation where n_nationkey = 24"
+    ),
+    "workbook_rows": _sql(
+        "workbook",
+        ", filled as (select file, row_num, "
+        + ", ".join(f"nullif({f}, '') as {f}" for f in _EDIT_FIELDS if f not in ("job_order", "service_done"))
+        + f", case when {_LOWERED} in ('complete', 'completed') then 'completed' else {_LOWERED} end as status, "
+        "nullif(labor_fee, '') as fee from workbook), "
+        "judged as (select * exclude (fee), try_cast(fee as decimal(10, 2)) as labor_fee, case "
+        f"when {_FIRST_WIDE.format(extra='')} is not null then concat('Data too long for column ', {_FIRST_WIDE.format(extra='')}) "
+        "when length(status) > 50 then 'Data too long for column status' "
+        "when fee like '999999%' then 'Out of range value for column labor_fee' end as own "
+        "from filled where store_name is not null and subject is not null and reported_concern is not null "
+        "and coalesce(contact_number, email) is not null) "
+        "select * exclude (own), max(own) over (partition by file) as error from judged",
+    ),
+    "workbook_headers": _sql("uploads", "select row_num, store_name, contact_number, reported_concern, assigned_to from uploads"),
+    "stored_tickets": _t("select * from tickets"),
+    "stored_users": _sql("users", "select * from users"),
+    "stored_audit": _sql("audit", "select * from audit"),
     "apply_updates": _sql("tickets edits", f"{_UPDATES} select * from updated"),
     "rejected_edits": _sql(
         "tickets edits",
@@ -444,6 +466,16 @@ ORACLE_SQL: dict[str, str] = {
         "case when row_number() over (partition by email, error is null order by row_num) > 1 "
         "then 'An account with that email already exists.' end) as error from judged",
     ),
+    "register_users": _sql(
+        "candidates users",
+        ", asked as (select row_num, lower(trim(email)) as email, trim(first_name) as first_name, trim(last_name) as last_name "
+        "from candidates), judged as (select *, case when first_name = '' or last_name = '' or email = '' "
+        "then 'Please fill in all fields.' when email in (select email from users) "
+        "then 'An account with that email already exists.' end as refused from asked) "
+        "select row_num, email, first_name, last_name, 'end_user' as role, coalesce(refused, "
+        "case when row_number() over (partition by email, refused is null order by row_num) > 1 "
+        "then 'An account with that email already exists.' end) as error from judged",
+    ),
     "apply_user_updates": _sql("users user_edits", f", {_USER_EDIT_CTE} select * from updated_users"),
     "profile_updates": _sql(
         "users user_edits",

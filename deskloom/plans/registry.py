@@ -21,9 +21,10 @@ from deskloom.operators import reports as R
 from deskloom.operators import schema_ops as SO
 from deskloom.session import new_shared_path
 from deskloom.sources.audit_log import parse_audit_lines
-from deskloom.sources.csv_upload import parse_uploads
+from deskloom.sources import tables as T
+from deskloom.sources.csv_upload import parse_uploads, refused_uploads
 from deskloom.sources.derived import upload_text_lines, view
-from deskloom.streaming.audit_stream import write_available
+from deskloom.streaming.audit_stream import stream_audit_log, write_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,12 +128,32 @@ def _drifted(df: DataFrame) -> DataFrame:
     )
 
 
+def _workbook_headers(df: DataFrame) -> DataFrame:
+    """The uploads under headers as a workbook has them, as fields again."""
+    titled = df.select(
+        "row_num", F.col("store_name").alias(" Store Name"), F.col("contact_number").alias("Contact Number "),
+        F.col("reported_concern").alias("CONCERN"), F.col("assigned_to").alias("Assigned To"),
+    )
+    return SO.normalize_headers(titled)
+
+
+def _stored(name: str, read: Callable[[SparkSession, str], DataFrame], **renamed: str) -> Query:
+    """A view written under its stored column names and read as a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_shared_path(spark, f"stored-{name}")
+        view(spark, sf_dir, name).withColumnsRenamed(renamed).write.parquet(path)
+        return read(spark, path)
+
+    return run
+
+
 def _csv_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.validate(parse_uploads(upload_text_lines(spark, sf_dir)))
 
 
-def _audit_events(df: DataFrame) -> DataFrame:
-    return parse_audit_lines(df).select(
+def _audit_events(parsed: DataFrame) -> DataFrame:
+    return parsed.select(
         "timestamp",
         "level",
         "action",
@@ -150,8 +171,8 @@ def _audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log segments written from the events, taken up by the stream and read back."""
     base = new_shared_path(spark, "audit-stream")
     view(spark, sf_dir, "audit_lines").write.text(f"{base}/segments")
-    lines = spark.readStream.text(f"{base}/segments")
-    write_available(_audit_events(lines), f"{base}/rows", f"{base}/state").awaitTermination()
+    events = _audit_events(stream_audit_log(spark, f"{base}/segments"))
+    write_available(events, f"{base}/rows", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/rows")
 
 
@@ -159,8 +180,8 @@ def _rejected(checked: DataFrame) -> DataFrame:
     return I.split_valid(checked)[1]
 
 
-def _new_user_rows(requests: DataFrame, users: DataFrame) -> DataFrame:
-    return U.check_new_users(requests, users).select(
+def _new_user_rows(requests: DataFrame, users: DataFrame, register: bool = False) -> DataFrame:
+    return U.check_new_users(requests, users, register).select(
         "row_num", "email", "first_name", "last_name", "role", "error"
     )
 
@@ -226,6 +247,13 @@ QUERIES: dict[str, Query] = {
     "ingest_summary": _on("uploads", lambda df: I.ingest_summary(I.stage(I.validate(df)))),
     "ingested_tickets": _ingested,
     "csv_upload": _csv_upload,
+    "refused_uploads": lambda spark, sf_dir: refused_uploads(upload_text_lines(spark, sf_dir)),
+    "workbook_rows": _on("workbook", I.validate_workbook),
+    "workbook_headers": _on("uploads", _workbook_headers),
+    # Stored tables
+    "stored_tickets": _stored("tickets", T.tickets),
+    "stored_users": _stored("users", T.users, id="idusers"),
+    "stored_audit": _stored("audit", T.audit),
     # Changes
     "apply_updates": lambda spark, sf_dir: _updated(spark, sf_dir)[1],
     "rejected_edits": _on_two("tickets", "edits", lambda t, e: C.rejected_edits(t, e, EDIT_ORDER)),
@@ -246,6 +274,7 @@ QUERIES: dict[str, Query] = {
     "new_users": _on_two("candidates", "users", U.new_users),
     "dedupe_users": _on("candidates", U.dedupe_users),
     "check_new_users": _on_two("candidates", "users", _new_user_rows),
+    "register_users": _on_two("candidates", "users", lambda c, u: _new_user_rows(c, u, register=True)),
     "apply_user_updates": _on_two(
         "users", "user_edits", lambda u, e: U.apply_user_updates(u, e, EDIT_ORDER)
     ),
@@ -261,6 +290,6 @@ QUERIES: dict[str, Query] = {
     "audit_count": _on("audit", AU.audit_count),
     "audit_payload": _on("audit", AU.audit_payload),
     "seed_if_absent": _seeds,
-    "audit_events": _on("audit_lines", _audit_events),
+    "audit_events": _on("audit_lines", lambda df: _audit_events(parse_audit_lines(df))),
     "audit_stream": _audit_stream,
 }

@@ -79,7 +79,7 @@ WIDTHS = {
     "assigned_it": 255,
     "email": 255,
     "concern": 255,
-    "job_order": 10,
+    "status": 50,
 }
 
 # Tables and columns that have to exist.

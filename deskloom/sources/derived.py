@@ -123,6 +123,18 @@ UPLOADS = {
     ),
 }
 
+# Workbook rows, in small files, with statuses and fees that no ticket can have.
+WORKBOOK = {
+    **UPLOADS,
+    "file": "concat('book-', cast(o_custkey as string), '.xlsx')",
+    "status": _e("case when $k % 101 = 0 then rpad('s', 60, 's') when $k % 19 = 0 then '' else ' On Hold' end"),
+    "labor_fee": _e(
+        "case when $k % 103 = 0 then '999999999999' when $k % 5 = 0 then 'free' when $k % 7 = 0 then '' "
+        "else concat(cast($k % 300 as string), '.5') end"
+    ),
+    "error": "cast(null as string)",
+}
+
 # Text of uploaded files, one file per nation and one record per order. Some records span two
 # lines, some are short, some have an extra cell, some a quote inside plain text, some a blank
 # line behind them.
@@ -214,6 +226,7 @@ VIEWS = {
     "audit_lines": (AUDIT_LINES, "events"),
     "uploads": (UPLOADS, "orders join customer on o_custkey = c_custkey"),
     "upload_text": (UPLOAD_TEXT, "orders join customer on o_custkey = c_custkey"),
+    "workbook": (WORKBOOK, "orders join customer on o_custkey = c_custkey"),
     "edits": (EDITS, "lineitem"),
     "deletes": (DELETES, f"lineitem where {DELETES_WHERE}"),
     "candidates": (CANDIDATES, "customer"),
@@ -249,7 +262,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def upload_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of ``upload_text`` as numbered lines, with a header line per file.
 
-    Block borders fall inside two-line records too.
+    Block borders fall inside two-line records too. The last nation's header lacks columns.
     """
     text = view(spark, sf_dir, "upload_text")
     lines = text.select("file", "k", F.posexplode(F.split("text", "\n")).alias("i", "value"))
@@ -259,6 +272,6 @@ def upload_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("batch-"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("file"),
         F.lit(-1).cast("bigint").alias("block"),
         F.lit(-1).cast("bigint").alias("pos"),
-        F.lit(",".join(UPLOAD_COLUMNS)).alias("value"),
+        F.when(F.col("n_nationkey") == 24, "store_name,email").otherwise(",".join(UPLOAD_COLUMNS)).alias("value"),
     )
     return header.unionByName(body)

@@ -10,8 +10,8 @@ _USER_COLUMNS = ("email", "first_name", "last_name", "role", "is_active")
 
 
 def tickets(spark: SparkSession, path: str) -> DataFrame:
-    """All ticket columns; readers prune what they do not use."""
-    return spark.read.parquet(path)
+    """All ticket columns; readers prune what they do not use. Uploads are parts of the table."""
+    return spark.read.parquet(path).drop("upload_id")
 
 
 def users(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from deskloom.operators import changes as C
 from deskloom.operators import people as U
+from deskloom.operators.ingest import append_tickets
 from deskloom.sources.tables import jdbc_options, select_users
+from deskloom.sources.tables import tickets as stored_tickets
 
 EDIT = "ticket_no int, seq int, store_name string, contact_number string, email string, subject string, job_order string, reported_concern string, assigned_to string, status string, service_done string, labor_fee string"
 
@@ -88,6 +90,14 @@ def test_change_records(tickets, edits):
     assert [tuple(r) for r in moves] == [(1, "from Pending to Completed")]
 
 
+def test_an_upload_appended_twice_is_there_once(spark, tickets, tmp_path):
+    path = str(tmp_path / "entries")
+    for part, upload in ((tickets.where("ticket_no < 3"), "a"), (tickets.where("ticket_no = 3"), "b"), (tickets.where("ticket_no < 3"), "a")):
+        append_tickets(part, path, upload)
+    stored = stored_tickets(spark, path)
+    assert stored.columns == tickets.columns and stored.exceptAll(tickets).isEmpty() and stored.count() == 3
+
+
 def test_deletes(spark, tickets):
     gone = spark.createDataFrame([(1,), (1,), (7,)], "ticket_no int")
     assert sorted(r[0] for r in C.apply_deletes(tickets, gone, "ticket_no").select("ticket_no").collect()) == [2, 3]

@@ -119,6 +119,22 @@ def test_like(values):
     assert values(lambda c: T.matches_like(c, "\\"), ["a\\b", "ab"]) == [True, False]
 
 
+def test_wildcards_never_lose_rows(values):
+    """A text that holds a piece also matches it with a wildcard before, behind or inside."""
+    stores = ["Straße 1", "strasse 1", "Ωmέga", "ΟΔΟΣ οδος", "Ünïté É", "e\u0301te\u0301", "İstanbul", "Йод", "plain", "50% off"]
+    for text in ("strasse", "straße", "ε", "οδοσ", "ς", "unite", "été", "istanbul", "иод", "PLAIN", "e"):
+        found = values(lambda c: T.matches_like(c, text), stores)
+        wild = [values(lambda c: T.matches_like(c, w), stores) for w in (f"%{text}", f"{text}%", f"{text[:1]}%{text[1:]}")]
+        assert any(found), text
+        assert all(not hit or all(w[i] for w in wild) for i, hit in enumerate(found)), text
+        assert wild[0] == wild[1] == found
+
+
+def test_fees_out_of_range(values):
+    texts = ["12.5", "999999999999", "-999999999999", "1e9", "free", "", None, "NaN", "Infinity", "99999999.99"]
+    assert values(K.fee_out_of_range, texts) == [False, True, True, True] + [False] * 6
+
+
 def test_user_transitions(spark):
     df = spark.createDataFrame([("admin", "end_user", True, False), ("x", "end_user", False, True)], "a string, b string, w boolean, n boolean")
     rows = df.select(P.role_transition(F.col("a"), F.col("b")), P.activity_transition(F.col("w"), F.col("n"))).collect()
