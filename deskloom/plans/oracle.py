@@ -383,7 +383,7 @@ ORACLE_SQL: dict[str, str] = {
     "ingested_tickets": _sql(
         "tickets uploads",
         f", {_UPLOAD_CHECK}, numbered as (select *, row_number() over (order by row_num) as seq "
-        "from checked where error is null) select cast(seq + (select max(ticket_no) from tickets) as int) as ticket_no, "
+        "from checked where error is null) select cast(seq + (select max(ticket_no) from tickets) as bigint) as ticket_no, "
         "store_name, contact_number, subject, assigned_to as assigned_it, "
         f"timestamp '{AS_OF}' as date, email, reported_concern as concern, status, cast(null as string) as remedy, "
         f"{_jo(f'(seq + {_MAX_JO})')} as job_order, cast(null as string) as service_done, "

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 TICKET_SCHEMA = T.StructType(
     [
-        T.StructField("ticket_no", T.IntegerType(), False),
+        T.StructField("ticket_no", T.LongType(), False),
         T.StructField("store_name", T.StringType()),
         T.StructField("contact_number", T.StringType()),
         T.StructField("subject", T.StringType()),

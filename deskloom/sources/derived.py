@@ -19,7 +19,7 @@ def _e(text: str) -> str:
 
 
 TICKETS = {
-    "ticket_no": _e("cast($k + 1 as int)"),
+    "ticket_no": _e("cast($k + 1 as bigint)"),
     "store_name": _e(
         "case when $k % 41 = 0 then null when $k % 43 = 0 then '' "
         "when $k % 5 = 0 then upper(c_name) else c_name end"
@@ -154,7 +154,7 @@ UPLOAD_TEXT = {
 
 # One edit per order line, of the order's ticket.
 EDITS = {
-    "ticket_no": "cast(l_orderkey + 1 as int)",
+    "ticket_no": "cast(l_orderkey + 1 as bigint)",
     "seq": "l_linenumber * 100000000 + l_partkey",
     "seq2": "l_extendedprice",
     "store_name": "case when l_quantity > 45 then ' ' else concat('Store ', cast(l_suppkey as string)) end",
@@ -181,7 +181,7 @@ EDITS = {
 }
 
 # Keys of tickets to delete: orders with a returned line.
-DELETES = {"ticket_no": "cast(l_orderkey + 1 as int)"}
+DELETES = {"ticket_no": "cast(l_orderkey + 1 as bigint)"}
 DELETES_WHERE = "l_returnflag = 'R'"
 
 # One requested account per customer; some emails exist already, some repeat.
