@@ -1,7 +1,10 @@
 """Operator 8, substring dedup: paragraph MinHash banding.
 
-A paragraph begins at every sentence of a line and takes whole sentences until it has enough
-words, so a passage that is set into other text still begins paragraphs of its own. Paragraphs get
+A paragraph begins at every sentence and line and takes whole sentences until it has enough words,
+so a passage that is set into other text still begins paragraphs of its own. It ends with its line
+if it has enough words there, else it runs on over line ends. Where no sentence begins in a run of
+words, one of them is taken as a beginning by its hash, so that any 50 equal words hold a paragraph.
+Paragraphs get
 MinHash signatures over runs of five words; bands of them are tuned for recall. Paragraphs that
 meet in a band are verified on exact Jaccard similarity, linked ones are clustered by components,
 and a cluster that spans documents keeps its paragraphs in the first of them and removes the others.
@@ -34,8 +37,11 @@ PARAGRAPH = 20
 #: repeated passage has several chances.
 ROWS = 2
 RECALL = 0.9
-#: Besides sentence ends, one word in so many starts a sentence, chosen by its hash: for text without any.
-BREAK = 24
+#: In any so many words of a document without a beginning of a sentence, the word of the least hash is one.
+#: A first beginning, the least words of a paragraph and the next beginning fit in 2 * 15 + 20 words.
+BREAK = 15
+#: Signs that may follow the mark that ends a sentence.
+_CLOSING = [c.encode() for c in "\"')]}\u201d\u2019\u00bb"]
 
 
 def bands(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -43,8 +49,36 @@ def bands(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> i
     return ceil(log(1 - recall) / log(1 - (percent / 100) ** rows))
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int) -> dict[str, np.ndarray]:
-    """Per paragraph of a slice: its document, first byte and byte after the last, words and digest."""
+def _sentence_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether words end in a mark, closing quotes and brackets behind it aside."""
+    last = ends - 1
+    for _ in range(4):
+        for sign in _CLOSING:
+            size = len(sign)
+            hit = last - size >= starts
+            for i, byte in enumerate(sign):
+                hit &= data[np.maximum(last - size + 1 + i, 0)] == byte
+            last = np.where(hit, last - size, last)
+    return np.isin(data[last], np.frombuffer(b".!?", np.uint8))
+
+
+def _picked(hashes: np.ndarray, document: np.ndarray, marked: np.ndarray, window: int) -> np.ndarray:
+    """The word of the least hash in each run of ``window`` words of a document without a marked one."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) >= window:
+        count = np.concatenate(([0], np.cumsum(marked)))
+        at = np.flatnonzero((count[window:] == count[:-window]) & (document[window - 1 :] == document[: len(document) - window + 1]))
+        least = np.lib.stride_tricks.sliding_window_view(H.mix(hashes), window).argmin(axis=1)
+        out[at + least[at]] = True
+    return out
+
+
+def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_lines: bool = False) -> dict[str, np.ndarray]:
+    """Per paragraph of a slice: its document, first byte and byte after the last, words and digest.
+
+    With ``over_lines``, one whose line ends too soon runs on to the next beginning of a sentence
+    that gives it enough words, wherever lines end, or to the end of its document.
+    """
     hashes, starts, first = H.words(data, offsets)
     n = len(hashes)
     runs = np.zeros(max(0, n - k + 1), np.uint64)
@@ -61,16 +95,22 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int) -> dic
     edges.sort()
     ends = edges[np.searchsorted(edges, starts, "right")]  # a word ends at white space or with its document
     line = np.cumsum(data == 10)[starts] + document * (1 + int((data == 10).sum()))
-    begins = np.ones(n, bool)
-    begins[1:] = (
-        np.isin(data[ends[:-1] - 1], np.frombuffer(b".!?", np.uint8)) | (line[1:] != line[:-1]) | (H.mix(hashes[1:]) % np.uint64(BREAK) == 0)
-    )
+    marked = np.ones(n, bool)
+    marked[1:] = _sentence_ends(data, starts[:-1], ends[:-1]) | (document[1:] != document[:-1])
+    marked |= _picked(hashes, document, marked, BREAK)
+    begins = marked.copy()
+    begins[1:] |= line[1:] != line[:-1]
     last = np.append(np.flatnonzero(line[1:] != line[:-1]) + 1, n)  # first word after each line
     after_line = last[np.searchsorted(last, np.arange(n), "right")]
-    heads = np.append(np.flatnonzero(begins), n)
-    at = heads[:-1]
-    stop = heads[np.minimum(np.searchsorted(heads, at + least, "left"), len(heads) - 1)]
-    stop = np.minimum(stop, after_line[at])
+
+    def stops(begins: np.ndarray) -> np.ndarray:
+        heads = np.append(np.flatnonzero(begins), n)
+        return heads[np.minimum(np.searchsorted(heads, at + least, "left"), len(heads) - 1)]
+
+    at = np.flatnonzero(begins)
+    stop = np.minimum(stops(begins), after_line[at])
+    if over_lines:
+        stop = np.where(stop - at >= least, stop, np.minimum(stops(marked), first[document[at] + 1]))
     long = stop - at >= least
     at, stop = at[long], stop[long]
     if not len(at):
@@ -101,7 +141,7 @@ def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, r
     for batch in batches:
         keys = batch.column("doc_key").to_numpy()
         for row, _, data, offsets in H.slices(batch, "text"):
-            found = paragraphs(data, offsets, least, k)
+            found = paragraphs(data, offsets, least, k, over_lines=True)
             source = keys[row + found["document"]]
             fresh = np.zeros(len(source), bool)
             for i, (digest, own) in enumerate(zip(found["digest"].tolist(), source.tolist())):
@@ -123,7 +163,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
     """``doc_key, set, start, end`` of every paragraph, places counted in characters."""
     for batch in batches:
         for row, _, data, offsets in H.slices(batch, "text"):
-            found = paragraphs(data, offsets, least, k)
+            found = paragraphs(data, offsets, least, k, over_lines=True)
             chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
             base = chars[offsets[found["document"]]]
             yield pa.record_batch([
@@ -137,7 +177,7 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iter
     for batch in batches:
         wanted = batch.column("wanted")
         for row, end, data, offsets in H.slices(batch, "text"):
-            found = paragraphs(data, offsets, least, k)
+            found = paragraphs(data, offsets, least, k, over_lines=True)
             raw = data.tobytes()
             digests = H.signed(found["digest"])
             ids, texts = [], []

@@ -134,3 +134,46 @@ def test_a_document_that_repeats_itself_is_left_alone(spark):
     assert {(r["doc_id"], r["removed"]) for r in rows} == {(0, False), (7, True)}
     (end,) = {r["span_end"] for r in rows if r["removed"]}
     assert end == len(both.where("doc_id = 7").first()["text"])
+
+
+def shared_digests(one, two):
+    batch = pa.record_batch([pa.array([one, two])], names=["text"])
+    (_, _, data, offsets), = H.slices(batch, "text")
+    found = paragraphs(data, offsets, 20, 5, over_lines=True)
+    own = [set(found["digest"][found["document"] == d].tolist()) for d in range(2)]
+    return own[0] & own[1]
+
+
+def plain_words(n):
+    return [f"{RNG.choice('abcdefghkmnprst')}{RNG.randrange(3000)}" for _ in range(n)]
+
+
+def in_lines(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_fifty_equal_words_hold_a_paragraph():
+    for n in [*range(50, 61)] * 20:
+        passage = plain_words(n)
+        for shape in (" ".join, lambda w: in_lines(w, 12)):
+            around = [" ".join(plain_words(RNG.randrange(1, 40))) + RNG.choice(["", "."]) for _ in range(4)]
+            gap = RNG.choice([" ", "\n"])
+            assert shared_digests(*[a + gap + shape(passage) + gap + b for a, b in (around[:2], around[2:])])
+        assert shared_digests(" ".join(plain_words(9) + passage), in_lines(passage, 12))  # set in other lines
+
+
+def test_short_lines_are_found(spark):
+    passage = in_lines(plain_words(54), 12)
+    docs = [in_lines(plain_words(70), 14) + "\n" + passage + "\n" + in_lines(plain_words(30), 9) for _ in range(3)]
+    rows = repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["removed"], r["n_docs"]) for r in rows} == {(0, False, 3), (1, True, 3), (2, True, 3)}
+
+
+def test_closing_signs_after_a_mark(monkeypatch):
+    import deskloom.llm.substring_dedup as S
+
+    monkeypatch.setattr(S, "BREAK", 1 << 62)
+    for sign in ('"', "')", "”", "’", "»]"):
+        head, passage = plain_words(9), plain_words(20)
+        one, two = (f"{' '.join(w)} he said.{sign} {' '.join(passage)} end.{sign} {' '.join(plain_words(3))}" for w in (head, plain_words(4)))
+        assert shared_digests(one, two)
