@@ -33,10 +33,10 @@ WORDS = 5
 PERCENT = 75
 #: Least words of a paragraph.
 PARAGRAPH = 20
-#: Rows of a band, and the share of pairs at the threshold that must meet. Paragraphs overlap, so a
-#: repeated passage has several chances.
+#: Rows of a band, and the share of pairs at the threshold that must meet. A near copy on one line may
+#: hold one paragraph only, so each pair by itself has to meet.
 ROWS = 2
-RECALL = 0.9
+RECALL = 0.99
 #: In any so many words of a document without a beginning of a sentence, the word of the least hash is one.
 #: A first beginning, the least words of a paragraph and the next beginning fit in 2 * 15 + 20 words.
 BREAK = 15

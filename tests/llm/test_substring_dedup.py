@@ -177,3 +177,35 @@ def test_closing_signs_after_a_mark(monkeypatch):
         head, passage = plain_words(9), plain_words(20)
         one, two = (f"{' '.join(w)} he said.{sign} {' '.join(passage)} end.{sign} {' '.join(plain_words(3))}" for w in (head, plain_words(4)))
         assert shared_digests(one, two)
+
+
+def test_bands_find_what_brute_force_finds():
+    """Of all pairs of paragraphs at the threshold, by brute force, hardly any share no band."""
+    from deskloom.llm.substring_dedup import PERCENT, RECALL, ROWS, band_keys
+
+    texts = []
+    for _ in range(400):
+        words = plain_words(RNG.randrange(30, 70))
+        texts.append(" ".join(words))
+        for changes in (1, 1, 2, 3):
+            copy = words.copy()
+            for i in RNG.sample(range(len(words)), changes):
+                copy[i] = f"z{RNG.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    close = met = 0
+    for _, _, data, offsets in H.slices(batch, "text"):
+        found = paragraphs(data, offsets, 20, 5, over_lines=True)
+        keys = band_keys(found, bands(PERCENT, ROWS, RECALL), ROWS, 5)
+        sets = [set(found["runs"][a : a + n - 4].tolist()) for a, n in zip(found["at"], found["words"])]
+        groups = found["document"] // 5  # texts of other groups have no run of words in common
+        for g in range(400):
+            own = np.flatnonzero(groups == g)
+            for x, i in enumerate(own):
+                for j in own[x + 1 :]:
+                    shared = len(sets[i] & sets[j])
+                    if found["digest"][i] != found["digest"][j] and 100 * shared >= PERCENT * (len(sets[i]) + len(sets[j]) - shared):
+                        close += 1
+                        met += bool((keys[i] == keys[j]).any())
+    print(f"{met} of {close} pairs")
+    assert close > 500 and met >= 0.99 * close
