@@ -38,12 +38,12 @@ class Encoder:
     """Token ids of whole texts, with the ids of words met before remembered.
 
     The vocabulary's pre-tokenizer never joins a solid character with what follows a single space
-    or newline, so a text may be cut before such a one, and each part encoded by itself.
+    or newline, so a text may be cut before such a one, and each part encoded by itself. That holds
+    for special tokens written out in a text too, as they have no white space.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.forget()
 
     def forget(self) -> None:

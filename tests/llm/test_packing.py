@@ -96,3 +96,28 @@ def test_cut_texts_have_the_same_ids(texts):
             ids, first = words.encode(data, offsets)
             for d in range(end - row):
                 assert ids[first[d] : first[d + 1]].tolist() == ids_of(texts[row + d])[:-1]
+
+
+SPECIAL = "<|endoftext|>"
+PLAIN = Tokenizer.from_file(PATH)
+
+
+def test_a_special_token_in_a_text_has_its_own_id(spark):
+    texts = [f"a {SPECIAL} b", SPECIAL, f"x{SPECIAL}\n{SPECIAL}  y", "a <|endoftext |> b"]
+    out = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        ids = [*PLAIN.encode(texts[r["doc_id"]], add_special_tokens=False).ids, END]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert len(out) == len(texts)
+    assert PLAIN.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([SPECIAL, "<|", "|>", " ", "\n", "a", "é", "'s", "9", "\t"]), max_size=12).map("".join), max_size=4))
+def test_cuts_keep_special_tokens(texts):
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    words = encoder(PATH)
+    for row, end, data, offsets in H.slices(batch, "text"):
+        ids, first = words.encode(data, offsets)
+        for d in range(end - row):
+            assert ids[first[d] : first[d + 1]].tolist() == PLAIN.encode(texts[row + d], add_special_tokens=False).ids
