@@ -1,7 +1,7 @@
 """Operator 2, HTML extraction: two-pass block rules.
 
 A page is cut into blocks at block-level tags. Regions that are never main text by their element,
-role, class or id are left out. The first pass decides blocks by stop-word density, length and link
+role, class or id are left out; a class or id alone does not leave out what holds an article. The first pass decides blocks by stop-word density, length and link
 density; the second gives the ambiguous ones, as a rule short, the label of their nearest decided
 neighbours. If a page marks an article, only its blocks are candidates, and the mark counts as the
 nearest neighbour of its blocks without links.
@@ -53,7 +53,14 @@ _NEVER_NAME = frozenset(
     "outbrain overlay pager pagination popup promo promoted promotion reactions recommended recommendations related replies reply respond "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
-_SAFE = frozenset(("html", "body"))
+_SAFE = frozenset(("html", "body", "main"))
+# Words of a class or id that tell what a page has or which state it is in, before and behind a region's name.
+_STATE_BEFORE = frozenset("has have hide no not show toggle when with without".split())
+_STATE_BEHIND = frozenset(
+    "active closed collapsed disabled enabled expanded free inactive layout none off on open opened page shown visible".split()
+)
+#: Words before "hidden" that leave it its meaning; in others it stands for some screens, for print or for overflow.
+_HIDDEN_BEFORE = frozenset("is js visually".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -72,28 +79,52 @@ class Block(NamedTuple):
     article: int  # 0 outside of any
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's region is no main text, whatever it holds."""
-    if tag in _NEVER or (tag == "header" and not inside):
-        return True
-    if not attributes.strip() or tag in _SAFE:
+def _names(token: str, head_only: bool) -> bool:
+    """Whether a class or id names a region other than the main text; with ``head_only``, by its first word."""
+    parts = [part.lower() for part in _NAME_PART.findall(token)]
+    if not parts or (len(parts) > 1 and parts[-1] in _STATE_BEHIND):
         return False
-    values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+    if "hidden" in parts:
+        return parts[-1] == "hidden" and all(part in _HIDDEN_BEFORE for part in parts[:-1])
+    for part in parts[:1] if head_only else parts:
+        if part in _STATE_BEFORE:
+            return False
+        if part in _NEVER_NAME:
+            return True
+    return False
+
+
+def _left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's region is no main text, whatever it holds; and whether it is by its class
+    or id, unless it holds an article."""
+    if tag in _NEVER or (tag == "header" and not inside):
+        return True, False
+    if not attributes.strip():
+        return False, False
+    values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if tag not in ("html", "body") else {}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     if values.get("role", "").lower() in _NEVER_ROLE:
-        return True
-    names = f"{values.get('class', '')} {values.get('id', '')}"
-    return any(part.lower() in _NEVER_NAME for part in _NAME_PART.findall(names))
+        return True, False
+    if tag in _SAFE:
+        return False, False
+    names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    return False, any(_names(name, tag == "article") for name in names)
 
 
-def blocks(html: str) -> list[Block]:
-    """The candidate blocks of a page in order, white space collapsed and references decoded."""
+def blocks(html: str, spared: frozenset[int] = frozenset()) -> list[Block]:
+    """The candidate blocks of a page in order, white space collapsed and references decoded.
+
+    Of the regions left out by their names, counted from 0, the spared ones stay. Those that turn
+    out to hold an article are spared by a second run.
+    """
     found: list[Block] = []
     parts: list[str] = []
     linked = breaks = articles = current = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether their region is left out
-    left_out = links = inside = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether their region is left out, and whether by its name
+    named: list[int] = []  # open regions left out by their names
+    holding: set[int] = set()  # those that hold an article
+    left_out = links = inside = regions = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -116,8 +147,10 @@ def blocks(html: str) -> list[Block]:
     def close(at: int) -> None:
         nonlocal left_out, links, inside
         while len(stack) > at:
-            tag, out = stack.pop()
+            tag, out, by_name = stack.pop()
             left_out -= out
+            if by_name:
+                named.pop()
             links -= tag == "a"
             inside -= tag in _ARTICLE
 
@@ -141,22 +174,30 @@ def blocks(html: str) -> list[Block]:
                 close(at)
         elif tag not in _VOID:
             if tag == "body":  # a head that was never closed
-                close(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
+                close(next((i for i, (t, *_) in enumerate(stack) if t == "head"), len(stack)))
             if tag in ("p", "li", "a", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
             if token[4].rstrip().endswith("/"):
                 continue
-            out = _left_out(tag, token[4], bool(inside))
+            out, by_name = _left_out(tag, token[4], bool(inside))
+            if by_name:
+                out = regions not in spared
+                by_name = out
+                if out:
+                    named.append(regions)
+                regions += 1
+            elif tag in _ARTICLE and not out and left_out == len(named):
+                holding.update(named)
             if tag in _ARTICLE:
                 articles += not inside
                 current = articles
                 inside += 1
-            stack.append((tag, out))
+            stack.append((tag, out, by_name))
             left_out += out
             links += tag == "a"
     text_between(position, len(html))
     end_block()
-    return found
+    return blocks(html, frozenset(holding)) if holding else found
 
 
 def decided(block: Block) -> bool | None:

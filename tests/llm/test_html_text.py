@@ -76,3 +76,21 @@ def test_odd_rows(spark):
     assert [r["text"] for r in out[:4]] == [LONG, LONG, "", ""]
     assert out[4]["text"].endswith(LONG) and out[4]["n_chars"] == len(out[4]["text"])
     assert extract(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("name", [
+    "has-sidebar", "no-sidebar", "with-sidebar", "two-columns-no-sidebar", "comments-open", "has-related-posts", "share-enabled", "hidden-print",
+    "hidden-xs", "overflow-hidden", "ad-free", "nav-open", "modalOpen",
+])
+def test_states_of_a_page_do_not_cut_it(name):
+    for tag in ("div", "main", "article", "section"):
+        for kind in ("class", "id"):
+            assert main_text(page(f"<{tag} {kind}='{name} x'><h1>Title</h1><p>{LONG}</p></{tag}>")) == f"Title\n{LONG}"
+
+
+def test_regions_by_name_unless_they_hold_an_article():
+    for name in ("sidebar", "left-sidebar", "site-footer", "postComments", "visually-hidden", "is-hidden", "ad has-image", "comment-body"):
+        assert main_text(page(f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div>")) == LONG
+    for mark in ("article", "main", "main class='widgets'"):
+        assert main_text(page(f"<div class='sidebar-right'><div class=widget><{mark}><p>{LONG}</p></{mark.split()[0]}></div></div>")) == LONG
+    assert main_text(page(f"<article><p>{LONG} Also <span class=share>Share this</span> here.</p></article>")) == f"{LONG} Also here."
