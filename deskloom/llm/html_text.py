@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags. Regions that are never main text by their element,
 role, class or id are left out; a class or id alone does not leave out what holds an article. The first pass decides blocks by stop-word density, length and link
 density; the second gives the ambiguous ones, as a rule short, the label of their nearest decided
-neighbours. If a page marks an article, only its blocks are candidates, and the mark counts as the
-nearest neighbour of its blocks without links.
+neighbours. If a page marks articles, those with a fair share of its decided text are its main text;
+there the mark speaks for ambiguous blocks, elsewhere the lack of it against all but long text. Without
+an article of such a share, the text outside of them is judged as on a page without marks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,14 @@ STOP_DENSITY = 0.25
 #: Share of characters inside links from which a block is no main text.
 LINK_DENSITY = 0.5
 
+#: With fewer stop words than this, a block is no main text from a lower link density.
+FEW_STOP = 0.1
+FEW_STOP_LINKS = 0.2
+#: Share of the largest part's decided text from which an article, or the text outside of any, is main text.
+SHARE = 0.25
+#: Outside of such parts, decided blocks are main text from so many characters.
+LONG_OUTSIDE = 2 * LONG
+
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from has have he her his i in is it its not of on or she that the their they this "
@@ -202,16 +211,14 @@ def blocks(html: str, spared: frozenset[int] = frozenset()) -> list[Block]:
 
 def decided(block: Block) -> bool | None:
     """First pass: main text or not, or None where a block alone does not tell."""
-    if block.linked > LINK_DENSITY * len(block.text):
+    if block.linked > LINK_DENSITY * len(block.text) or _RIGHTS.match(block.text):
         return False
-    if block.article and not block.linked:
-        return True
-    if not block.article and _RIGHTS.match(block.text):
+    words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
+    stops = sum(w in STOP_WORDS for w in words)
+    if block.linked > FEW_STOP_LINKS * len(block.text) and stops < FEW_STOP * len(words):
         return False
-    if len(block.text) >= LONG:
-        words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
-        if sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
-            return True
+    if len(block.text) >= LONG and stops >= STOP_DENSITY * len(words):
+        return True
     return None
 
 
@@ -235,19 +242,47 @@ def _inherited(labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def _marked(labels: list[bool | None]) -> list[bool]:
+    """Second pass in a chosen article: ambiguous blocks are main text, unless there is other main text
+    and all of their nearest decided neighbours, before and behind, are none."""
+    if True not in labels:
+        return [own is not False for own in labels]
+    sides = []
+    for step in (1, -1):
+        last, side = None, []
+        for own in labels[::step]:
+            last = last if own is None else own
+            side.append(last)
+        sides.append(side[::step])
+    return [own if own is not None else bool(before or after) for own, before, after in zip(labels, *sides)]
+
+
+def _chosen(found: list[Block], labels: list[bool | None]) -> set[int]:
+    """The articles, and 0 for the text outside of any, with a fair share of the decided text.
+
+    Without any decided text, long blocks stand for it, and without these the marks alone count.
+    """
+    for weigh in (lambda b, own: own, lambda b, own: own is None and len(b.text) >= LONG):
+        size: dict[int, int] = {}
+        for b, own in zip(found, labels):
+            size[b.article] = size.get(b.article, 0) + len(b.text) * bool(weigh(b, own))
+        if any(size.values()):
+            return {part for part, n in size.items() if n >= SHARE * max(size.values())}
+    return {b.article for b in found if b.article} or {0}
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; empty if there is none."""
     found = blocks(html or "")
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
-    kept: list[str] = []
-    start = 0
-    for i in range(1, len(found) + 1):  # neighbours within one article
-        if i == len(found) or found[i].article != found[start].article:
-            part = found[start:i]
-            kept += [b.text for b, keep in zip(part, _inherited([decided(b) for b in part])) if keep]
-            start = i
-    return "\n".join(kept)
+    labels = [decided(b) for b in found]
+    chosen = _chosen(found, labels)
+    keep = [bool(own) and len(b.text) >= LONG_OUTSIDE for b, own in zip(found, labels)]
+    for part in chosen:
+        at = [i for i, b in enumerate(found) if b.article == part]
+        for i, own in zip(at, (_marked if part else _inherited)([labels[i] for i in at])):
+            # In an article, a long block without links needs no neighbours.
+            keep[i] = own or bool(part and labels[i] is None and len(found[i].text) >= LONG and not found[i].linked)
+    return "\n".join(b.text for b, own in zip(found, keep) if own)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

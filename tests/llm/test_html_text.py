@@ -94,3 +94,30 @@ def test_regions_by_name_unless_they_hold_an_article():
     for mark in ("article", "main", "main class='widgets'"):
         assert main_text(page(f"<div class='sidebar-right'><div class=widget><{mark}><p>{LONG}</p></{mark.split()[0]}></div></div>")) == LONG
     assert main_text(page(f"<article><p>{LONG} Also <span class=share>Share this</span> here.</p></article>")) == f"{LONG} Also here."
+
+
+def test_teaser_articles_are_not_the_story():
+    teasers = "".join(f"<article class=card><h3><a href=/{i}>Another story {i}</a></h3><p>By Ann</p></article>" for i in range(6))
+    story = f"<div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+    for inner in (story + teasers, teasers + story):
+        assert main_text(page(inner)) == f"Title\n{LONG}\nShort.\n{LONG}"
+    foreign = "Wieczorem mieszkańcy zebrali się nad rzeką, aby wspólnie świętować jubileusz założenia miasteczka."
+    assert main_text(page(f"<div><h1>Tytuł</h1><p>{foreign}</p></div>{teasers}")) == f"Tytuł\n{foreign}"
+
+
+def test_text_outside_a_wrong_mark():
+    assert main_text(page(f"<article><p>{LONG}</p></article><div><p>{LONG} {LONG}</p><p>Short.</p></div>")) == f"{LONG}\n{LONG} {LONG}\nShort."
+    much = f"<p>{LONG} {LONG}</p>" * 9
+    text = main_text(page(f"<article>{much}</article><p>We use cookies.</p><p>{LONG}</p><p>{LONG} {LONG}</p>"))
+    assert text == "\n".join([f"{LONG} {LONG}"] * 10)
+    articles = main_text(page(f"<article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article>"))
+    assert articles == f"One\n{LONG}\nTwo\n{LONG}"
+
+
+def test_unmarked_boilerplate_in_an_article():
+    advert = "<p>Big summer sale! Running shoes, jackets, tents: save 50%! <a href=/s>Shop outdoor gear now</a></p>"
+    links = "<p><a href=/1>Another story</a></p>"
+    text = main_text(page(
+        f"<article><h1>Title</h1><p>{LONG}</p>{advert}<p>Short.</p><p>{LONG}</p>{links}<p>More from us</p>{links}<p>Copyright 2024 The Paper</p></article>"
+    ))
+    assert text == f"Title\n{LONG}\nShort.\n{LONG}"
