@@ -11,6 +11,7 @@ from deskloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from deskloom.llm.fingerprints import op4_fingerprints
 from deskloom.llm.html_text import op2_html_text
 from deskloom.llm.line_dedup import OP10_SQL, op10_line_dedup
+from deskloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from deskloom.llm.mixing import OP5_SQL, op5_mixing
 from deskloom.llm.ngram_join import op6_ngram_join
 from deskloom.llm.packing import op3_packing
@@ -40,10 +41,12 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": _shipped(op8_substring_dedup),
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": _shipped(op11_merkle_manifest),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op5_mixing": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
