@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deskloom.llm.common import ship
+from deskloom.llm.decontaminate import OP13_SQL, op13_decontamination
 from deskloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from deskloom.llm.fingerprints import op4_fingerprints
 from deskloom.llm.html_text import op2_html_text
@@ -42,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": _shipped(op11_merkle_manifest),
+    "op13_decontamination": _shipped(op13_decontamination),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -49,4 +51,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_decontamination": OP13_SQL,
 }
