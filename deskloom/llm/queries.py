@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deskloom.llm.collocations import OP12_SQL, op12_collocations
 from deskloom.llm.common import ship
 from deskloom.llm.decontaminate import OP13_SQL, op13_decontamination
 from deskloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
@@ -43,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": _shipped(op11_merkle_manifest),
+    "op12_collocations": _shipped(op12_collocations),
     "op13_decontamination": _shipped(op13_decontamination),
 }
 
@@ -51,5 +53,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_decontamination": OP13_SQL,
 }
