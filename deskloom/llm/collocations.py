@@ -1,8 +1,8 @@
 """Operator 12, phrase collocation mining: exact n-gram counts in counting quotient filters.
 
-Texts become shards: the word ids of one task's documents of one language, with breaks where a
-phrase cannot pass. Words below the threshold are breaks as well, since no phrase with them can
-reach it. For each length, a shard packs its n-grams' word ids into one number, permutes it by a
+Texts become shards: the words of one task's documents of one language as numbers, with breaks where
+a phrase cannot pass. Words are counted by blocks of their checksums; those that reach the threshold
+get ids, all others become breaks as well, since no phrase with them can reach it. For each length, a shard packs its n-grams' word ids into one number, permutes it by a
 Feistel network (invertible, so nothing is lost) and counts it in a quotient filter: the high bits
 (quotients) are kept as run lengths, the rest (remainders) in full, in order, with counters of one
 byte and wide ones apart. A block of quotients of all shards is merged in one group; the permutation
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,22 @@ from pyspark.sql import functions as F
 
 from deskloom.llm.common import col, documents, partitions, pin, text_of
 from deskloom.llm.hashing import mix
-from deskloom.llm.sharding import prefix_sums
 
 #: Least occurrences of a phrase, most words of one, and phrases per language.
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Text bytes of a shard; documents are not cut, so a longer one makes a longer shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Words of the corpus per block of quotients.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 23
 _SLICE = 1 << 20
 _BREAK = b"."  # stands for all signs that end a piece, so no word holds it
 _PLAIN = bytes(
     ord(_BREAK) if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-_SHARDS = "shard long, lang string, seq binary, words array<string>, counts array<long>"
+_SHARDS = "shard long, lang string, n long, seq binary, block int, words array<string>, pos binary, counts binary"
+_WORDS = "shard long, pos binary, num binary, lang string, word string, a long, rank long, block int"
 _LEVEL = "shard long, seq binary, block long, filter binary"
 _MERGED = "shard long, block long, filter binary, ids array<long>, a long"
 
@@ -151,17 +152,18 @@ def members(packing: Packing, lanes: list[np.ndarray], known: list[np.ndarray])
 # ---- counting quotient filters ----------------------------------------------------------------
 
 
-def _narrow(values: np.ndarray, bits: int) -> bytes:
-    """The low ``bits`` bits of values, in whole bytes."""
-    size = -(-bits // 8)
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed as planes of bytes, so that wide types cost little."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    size = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([size]) + len(values).to_bytes(8, "little") + pa.compress(planes[:size].tobytes(), "zstd", asbytes=True)
 
 
-def _wide(data: memoryview, n: int, bits: int) -> tuple[np.ndarray, memoryview]:
-    size = -(-bits // 8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :size] = np.frombuffer(data[: n * size], np.uint8).reshape(n, size)
-    return out.view("<u8").reshape(n).astype(np.uint64), data[n * size :]
+def stretched(data: bytes) -> np.ndarray:
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((8, n), np.uint8)
+    out[:size] = np.frombuffer(pa.decompress(data[9:], size * n, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(out.T).view("<i8").reshape(n)
 
 
 def to_filter(packing: Packing, lanes: list[np.ndarray], counts: np.ndarray, block_bits: int) -> bytes:
@@ -170,34 +172,21 @@ def to_filter(packing: Packing, lanes: list[np.ndarray], counts: np.ndarray, blo
     q = min(rest, max(0, n.bit_length() - 5))
     low = lanes[0] & np.uint64((1 << rest) - 1)
     runs = np.bincount((low >> np.uint64(rest - q)).astype(np.int64), minlength=1 << q) if q else np.array([n])
-    small = int(runs.max(initial=0)) < 1 << 16
-    wide = np.flatnonzero(counts >= 255)
-    return b"".join(
-        [
-            np.array([n, q, small, len(wide)], "<u4").tobytes(),
-            runs.astype("<u2" if small else "<u4").tobytes(),
-            _narrow(low & np.uint64((1 << rest - q) - 1), rest - q),
-            *[_narrow(lane, packing.width) for lane in lanes[1:]],
-            np.minimum(counts, 255).astype(np.uint8).tobytes(),
-            counts[wide].astype("<i8").tobytes(),
-        ]
-    )
+    parts = [runs, low & np.uint64((1 << rest - q) - 1), *lanes[1:], np.minimum(counts, 255), counts[counts >= 255]]
+    parts = [squeezed(part) for part in parts]
+    return b"".join([bytes([q]), *[len(part).to_bytes(4, "little") + part for part in parts]])
 
 
 def from_filter(packing: Packing, data: bytes, block: int, block_bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    n, q, small, n_wide = np.frombuffer(data[:16], "<u4").tolist()
-    rest, data = packing.width - block_bits, memoryview(data)[16:]
-    size = (2 if small else 4) << q
-    runs, data = np.frombuffer(data[:size], "<u2" if small else "<u4"), data[size:]
-    low, data = _wide(data, n, rest - q)
-    low |= np.repeat(np.arange(1 << q, dtype=np.uint64), runs) << np.uint64(rest - q) if q else np.uint64(0)
-    lanes = [low | np.uint64(block << rest)]
-    for _ in range(packing.lanes - 1):
-        lane, data = _wide(data, n, packing.width)
-        lanes.append(lane)
-    counts = np.frombuffer(data[:n], np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data[n : n + 8 * n_wide], "<i8")
-    return lanes, counts
+    q, rest, at, parts = data[0], packing.width - block_bits, 1, []
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        parts.append(stretched(data[at + 4 : end]))
+        at = end
+    runs, low, *lanes, counts, wide = parts
+    low = low.astype(np.uint64) | np.repeat(np.arange(1 << q, dtype=np.uint64), runs) << np.uint64(rest - q) if q else low.astype(np.uint64)
+    counts[counts == 255] = wide
+    return [low | np.uint64(block << rest), *[lane.astype(np.uint64) for lane in lanes]], counts
 
 
 def block_bits(packing: Packing, bits: int) -> int:
@@ -237,31 +226,83 @@ class _Shard:
         self.parts.append(np.zeros(1, np.int32))
         self.size += len(data)
 
-    def row(self, number: int, lang: str) -> pa.RecordBatch:
+    def rows(self, number: int, lang: str, blocks: int) -> Iterator[pa.RecordBatch]:
+        """One row of the text's words, and one of distinct words per block of checksums."""
         seq = np.concatenate(self.parts)
         counts = np.bincount(seq, minlength=len(self.ids))
-        columns = [
-            pa.array([number], pa.int64()),
-            pa.array([lang], pa.string()),
-            pa.array([seq.astype("<i4").tobytes()], pa.binary()),
-            pa.array([[w.decode() for w in list(self.ids)[1:]]], pa.list_(pa.string())),
-            pa.array([counts[1:]], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "seq", "words", "counts"])
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers = count(TaskContext.get().partitionId() << 32)
-    open_: dict[str, _Shard] = defaultdict(_Shard)
-    for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            name = lang.as_py()
-            open_[name].add(text.as_py())
-            if open_[name].size >= SHARD_BYTES or sum(s.size for s in open_.values()) >= 2 * SHARD_BYTES:
-                largest = max(open_, key=lambda k: open_[k].size)
-                yield open_.pop(largest).row(next(numbers), largest)
-    for name, shard in open_.items():
-        yield shard.row(next(numbers), name)
+        words = list(self.ids)[1:]
+        yield _batch(_SHARD_TYPES, [(number, lang, int(counts[1:].sum()), squeezed(seq), None, None, None, None)])
+        block = np.fromiter((crc32(w) % blocks for w in words), np.int64, len(words))
+        order = np.argsort(block, kind="stable")
+        rows = []
+        for part in np.split(order, heads([block[order]])[1:]) if len(order) else []:
+            own = [words[i].decode() for i in part]
+            rows.append((number, lang, None, None, int(block[part[0]]), own, squeezed(part + 1), squeezed(counts[part + 1])))
+        yield _batch(_SHARD_TYPES, rows)
+
+
+_SHARD_TYPES = {
+    "shard": pa.int64(), "lang": pa.string(), "n": pa.int64(), "seq": pa.binary(),
+    "block": pa.int32(), "words": pa.list_(pa.string()), "pos": pa.binary(), "counts": pa.binary(),
+}
+_WORD_TYPES = {
+    "shard": pa.int64(), "pos": pa.binary(), "num": pa.binary(),
+    "lang": pa.string(), "word": pa.string(), "a": pa.int64(), "rank": pa.int64(), "block": pa.int32(),
+}
+
+
+def _batch(types: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+
+def _shards(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = count(TaskContext.get().partitionId() << 32)
+        open_: dict[str, _Shard] = defaultdict(_Shard)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                name = lang.as_py()
+                open_[name].add(text.as_py())
+                if open_[name].size >= SHARD_BYTES or sum(s.size for s in open_.values()) >= 2 * SHARD_BYTES:
+                    largest = max(open_, key=lambda k: open_[k].size)
+                    yield from open_.pop(largest).rows(next(numbers), largest, blocks)
+        for name, shard in open_.items():
+            yield from shard.rows(next(numbers), name, blocks)
+
+    return run
+
+
+def _merge_words(min_count: int):
+    """Sum one block's words over all shards: frequent ones with their rank, and each shard's share."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block, out, rank = rows.column("block")[0].as_py(), [], 0
+        by_lang = defaultdict(list)
+        for i, lang in enumerate(rows.column("lang").to_pylist()):
+            by_lang[lang].append(i)
+        shards, pos, counts = (rows.column(c).to_pylist() for c in ("shard", "pos", "counts"))
+        for lang, own in by_lang.items():
+            words = rows.column("words").take(pa.array(own)).combine_chunks().flatten().dictionary_encode()
+            places = [stretched(counts[i]) for i in own]
+            number = words.indices.to_numpy()
+            sums = np.zeros(len(words.dictionary), np.int64)
+            np.add.at(sums, number, np.concatenate(places))
+            frequent = np.flatnonzero(sums >= min_count)
+            ranks = np.full(len(sums), -1, np.int64)
+            ranks[frequent] = np.arange(rank, rank + len(frequent))
+            rank += len(frequent)
+            at = 0
+            for i, counted in zip(own, places):
+                num = ranks[number[at : at + len(counted)]]
+                at += len(counted)
+                if (num >= 0).any():
+                    out.append((shards[i], squeezed(stretched(pos[i])[num >= 0]), squeezed(num[num >= 0]), None, None, None, None, block))
+            for word, a, r in zip(words.dictionary.take(pa.array(frequent)).to_pylist(), sums[frequent].tolist(), ranks[frequent].tolist()):
+                out.append((None, None, None, lang, word, a, r, block))
+        return pa.Table.from_batches([_batch(_WORD_TYPES, out)])
+
+    return run
 
 
 def _no_runs(seq: np.ndarray) -> np.ndarray:
@@ -271,10 +312,6 @@ def _no_runs(seq: np.ndarray) -> np.ndarray:
     return seq[keep]
 
 
-def _kind(bits: int) -> str:
-    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
-
-
 def _filters(shard: int, seq: np.ndarray, at: np.ndarray, m: int, bits: int, blocks: int, keep: bool) -> pa.Table:
     """Filters of the n-grams that begin at the places ``at``, one per block, and the shard's words."""
     packing = Packing(m, bits)
@@ -287,7 +324,7 @@ def _filters(shard: int, seq: np.ndarray, at: np.ndarray, m: int, bits: int, blo
         (shard, None, int(block[a]), to_filter(packing, [lane[a:b] for lane in lanes], counts[a:b], own)) for a, b in zip(first, ends[1:])
     ]
     if keep:
-        rows.append((shard, seq.astype(_kind(bits)).tobytes(), None, None))
+        rows.append((shard, squeezed(seq), None, None))
     columns = list(zip(*rows)) if rows else [()] * 4
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     return pa.table({k: pa.array(c, t) for k, c, t in zip(("shard", "seq", "block", "filter"), columns, kinds)})
@@ -307,10 +344,10 @@ def _encode(bits: int, blocks: int, keep: bool):
 
     def run(shards: pa.Table, words: pa.Table) -> pa.Table:
         # One row per shard; without any frequent word there is nothing to count.
-        local = np.frombuffer(shards.column("seq")[0].as_py(), "<i4")
+        local = stretched(shards.column("seq")[0].as_py())
         ids = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-        if words.num_rows:
-            ids[words.column("pos").to_numpy()] = words.column("id").to_numpy()
+        for pos, num, first in zip(*(words.column(c).to_pylist() for c in ("pos", "num", "first"))):
+            ids[stretched(pos)] = stretched(num) + first
         seq = _no_runs(ids[local])
         return _filters(shards.column("shard")[0].as_py(), seq, _whole(seq, 2), 2, bits, blocks, keep)
 
@@ -329,7 +366,7 @@ def _lengthen(m: int, bits: int, blocks: int, keep: bool):
     def run(shards: pa.Table, frequent: pa.Table) -> pa.Table:
         if not shards.num_rows or not frequent.num_rows:
             return _filters(0, np.empty(0, np.int64), np.empty(0, np.int64), m, bits, blocks, False)
-        seq = np.frombuffer(shards.column("seq")[0].as_py(), _kind(bits)).astype(np.int64)
+        seq = stretched(shards.column("seq")[0].as_py())
         packing, at = Packing(m - 1, bits), _whole(seq, m - 1)
         alive = np.zeros(len(seq) + 1, np.bool_)
         alive[at] = members(packing, packing.pack([seq[at + i] for i in range(m - 1)]), _known(packing, frequent, blocks))
@@ -342,7 +379,7 @@ def _lengthen(m: int, bits: int, blocks: int, keep: bool):
         left = np.where(inside[: len(seq)], seq, 0)
         table = _filters(shards.column("shard")[0].as_py(), seq, np.flatnonzero(begins), m, bits, blocks, False)
         if keep:
-            row = {"shard": shards.column("shard")[:1], "seq": pa.array([_no_runs(left).astype(_kind(bits)).tobytes()], pa.binary())}
+            row = {"shard": shards.column("shard")[:1], "seq": pa.array([squeezed(_no_runs(left))], pa.binary())}
             more = pa.table({**row, "block": pa.array([None], pa.int64()), "filter": pa.array([None], pa.binary())})
             table = pa.concat_tables([table, more.cast(table.schema)])
         return table
@@ -386,13 +423,15 @@ def phrase_counts(
     """
     spark = df.sparkSession
     texts = df.select(F.coalesce(col(lang_col), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    shards = pin(texts.mapInArrow(_shards, _SHARDS), "word-shards")
-    local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
-    local = local.select("shard", "lang", (F.col("pos") + 1).alias("pos"), F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
-    totals = pin(local.groupBy("lang").agg(F.sum("c").alias("n")), "word-totals")
-    words = local.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= min_count)
-    words = prefix_sums(words.withColumn("one", F.lit(1).cast("long")), ["lang", "word"], {"id": "one"}).drop("one")
-    words = pin(words.withColumn("id", F.col("id") + 1), "frequent-words")
+    pieces = pin(texts.mapInArrow(_shards(partitions(spark)), _SHARDS), "word-shards")
+    totals = pin(pieces.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
+    lexicon = pieces.where("block is not null").select("shard", "lang", "block", "words", "pos", "counts")
+    merged = pin(lexicon.groupBy("block").applyInArrow(_merge_words(min_count), _WORDS), "merged-1")
+    words = merged.where("word is not null").select("lang", "word", "a", "rank", "block")
+    sizes = words.groupBy("block").agg(F.count("*").alias("size"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    firsts = F.broadcast(pin(sizes.select("block", (F.coalesce(F.sum("size").over(before), F.lit(0)) + 1).alias("first")), "word-blocks"))
+    words = pin(words.join(firsts, "block").select("lang", "word", "a", (F.col("first") + F.col("rank")).alias("id")), "frequent-words")
     known, all_words = words.count(), totals.agg(F.sum("n")).first()[0] or 0
     phrases = spark.createDataFrame([], "ids array<long>, a long")
     if not known:
@@ -400,8 +439,8 @@ def phrase_counts(
     bits = int(known).bit_length()
     blocks = (max(partitions(spark), all_words // BLOCK_WORDS) - 1).bit_length()
 
-    places = local.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "pos", "id")
-    level = shards.select("shard", "seq").groupBy("shard").cogroup(places.groupBy("of"))
+    places = merged.where("shard is not null").join(firsts, "block").select(F.col("shard").alias("of"), "pos", "num", "first")
+    level = pieces.where("seq is not null").select("shard", "seq").groupBy("shard").cogroup(places.groupBy("of"))
     level = pin(level.applyInArrow(_encode(bits, blocks, max_words > 2), _LEVEL), "phrases-2")
     for m in range(2, max_words + 1):
         counted = level.where("block is not null").select("shard", "block", "filter").groupBy("block")
