@@ -39,8 +39,6 @@ def validate(rows: DataFrame) -> DataFrame:
     no_contact = F.col("contact_number").isNull() & F.col("email").isNull()
     wide = too_wide(_LIMITED)
     rules = []
-    if "too_long" in rows.columns:
-        rules.append((F.col("too_long"), F.lit("Field larger than the field limit")))
     if "short" in rows.columns:
         rules.append((F.col("short"), F.lit("Row is shorter than the header")))
     rules += [
@@ -50,7 +48,7 @@ def validate(rows: DataFrame) -> DataFrame:
     ]
     failed = F.coalesce(*[F.when(broken, message) for broken, message in rules])
     error = F.concat(F.lit("Row "), F.col("row_num").cast("string"), F.lit(": "), failed)
-    return rows.withColumns(cleaned).withColumn("error", error).drop("short", "too_long")
+    return rows.withColumns(cleaned).withColumn("error", error).drop("short")
 
 
 def stage(checked: DataFrame) -> DataFrame:

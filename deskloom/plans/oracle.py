@@ -108,7 +108,10 @@ _CSV_ROWS = (
     "when o_orderkey % 13 = 0 then '' else 'Ann' end as assigned_to, "
     "case when o_orderkey % 29 = 0 then null when o_orderkey % 31 = 0 then 'weird' "
     "when o_orderkey % 13 = 0 then 'Complete' when o_orderkey % 11 = 0 then '' else 'ongoing' end as status, "
-    "o_orderkey % 29 = 0 as cut from orders join customer on o_custkey = c_custkey where c_nationkey <> 24)"
+    "o_orderkey % 29 = 0 as cut from orders join customer on o_custkey = c_custkey where c_nationkey <> 24 "
+    "union all select concat('batch-', cast(n_nationkey as string), '.csv'), "
+    "2 + (select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey), "
+    "'Last', '0917', '', 'Printer', concat('open', chr(10), 'and on'), null, null, true from nation where n_nationkey <> 24)"
 )
 
 _EDIT_FIELDS = (

@@ -1,8 +1,12 @@
 """Uploaded ticket CSV files, read line by line so that one large file is many tasks.
 
-A quoted cell may span lines, so whether a line starts a record depends on the lines before it.
-Each line maps "quote open before" to "quote open after". These maps are combined inside a scan
-block first, then over the blocks of a file, which are few: one row per scan split.
+A quoted cell may span lines, so whether a line starts a record, and which cell it begins in, depend
+on the lines before it. Both are worked out inside a scan block for either state at its start, the
+lines are staged with them, and a few numbers per block are then carried over the blocks of a file.
+
+A record on one line is cut where it is. Of cells over several lines only a summary is merged first
+(length, first and last character that is not blank); then no more text is put together than the
+column can hold, so records and cells may be of any length.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deskloom import schema as S
+from deskloom.functions.text import SPACES
+from deskloom.session import pin
 
 # Cells: quoted (doubled quotes inside, stray text behind), plain, or empty.
 _CLOSED_CELL = r'(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+|)'
@@ -18,32 +24,42 @@ _CLOSED_LINE = f"^{_CLOSED_CELL}(?:,{_CLOSED_CELL})*+$"
 _CELLS = r',("(?:[^"]|"")*+(?:"[^,]*+)?|[^,]*+)'
 _QUOTED = r'(?s)^"((?:[^"]|"")*+)(?:"(.*))?$'
 
-# Records above this length are reported as too long without being put together.
-RECORD_LIMIT = 16_777_216
+#: A cell over several lines comes as it is up to this length, a longer one without the blanks at
+#: its ends.
+AS_IT_IS = 4096
+#: Lines of a block; the few numbers of a file's blocks meet in one task.
+BLOCK_LINES = 65_536
 
 _BLOCK = ("file", "block")
+_RECORD = ("file", "row_num")
+_CELL = (*_RECORD, "column")
 
 
 def upload_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as (file, block, pos, value): block is the scan split, pos the order inside it."""
+    """Lines as (file, block, pos, value): pos is the order inside a block.
+
+    A block is a run of lines of one scan split, so that a file that cannot be split is many blocks.
+    """
+    line = F.monotonically_increasing_id()
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("start"),
+            F.floor(line % (1 << 33) / BLOCK_LINES).alias("part"),
+        ).alias("block"),
+        line.alias("pos"),
         "value",
     )
 
 
 def _cells(record: Column) -> Column:
     """The cells of a record, quotes resolved."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELLS), F.lit(1))
-
     def resolve(cell: Column) -> Column:
         body = F.replace(F.regexp_extract(cell, _QUOTED, 1), F.lit('""'), F.lit('"'))
         stray = F.regexp_extract(cell, _QUOTED, 2)
         return F.when(cell.startswith('"'), F.concat(body, stray)).otherwise(cell)
 
-    return F.transform(raw, resolve)
+    return F.transform(_raw_cells(record), resolve)
 
 
 def _earlier(partition: tuple[str, ...], order: str):
@@ -72,42 +88,83 @@ def _state(start: Column) -> Column:
     return F.coalesce(F.col("fixed"), start != F.col("odd"))
 
 
-def _length() -> Column:
-    return F.length("value").cast("bigint") + 1
+def _raw_cells(text: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(_CELLS), F.lit(1))
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Per block: the state at its start, the records started earlier, the length of the record
-    that runs through whole blocks up to here, and where the file's header has the upload columns."""
-    text = F.col("value") != ""
+def _line_maps(lines: DataFrame) -> DataFrame:
+    """Per line and state before it: the state behind it, and how many cells end inside it.
+
+    Patterns run on lines with a quote only.
+    """
+    value = F.col("value")
+    quoted, inner = F.contains(value, F.lit('"')), F.concat(F.lit('"'), value)
+    commas = F.octet_length(value) - F.octet_length(F.replace(value, F.lit(","), F.lit("")))
+    return lines.withColumns(
+        {
+            "if_closed": quoted & ~value.rlike(_CLOSED_LINE),
+            "if_open": ~quoted | ~inner.rlike(_CLOSED_LINE),
+            "ends_closed": F.when(quoted, F.size(_raw_cells(value)) - 1).otherwise(commas).cast("bigint"),
+            "ends_open": F.when(quoted, F.size(_raw_cells(inner)) - 1).otherwise(0).cast("bigint"),
+        }
+    )
 
-    def outcome(start: bool) -> Column:
-        return F.when(_state(F.lit(start)), F.col("if_open")).otherwise(F.col("if_closed"))
 
-    def starts(start: bool) -> Column:
-        return F.count_if(~_state(F.lit(start)) & text)
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with their place for either state at their block's start, as structs ``closed``, ``open``.
 
-    blocks = lines.groupBy(*_BLOCK).agg(
-        F.max_by(outcome(False), "pos").alias("if_closed"),
-        F.max_by(outcome(True), "pos").alias("if_open"),
-        starts(False).alias("starts_closed"),
-        starts(True).alias("starts_open"),
-        F.sum(_length()).alias("length"),
-        F.min_by("value", F.when(text, F.col("pos"))).alias("first"),
+    ``begun`` counts the records begun in the block up to the line, ``inside`` tells whether the
+    line continues one, ``passed`` counts the cells that its record has ended before the line, since
+    the block's start if the record is an earlier block's (``begun`` is 0).
+    """
+    upto = _earlier(_BLOCK, "pos").rowsBetween(Window.unboundedPreceding, 0)
+    df = _with_state(_line_maps(lines), _BLOCK, "pos")
+    for name, start in (("closed", False), ("open", True)):
+        inside = _state(F.lit(start))
+        begins = ~inside & (F.col("value") != "")
+        ends = F.when(inside, F.col("ends_open")).otherwise(F.col("ends_closed"))
+        before = F.coalesce(F.sum(ends).over(_earlier(_BLOCK, "pos")), F.lit(0))
+        df = df.withColumns({"inside": inside, "begins": begins, "before": before})
+        at_start = F.last(F.when(F.col("begins"), F.col("before")), ignorenulls=True).over(upto)
+        place = F.struct(
+            "inside",
+            F.sum(F.col("begins").cast("bigint")).over(upto).alias("begun"),
+            (F.col("before") - F.coalesce(at_start, F.lit(0))).alias("passed"),
+            F.when(F.col("inside"), F.col("if_open")).otherwise(F.col("if_closed")).alias("leaves"),
+            ends.alias("ends"),
+        )
+        df = df.withColumn(name, place).drop("inside", "begins", "before")
+    return df.select(*_BLOCK, "pos", "value", "closed", "open")
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Per block: the state at its start, the records begun and the cells ended earlier by the
+    record that runs into it, and where the file's header has the upload columns."""
+
+    def last(field: str, start: str) -> Column:
+        return F.max_by(f"{start}.{field}", "pos")
+
+    def passed(start: str) -> Column:
+        return F.max_by(F.col(f"{start}.passed") + F.col(f"{start}.ends"), "pos")
+
+    blocks = placed.groupBy(*_BLOCK).agg(
+        last("leaves", "closed").alias("if_closed"),
+        last("leaves", "open").alias("if_open"),
+        F.struct(last("begun", "closed").alias("begun"), passed("closed").alias("passed")).alias("closed"),
+        F.struct(last("begun", "open").alias("begun"), passed("open").alias("passed")).alias("opened"),
+        F.min_by("value", F.when(F.col("value") != "", F.col("pos"))).alias("first"),
     )
     before = _earlier(("file",), "block")
     whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    opened = _with_state(blocks, ("file",), "block").withColumn("open", _state(F.lit(False)))
-    begun = F.when(F.col("open"), F.col("starts_open")).otherwise(F.col("starts_closed"))
-    summed = opened.withColumn("begun", begun).withColumn(
-        "upto", F.sum("length").over(before.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    latest = F.last(F.when(F.col("begun") > 0, F.col("upto")), ignorenulls=True).over(before)
+    known = _with_state(blocks, ("file",), "block").withColumn("open", _state(F.lit(False)))
+    known = known.withColumn("own", F.when(F.col("open"), F.col("opened")).otherwise(F.col("closed")))
+    summed = known.withColumn("upto", F.sum("own.passed").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.last(F.when(F.col("own.begun") > 0, F.col("upto") - F.col("own.passed")), ignorenulls=True).over(before)
     blocks = summed.select(
         *_BLOCK,
-        "open",
-        F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("begun_before"),
-        (F.col("upto") - F.col("length") - F.coalesce(latest, F.lit(0))).alias("run_before"),
+        F.col("open").alias("runs_in"),
+        F.coalesce(F.sum("own.begun").over(before), F.lit(0)).alias("begun_before"),
+        (F.col("upto") - F.col("own.passed") - F.coalesce(since, F.lit(0))).alias("passed_before"),
         F.first("first", ignorenulls=True).over(whole).alias("header"),
     )
     # Per block, so that rows need not look at the header again.
@@ -115,43 +172,97 @@ def _blocks(lines: DataFrame) -> DataFrame:
     return named.withColumn("slots", _slots(F.col("names"))).drop("names")
 
 
-def _mapped(lines: DataFrame) -> DataFrame:
-    value = F.col("value")
-    maps = {
-        "if_closed": ~value.rlike(_CLOSED_LINE),
-        "if_open": ~F.concat(F.lit('"'), value).rlike(_CLOSED_LINE),
-    }
-    return _with_state(lines.withColumns(maps), _BLOCK, "pos")
+def _data_lines(lines: DataFrame) -> DataFrame:
+    """Lines of data rows: file, row_num, block, pos, the pieces of cells they hold (``pieces``), the
+    number of the first piece's cell from 0 (``passed``), whether that continues an earlier line's
+    cell (``inside``) and whether the record goes on (``goes_on``).
 
+    Row number 1 is the header. Blank lines between records do not count.
+    """
+    placed = pin(_placed(lines), "upload-lines")
+    joined = placed.join(pin(_blocks(placed), "upload-blocks"), list(_BLOCK))
+    own = F.when(F.col("runs_in"), F.col("open")).otherwise(F.col("closed"))
+    known = joined.withColumn("own", own).where(F.col("own.inside") | (F.col("value") != ""))
+    earlier = F.when(F.col("own.begun") == 0, F.col("passed_before")).otherwise(0)
+    rows = known.withColumn("row_num", F.col("begun_before") + F.col("own.begun"))
+    rows = rows.where((F.col("row_num") > 1) & F.col("slots").isNotNull())
+    text = F.when(F.col("own.inside"), F.concat(F.lit('"'), F.col("value"))).otherwise(F.col("value"))
+    pieces = F.when(F.contains(text, F.lit('"')), _cells(text)).otherwise(F.split("value", ",", -1))
+    return rows.select(
+        *_RECORD, "block", "pos", "slots",
+        pieces.alias("pieces"),
+        (F.col("own.passed") + earlier).alias("passed"),
+        F.col("own.inside").alias("inside"),
+        F.col("own.leaves").alias("goes_on"),
+    )
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Records as (file, row_num, slots, record); row number 1 is the header.
 
-    Blank lines between records do not count. A record over the limit has no text: its lines are
-    dropped before they meet in one task.
+def _piece(i: int) -> Column:
+    """What a line holds of the i-th upload column, NULL if nothing."""
+    at = F.get("slots", F.lit(i)) - 1 - F.col("passed")
+    return F.when(at >= 0, F.get("pieces", at.cast("int")))
+
+
+def _long_cells(lines: DataFrame) -> DataFrame:
+    """file, row_num and the upload columns of records over several lines.
+
+    Pieces are measured per block first, then per record over its blocks, so a record of any length
+    is never one task's. Text is put together up to ``AS_IT_IS`` characters; of longer cells only
+    what lies between the blanks at their ends, and no more than one character beyond the width.
     """
-    mapped = _mapped(lines)
-    joined = mapped.join(_blocks(mapped), list(_BLOCK)).withColumn("inside", _state(F.col("open")))
-    upto = _earlier(_BLOCK, "pos").rowsBetween(Window.unboundedPreceding, 0)
-    begins = ~F.col("inside") & (F.col("value") != "")
-    begun = F.sum(begins.cast("bigint")).over(upto)
-    placed = joined.withColumns(
-        {
-            "size": _length(),
-            "begun": begun,
-            "row_num": F.col("begun_before") + begun,
-            "read": F.sum(_length()).over(upto),
-        }
+    columns = F.array(
+        *[
+            F.struct(F.lit(i).alias("column"), F.lit(_width(c)).alias("width"), _piece(i).alias("piece"), F.get("slots", F.lit(i)).alias("slot"))
+            for i, c in enumerate(S.UPLOAD_COLUMNS)
+        ]
+    )
+    held = lines.select(*_RECORD, "block", "pos", "inside", "passed", F.explode(columns).alias("c")).where("c.piece is not null")
+    continued = F.col("inside") & (F.col("c.slot") - 1 == F.col("passed"))
+    text = F.concat(F.when(continued, F.lit("\n")).otherwise(F.lit("")), F.col("c.piece"))
+    held = held.select(*_RECORD, F.col("c.column").alias("column"), F.col("c.width").alias("width"), "block", "pos", text.alias("text"))
+    in_block = _earlier((*_CELL, "block"), "pos")
+    held = held.withColumn("size", F.length("text").cast("bigint"))
+    held = pin(held.withColumn("at", F.coalesce(F.sum("size").over(in_block), F.lit(0))), "cell-pieces")
+
+    blanks = F.lit(SPACES)
+    leading = F.col("size") - F.length(F.ltrim(F.col("text"), blanks))
+    trailing = F.col("size") - F.length(F.rtrim(F.col("text"), blanks))
+    some = leading < F.col("size")
+    parts = held.groupBy(*_CELL, "width", "block").agg(
+        F.sum("size").alias("size"),
+        F.min(F.when(some, F.col("at") + leading)).alias("low"),
+        F.max(F.when(some, F.col("at") + F.col("size") - trailing)).alias("high"),
     )
-    at_start = F.last(F.when(begins, F.col("read") - F.col("size")), ignorenulls=True).over(upto)
-    run = F.col("read") - F.coalesce(at_start, -F.col("run_before"))
-    kept = placed.withColumn("fits", run <= RECORD_LIMIT).where(F.col("inside") | (F.col("value") != ""))
-    part = F.when(F.col("fits"), F.struct("block", "pos", "value"))
-    whole = F.min("fits") & (F.sum("size") <= RECORD_LIMIT)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["value"]), "\n")
-    return kept.groupBy("file", "row_num").agg(
-        F.any_value("slots").alias("slots"), F.when(whole, text).alias("record")
+    blocks = _earlier(_CELL, "block")
+    whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumn("begin", F.coalesce(F.sum("size").over(blocks), F.lit(0)))
+    low = F.min(F.col("begin") + F.col("low")).over(whole)
+    high = F.max(F.col("begin") + F.col("high")).over(whole)
+    short = F.sum("size").over(whole) <= AS_IT_IS
+    cut = F.least(high, low + F.col("width") + 1)
+    parts = parts.select(
+        *_CELL, "block", "begin",
+        F.when(short, 0).otherwise(F.coalesce(low, F.lit(0))).alias("from"),
+        F.when(short, AS_IT_IS).otherwise(F.coalesce(cut, F.lit(0))).alias("to"),
     )
+    wanted = held.join(parts, [*_CELL, "block"]).withColumn("at", F.col("begin") + F.col("at"))
+    first = F.greatest(F.col("from") - F.col("at"), F.lit(0))
+    taken = F.least(F.col("size"), F.col("to") - F.col("at")) - first
+    # A cell keeps a row even if it is blank.
+    wanted = wanted.where((taken > 0) | (F.col("at") == 0)).select(
+        *_RECORD, "column", "block", "pos", F.substring("text", (first + 1).cast("int"), F.greatest(taken, F.lit(0)).cast("int")).alias("text")
+    )
+    cells = wanted.groupBy(*_CELL).agg(F.array_sort(F.collect_list(F.struct("block", "pos", "text"))).alias("parts"))
+    cells = cells.withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), ""))
+    return cells.groupBy(*_RECORD).agg(
+        *[F.max(F.when(F.col("column") == i, F.col("text"))).alias(c) for i, c in enumerate(S.UPLOAD_COLUMNS)]
+    )
+
+
+def _width(column: str) -> int:
+    """The width an upload column is held to; a status is only compared with a few words."""
+    stored = {"reported_concern": "concern", "assigned_to": "assigned_it"}
+    return S.WIDTHS[stored.get(column, column)]
 
 
 def header_names(header: Column) -> Column:
@@ -177,24 +288,26 @@ def _slots(names: Column) -> Column:
 
 
 def parse_uploads(lines: DataFrame) -> DataFrame:
-    """Rows of accepted files as (file, row_num, upload columns, short, too_long).
+    """Rows of accepted files as (file, row_num, upload columns, short).
 
-    ``short`` rows end before one of the upload columns; cells beyond the header are ignored.
+    ``short`` rows end before one of the upload columns; cells beyond the header are ignored. Cells
+    come as they are, but for those over several lines that are longer than ``AS_IT_IS``: they lose
+    the blanks at their ends, and what is over the column's width by more than one character. A
+    quote that never closes makes the rest of its file one cell.
     """
-    records = _records(lines).where((F.col("row_num") > 1) & F.col("slots").isNotNull())
-    parsed = records.withColumn("cells", _cells(F.col("record")))
-    short = F.exists("slots", lambda slot: slot > F.size("cells"))
-    too_long = F.col("record").isNull()
-    return parsed.select(
-        "file",
-        F.col("row_num").cast("bigint").alias("row_num"),
-        *[
-            F.get("cells", F.get("slots", F.lit(i)) - 1).alias(name)
-            for i, name in enumerate(S.UPLOAD_COLUMNS)
-        ],
-        F.coalesce(short, F.lit(False)).alias("short"),
-        F.coalesce(too_long, F.lit(False)).alias("too_long"),
-    )
+    held = _data_lines(lines)
+    single = held.where(~F.col("inside") & ~F.col("goes_on"))
+    several = pin(held.where(F.col("inside") | F.col("goes_on")), "upload-long-rows")
+    short = F.exists("slots", lambda slot: slot > F.col("cells"))
+    ends = several.groupBy(*_RECORD).agg(F.max(F.col("passed") + F.size("pieces")).alias("cells"), F.any_value("slots").alias("slots"))
+    long = ends.join(_long_cells(several), list(_RECORD), "left")
+
+    def rows(df: DataFrame, cell) -> DataFrame:
+        cells = [cell(i, name).alias(name) for i, name in enumerate(S.UPLOAD_COLUMNS)]
+        return df.select("file", F.col("row_num").cast("bigint").alias("row_num"), *cells, F.coalesce(short, F.lit(False)).alias("short"))
+
+    on_one_line = rows(single.withColumn("cells", F.size("pieces")), lambda i, name: _piece(i))
+    return on_one_line.unionByName(rows(long, lambda i, name: F.col(name)))
 
 
 def refused_uploads(lines: DataFrame) -> DataFrame:

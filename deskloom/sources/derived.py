@@ -136,8 +136,8 @@ WORKBOOK = {
 }
 
 # Text of uploaded files, one file per nation and one record per order. Some records span two
-# lines, some are short, some have an extra cell, some a quote inside plain text, some a blank
-# line behind them.
+# lines, some are short, some have an extra cell, one of them of twenty thousand characters over a
+# hundred lines, some a quote inside plain text, some a blank line behind them.
 UPLOAD_TEXT = {
     "file": "concat('batch-', cast(c_nationkey as string), '.csv')",
     "k": _K,
@@ -148,6 +148,8 @@ UPLOAD_TEXT = {
         "when $k % 13 = 0 then concat(c_name, ' 5\" screen,0917,,', o_orderpriority, ',Issue ', "
         "cast($k as string), ',,Complete,extra') "
         "when $k % 11 = 0 then concat(c_name, ',,,', o_orderpriority, ',Issue ', cast($k as string), ',Ann,', chr(10)) "
+        "when $k % 101 = 0 then concat(c_name, ',0917,,', o_orderpriority, ',Issue ', cast($k as string), "
+        "',Ann,ongoing,\"', repeat(concat(rpad('note, ', 200, '.'), chr(10)), 100), '\"') "
         "else concat(c_name, ',0917,,', o_orderpriority, ',Issue ', cast($k as string), ',Ann,ongoing') end"
     ),
 }
@@ -262,16 +264,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def upload_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of ``upload_text`` as numbered lines, with a header line per file.
 
-    Block borders fall inside two-line records too. The last nation's header lacks columns.
+    Block borders fall inside records too. Each file ends in a record whose quote is not closed.
+    The last nation's header lacks columns.
     """
     text = view(spark, sf_dir, "upload_text")
     lines = text.select("file", "k", F.posexplode(F.split("text", "\n")).alias("i", "value"))
-    pos = F.col("k") * 2 + F.col("i")
-    body = lines.select("file", F.floor(pos / 63).alias("block"), pos.alias("pos"), "value")
-    header = _table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("batch-"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("file"),
+    block = F.floor((F.col("k") * 4 + F.least("i", F.lit(3))) / 63)
+    body = lines.select("file", block.alias("block"), (F.col("k") * 1000 + F.col("i")).alias("pos"), "value")
+    file = F.concat(F.lit("batch-"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("file")
+    nations = _table(spark, sf_dir, "nation")
+    header = nations.select(
+        file,
         F.lit(-1).cast("bigint").alias("block"),
         F.lit(-1).cast("bigint").alias("pos"),
         F.when(F.col("n_nationkey") == 24, "store_name,email").otherwise(",".join(UPLOAD_COLUMNS)).alias("value"),
     )
-    return header.unionByName(body)
+    endless = F.array(F.lit('Last,0917,,Printer,"open'), F.lit("and on"))
+    tail = nations.select(file, F.posexplode(endless).alias("i", "value"))
+    last = F.lit(1 << 60).cast("bigint")
+    return header.unionByName(body).unionByName(tail.select("file", last.alias("block"), (last + F.col("i")).alias("pos"), "value"))

@@ -1,6 +1,7 @@
 """CSV uploads: record boundaries, cells and validation."""
 
 import csv
+import gzip
 import io
 import random
 
@@ -112,21 +113,76 @@ def test_records_equal_pythons_reader(spark, block_size):
             assert row["short"] == any(want[c] is None for c in UPLOAD_COLUMNS)
 
 
-def test_endless_quote_is_one_long_record(spark, monkeypatch):
-    monkeypatch.setattr(U, "RECORD_LIMIT", 50)
-    body = "\n".join(f"line {i}" for i in range(100))
+def errors_of(spark, text, block_size):
+    rows = I.validate(U.parse_uploads(as_lines(spark, {"f": text}, block_size))).orderBy("row_num").collect()
+    return [(r["row_num"], r["error"]) for r in rows]
+
+
+@pytest.mark.parametrize("block_size", [1, 7, 1000])
+def test_endless_quote_rejects_its_row(spark, monkeypatch, block_size):
+    monkeypatch.setattr(U, "AS_IT_IS", 50)
+    body = "\n".join(f"line, {i}" for i in range(100))
     text = f'{HEADER}\nA,1,,s,c,,\nB,1,,s,"open,\n{body}'
-    for block_size in (1, 7, 1000):
-        rows = U.parse_uploads(as_lines(spark, {"f": text}, block_size)).orderBy("row_num").collect()
-        assert [(r["row_num"], r["store_name"], r["too_long"]) for r in rows] == [(2, "A", False), (3, None, True)]
-        errors = [r["error"] for r in I.validate(spark.createDataFrame(rows, "file string, row_num bigint, store_name string, contact_number string, email string, subject string, reported_concern string, assigned_to string, status string, short boolean, too_long boolean")).collect()]
-        assert errors == [None, "Row 3: Field larger than the field limit"]
+    assert errors_of(spark, text, block_size) == [(2, None), (3, "Row 3: Row is shorter than the header")]
+    # In the last column, a long text is no known status; before it, it is over the width.
+    assert errors_of(spark, f'{HEADER}\nB,1,,s,c,,"pending\n{body}', block_size) == [(2, None)]
+    wide = f'reported_concern,subject,store_name,assigned_to,contact_number,email,status\nc,s,t,"\n{body}",1,,\nc,s,t,a,1,,'
+    assert errors_of(spark, wide, block_size) == [(2, "Row 2: Data too long for column assigned_to"), (3, None)]
+
+
+@pytest.mark.parametrize("block_size", [2, 50])
+def test_long_cells_that_fit_without_their_blanks(spark, monkeypatch, block_size):
+    monkeypatch.setattr(U, "AS_IT_IS", 20)
+    blank = "\n   \t" * 30
+    rows = [
+        ["A", "1", "", "s" + blank, blank + "two\n" + "lines" + blank, blank, blank + " Complete" + blank],
+        ["B", "1", "", "s", blank + "x" * 255 + blank, "", "y" * 30 + "\n"],
+        ["C", "1", "", "s", blank + "x" * 100 + "\n" + "x" * 155 + blank, "", ""],
+        ["D", blank, "", "s", "c", "", ""],
+        ["E\n", "1", "", "s", "c", "a\n\n b", "", "more" + blank],
+    ]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    got = I.validate(U.parse_uploads(as_lines(spark, {"f": HEADER + "\n" + out.getvalue()}, block_size)))
+    got = {r["row_num"]: r for r in got.collect()}
+    assert (got[2]["subject"], got[2]["reported_concern"], got[2]["assigned_to"], got[2]["status"]) == ("s", "two\nlines", None, "completed")
+    assert (got[3]["reported_concern"], got[3]["status"], got[3]["error"]) == ("x" * 255, "pending", None)
+    assert got[4]["error"] == "Row 4: Data too long for column reported_concern"
+    assert got[5]["error"] == "Row 5: At least one of contact_number or email is required"
+    assert (got[6]["store_name"], got[6]["assigned_to"], got[6]["error"]) == ("E", "a\n\n b", None)
+
+
+def test_records_beyond_any_old_limit(spark):
+    """20 million characters in an extra cell, on one line and over many, are no reason to refuse a row."""
+    many = "\n".join("x" * 99 for _ in range(200_000))
+    text = f'{HEADER},note\nA,1,,s,c,,,"{many}"\nB,1,,s,c,,,{"y" * 20_000_000}\nC,1,,s,c,,ongoing,'
+    rows = spark.createDataFrame(
+        [("f", i // 5000, i, line) for i, line in enumerate(text.split("\n"))], "file string, block bigint, pos bigint, value string"
+    )
+    got = [(r["row_num"], r["store_name"], r["error"]) for r in I.validate(U.parse_uploads(rows)).orderBy("row_num").collect()]
+    assert got == [(2, "A", None), (3, "B", None), (4, "C", None)]
+
+
+def test_a_file_that_cannot_be_split_is_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(U, "BLOCK_LINES", 64)
+    rows = "".join(f'Store {i},0917,,"multi\nline, {i}",c,,\n' for i in range(1000))
+    (tmp_path / "big.csv.gz").write_bytes(gzip.compress((HEADER + "\n" + rows).encode()))
+    lines = U.upload_lines(spark, str(tmp_path))
+    assert lines.select("block").distinct().count() == 32
+    got = U.parse_uploads(lines).agg(F.count("*"), F.max("row_num"), F.min("subject")).first()
+    assert tuple(got) == (1000, 1001, "multi\nline, 0")
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    write(tmp_path, "a.csv", HEADER + "\nA,1,,s,c,,\n")
+    plan = U.parse_uploads(U.upload_lines(spark, str(tmp_path)))._jdf.queryExecution().toString()
+    assert "FileScan text" not in plan
 
 
 def test_a_very_long_extra_cell_is_accepted(spark):
     text = f'{HEADER},note\nA,1,,s,c,,,{"x" * 140_000}'
     row = U.parse_uploads(as_lines(spark, {"f": text}, 1000)).first()
-    assert (row["store_name"], row["short"], row["too_long"]) == ("A", False, False)
+    assert (row["store_name"], row["short"]) == ("A", False)
 
 
 def test_large_file_is_split(spark, tmp_path):
