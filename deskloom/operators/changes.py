@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from deskloom import schema as S
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_choice, status_store, status_transition
-from deskloom.functions.text import clean, folded
+from deskloom.functions.text import clean
+from deskloom.operators.claims import refused, same_edit
 from deskloom.operators.ingest import too_wide
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type, key_column, quoted, read_field, write_column
+from deskloom.session import pin
 
 _TAKEN = "Duplicate entry for column job_order"
 
@@ -49,10 +51,11 @@ def check_edits(edits: DataFrame) -> DataFrame:
 def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     """Checked edits, refused too where the ticket table itself would refuse them.
 
-    A job order belongs to the ticket that has it before the batch, else to the ticket of the first
-    acceptable edit that asks for it, and no other ticket's edit may take it. One that is given up
-    can be taken by a later batch. Edits that leave a ticket's job order as it is are never refused
-    for it. Without a concern column, the block that holds the concern has a width as well.
+    A job order has one ticket. An edit is refused if another ticket has its job order when its turn
+    comes; one that is given up can be taken by a later edit of the batch. Edits that leave a
+    ticket's job order as it is are never refused for it. Without a concern column, the block that
+    holds the concern has a width as well. Edits are cleaned once and written; claims are decided on
+    their keys and job orders only.
     """
     checked = check_edits(edits)
     if write_column(tickets, "concern") is None:
@@ -62,15 +65,15 @@ def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataF
     job_order, key = write_column(tickets, "job_order"), key_column(tickets)
     if job_order is None:
         return checked
-    own = tickets.select(quoted(key), folded(clean(quoted(job_order))).alias("_own"), F.lit(True).alias("_known"))
-    joined = checked.join(own, key, "left").withColumn("_jo", folded(F.col("job_order")))
-    asks = F.col("error").isNull() & F.col("_known").isNotNull() & F.col("_jo").isNotNull() & ~F.col("_jo").eqNullSafe(F.col("_own"))
-    asked = first_per_key(joined.where(asks).select("_jo", key, *order), [F.col("_jo")], [F.asc(c) for c in (*order, key)])
-    held = own.where(F.col("_own").isNotNull()).groupBy("_own").agg(F.min(key).alias("_holder"))
-    owners = asked.join(held, F.col("_jo") == F.col("_own"), "left").select("_jo", F.coalesce("_holder", key).alias("_owner"))
-    judged = joined.join(owners, "_jo", "left")
-    taken = asks & (F.col("_owner") != F.col(key))
-    return judged.withColumn("error", F.when(taken, _TAKEN).otherwise(F.col("error"))).drop("_own", "_known", "_jo", "_owner")
+    checked = pin(checked, "checked-edits", split_bytes=4 << 20)
+    own = tickets.select(quoted(key).alias(key), clean(quoted(job_order)).alias("job_order"))
+    asks = checked.where(F.col("error").isNull())
+    taken = refused(asks, own, key, order, "job_order").distinct()
+    told = taken.withColumn("_taken", F.lit(True))
+    same = same_edit(checked, told, [key, *order, "job_order"])
+    judged = checked.join(told.select(*[F.col(c) for c in (key, *order, "job_order", "_taken")]), same, "left")
+    error = F.when(checked["error"].isNull() & told["_taken"], _TAKEN).otherwise(checked["error"])
+    return judged.select(*[checked[c] for c in checked.columns if c != "error"], error.alias("error"))
 
 
 def last_edits(edits: DataFrame, key: str, order: list[str]) -> DataFrame:

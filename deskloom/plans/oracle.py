@@ -124,6 +124,30 @@ _EDIT_FIELDS = (
     "assigned_to",
     "service_done",
 )
+# A fold over all edits of contested job orders in turn. The state counts the tickets that have each
+# (``h``), has the one that each ticket has (``o``, 0 if none of them) and the refused edits (``d``).
+_REPLAY = (
+    "claims as (select ticket_no, lower(job_order) as jo from own_errors where error is null and job_order is not null "
+    "union select ticket_no, lower(trim(job_order)) from tickets where trim(job_order) <> ''), "
+    "contested as (select jo, row_number() over (order by jo)::int as v "
+    "from (select jo from claims group by jo having count(distinct ticket_no) > 1)), "
+    "players as (select ticket_no, row_number() over (order by ticket_no)::int as t from tickets "
+    "where ticket_no in (select ticket_no from claims semi join contested using (jo))), "
+    "held as (select p.t, coalesce(c.v, 0) as v from players p join tickets k using (ticket_no) "
+    "left join contested c on c.jo = lower(trim(k.job_order))), "
+    "asked as (select e.ticket_no, e.seq, e.seq2, e.job_order, p.t, coalesce(c.v, 0) as v, "
+    "row_number() over (order by e.seq, e.seq2, e.ticket_no) as i "
+    "from own_errors e join players p using (ticket_no) left join contested c on c.jo = lower(e.job_order) where error is null), "
+    "replayed as (select list_reduce([{'t': 0, 'v': 0, 'h': (select list(coalesce(n, 0)::int order by v) from contested "
+    "left join (select v, count(*) as n from held group by v) using (v)), "
+    "'o': (select list(v order by t) from held), 'd': []::bigint[]}] "
+    "|| (select list({'t': t, 'v': v, 'h': null::int[], 'o': null::int[], 'd': [i]} order by i) from asked), "
+    "lambda s, e: case when s.o[e.t] = e.v then s "
+    "when e.v > 0 and s.h[e.v] > 0 then {'t': 0, 'v': 0, 'h': s.h, 'o': s.o, 'd': s.d || e.d} "
+    "else {'t': 0, 'v': 0, 'h': list_transform(s.h, lambda n, j: n + (j = e.v)::int - (j = s.o[e.t])::int), "
+    "'o': (s.o[:e.t - 1] || [e.v] || s.o[e.t + 1:]), 'd': s.d} end).d as d), "
+    "conflicts as (select ticket_no, seq, seq2, job_order from asked where i in (select unnest(d) from replayed)), "
+)
 _EDIT_CTE = (
     "clean_edits as (select ticket_no, seq, seq2, "
     + ", ".join(f"{_clean(f)} as {f}" for f in _EDIT_FIELDS)
@@ -135,12 +159,7 @@ _EDIT_CTE = (
     + "own_errors as (select *, case when wide is not null then concat('Data too long for column ', wide) "
     + "when fee_text is not null and labor_fee is null then 'Incorrect decimal value for labor_fee' end as error "
     + "from wide_edits), "
-    + "asked as (select e.*, lower(e.job_order) as jo from own_errors e join tickets t on e.ticket_no = t.ticket_no "
-    + "where error is null and lower(e.job_order) <> coalesce(lower(trim(t.job_order)), '')), "
-    + "owners as (select jo, coalesce((select min(t.ticket_no) from tickets t where lower(trim(t.job_order)) = jo), "
-    + "first(ticket_no order by seq, seq2, ticket_no)) as owner from asked group by jo), "
-    + "conflicts as (select a.ticket_no, a.seq, a.seq2, a.job_order from asked a join owners o on a.jo = o.jo "
-    + "where a.ticket_no <> o.owner), "
+    + _REPLAY
     + "checked_edits as (select e.* replace (case when c.ticket_no is not null then 'Duplicate entry for column job_order' "
     + "else error end as error) from own_errors e left join (select distinct * from conflicts) c "
     + "on e.ticket_no = c.ticket_no and e.seq = c.seq and e.seq2 = c.seq2 and e.error is null), "

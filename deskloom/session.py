@@ -28,6 +28,17 @@ def local_session(cores: str = "*", app: str = "deskloom", **conf: str) -> Spark
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it.
+
+    That suffices for local sessions and shared installs; elsewhere pass it with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
@@ -50,11 +61,13 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+def pin(df: DataFrame, name: str = "pinned", split_bytes: int | None = None) -> DataFrame:
     """Fix the rows of ``df`` as a table in the shared folder, so that all later plans see the same.
 
-    A table, unlike a checkpoint, lets later plans read single columns and know sizes.
+    A table, unlike a checkpoint, lets later plans read single columns and know sizes. Row groups of
+    ``split_bytes`` let many tasks read what few have written.
     """
     path = new_shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if split_bytes is None else df.write.option("parquet.block.size", split_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
