@@ -10,7 +10,8 @@ from deskloom.functions import tickets as K
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_store, status_store_workbook
 from deskloom.functions.text import clean, truthy
-from deskloom.operators.numbering import max_job_order, max_ticket_no, with_sequence
+from deskloom.operators.ledger import Claim, reserve
+from deskloom.operators.numbering import max_job_order, max_ticket_no, slotted, with_sequence
 from deskloom.operators.schema_ops import key_column, write_column
 from deskloom.session import pin
 
@@ -54,12 +55,21 @@ def validate(rows: DataFrame) -> DataFrame:
 def stage(checked: DataFrame) -> DataFrame:
     """Checked rows as a table in the shared folder.
 
-    Accepted rows, rejected rows, the summary and the sampling before a range partitioning all
-    start from it, so that uploads are parsed and cleaned once.
+    Accepted rows, rejected rows and the summary all start from it, so that uploads are parsed and
+    cleaned once.
     """
     return pin(checked, "staged")
 
 
+def stage_in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Uploaded rows, validated and staged in the order in which accepted ones are numbered.
+
+    Raw rows are range partitioned, so that sampling cleans nothing. Accepted rows come first in
+    their partition; their places are all the numbering needs, and no row is written again.
+    """
+    return slotted(validate(rows.repartitionByRange(*order)), [F.col("error").isNotNull(), *order])
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected ones with row number and reason."""
     accepted = checked.where(F.col("error").isNull()).drop("error")
@@ -96,13 +106,16 @@ def ingest_summary(checked: DataFrame, messages: int = 5) -> DataFrame:
 
 
 def new_tickets(
-    accepted: DataFrame, tickets: DataFrame, as_of: str, order: list[Column]
+    accepted: DataFrame, tickets: DataFrame, as_of: str, order: list[Column], claim: Claim | None = None
 ) -> DataFrame:
     """Accepted rows as rows of the ticket table, numbered in input order after the last ones.
 
-    Ticket number and job order share one numbering pass. A table without a concern column gets
-    the legacy block instead.
+    Numbers follow those of ``claim``, if the upload has reserved some, else the table's. Ticket
+    number and job order share one numbering pass. A table without a concern column gets the legacy
+    block instead.
     """
+    last_ticket = max_ticket_no(tickets).scalar() if claim is None else F.lit(claim.ticket_no)
+    last_job = max_job_order(tickets).scalar() if claim is None else F.lit(claim.job_order)
     numbered = with_sequence(accepted, order, "_n")
     concern_column = write_column(tickets, "concern")
     jo_column = write_column(tickets, "job_order")
@@ -113,7 +126,7 @@ def new_tickets(
             F.col("contact_number"), F.col("reported_concern"), F.col("assigned_to"), F.col("email")
         )
     values = {
-        key_column(tickets): F.col("_n") + max_ticket_no(tickets).scalar(),
+        key_column(tickets): F.col("_n") + last_ticket,
         "store_name": F.col("store_name"),
         "contact_number": F.col("contact_number"),
         "email": F.col("email"),
@@ -125,7 +138,7 @@ def new_tickets(
         if extra in accepted.columns:
             values[extra] = F.col(extra)
     if jo_column is not None:
-        values[jo_column] = K.jo_format(F.col("_n") + max_job_order(tickets).scalar())
+        values[jo_column] = K.jo_format(F.col("_n") + last_job)
     if concern_column is not None:
         values[concern_column] = F.col("reported_concern")
     if date_column is not None:
@@ -175,3 +188,18 @@ def append_tickets(df: DataFrame, path: str, upload_id: str) -> None:
     """
     named = df.withColumn("upload_id", F.lit(upload_id))
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(path)
+
+
+def ingest_upload(
+    rows: DataFrame, tickets: DataFrame, path: str, ledger: str, upload_id: str, as_of: str, order: list[Column]
+) -> DataFrame:
+    """Validate an upload, reserve its numbers in the ledger and append its tickets; the staged rows.
+
+    Uploads may run at the same time. One that is run again gets the same numbers and replaces its
+    own rows, so it is there once.
+    """
+    staged = stage_in_order(rows, order)
+    accepted, _ = split_valid(staged)
+    claim = reserve(ledger, upload_id, accepted.count(), tickets)
+    append_tickets(new_tickets(accepted, tickets, as_of, order, claim), path, upload_id)
+    return staged.drop("_slot")

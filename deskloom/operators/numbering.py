@@ -12,6 +12,11 @@ from deskloom.session import pin
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
+def slotted(ranged: DataFrame, order: list[Column]) -> DataFrame:
+    """Range partitioned rows, written with their place (``_slot``) inside their partition."""
+    return pin(ranged.sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id()))
+
+
 def with_sequence(
     df: DataFrame, order: list[Column], name: str = "seq", after: Column | int = 0
 ) -> DataFrame:
@@ -20,21 +25,18 @@ def with_sequence(
     Rows are range partitioned and numbered inside their partition. The rows are then pinned on
     reliable storage, because a second evaluation might draw other range bounds. What is broadcast
     is one row per partition. ``order`` should end in a unique column, which also splits ranges
-    with many equal leading values.
+    with many equal leading values. A table that ``slotted`` has written is numbered as it is.
     """
-    slotted = pin(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
+    if "_slot" not in df.columns:
+        df = slotted(df.repartitionByRange(*order), order)
     part = F.shiftright("_slot", _ROW_BITS)
-    sizes = slotted.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     start = F.lit(after) if isinstance(after, int) else after
     local = F.col("_slot").bitwiseAND((1 << _ROW_BITS) - 1)
     return (
-        slotted.withColumn("_part", part)
+        df.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, (F.col("_before") + local + 1 + start).cast("bigint"))
         .drop("_slot", "_part", "_before")

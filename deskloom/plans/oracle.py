@@ -411,6 +411,12 @@ ORACLE_SQL: dict[str, str] = {
         f"{_jo(f'(seq + {_MAX_JO})')} as job_order, cast(null as string) as service_done, "
         "cast(null as decimal(10, 2)) as labor_fee from numbered",
     ),
+    "concurrent_uploads": _sql(
+        "tickets uploads",
+        f", {_UPLOAD_CHECK}, numbered as (select *, row_number() over (order by row_num % 2, row_num) as seq "
+        "from checked where error is null) select cast(seq + (select max(ticket_no) from tickets) as bigint) as ticket_no, "
+        f"{_jo(f'(seq + {_MAX_JO})')} as job_order, store_name, reported_concern as concern, status from numbered",
+    ),
     "csv_upload": f"with {_CSV_ROWS}, {_checked('csv_rows', 'cut')} select * from checked",
     "refused_uploads": (
         "select concat('batch-', cast(n_nationkey as string), '.csv') as file, "

@@ -19,6 +19,7 @@ from deskloom.operators import numbering as N
 from deskloom.operators import people as U
 from deskloom.operators import reports as R
 from deskloom.operators import schema_ops as SO
+from deskloom.operators.ledger import reserve
 from deskloom.session import new_shared_path
 from deskloom.sources.audit_log import parse_audit_lines
 from deskloom.sources import tables as T
@@ -47,7 +48,7 @@ def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.split_valid(I.stage(I.validate(view(spark, sf_dir, "uploads"))))[0]
+    return I.split_valid(I.stage_in_order(view(spark, sf_dir, "uploads"), [F.asc("row_num")]))[0]
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,23 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.new_tickets(_accepted(spark, sf_dir), tickets, AS_OF, [F.asc("row_num")])
 
 
+def _concurrent_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two uploads that reserve their numbers before either is appended; the first one runs twice."""
+    base, order = new_shared_path(spark, "uploads"), [F.asc("row_num")]
+    tickets, rows = view(spark, sf_dir, "tickets"), view(spark, sf_dir, "uploads")
+    even = F.col("row_num") % 2 == 0
+    I.append_tickets(tickets, f"{base}/entries", "before")
+    stored = T.tickets(spark, f"{base}/entries")
+    first, second = (I.split_valid(I.stage_in_order(rows.where(part), order))[0] for part in (even, ~even))
+    claim = reserve(f"{base}/ledger", "first", first.count(), stored)
+    other = reserve(f"{base}/ledger", "second", second.count(), stored)
+    I.append_tickets(I.new_tickets(second, stored, AS_OF, order, other), f"{base}/entries", "second")
+    I.append_tickets(I.new_tickets(first, stored, AS_OF, order, claim), f"{base}/entries", "first")
+    I.ingest_upload(rows.where(even), T.tickets(spark, f"{base}/entries"), f"{base}/entries", f"{base}/ledger", "first", AS_OF, order)
+    new = T.tickets(spark, f"{base}/entries").where(F.col("date") == F.lit(AS_OF).cast("timestamp_ntz"))
+    return new.select("ticket_no", "job_order", "store_name", "concern", "status")
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = N.assign_ticket_no(
         _accepted(spark, sf_dir), view(spark, sf_dir, "tickets"), [F.asc("row_num")]
@@ -246,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": _on("uploads", lambda df: _rejected(I.validate(df))),
     "ingest_summary": _on("uploads", lambda df: I.ingest_summary(I.stage(I.validate(df)))),
     "ingested_tickets": _ingested,
+    "concurrent_uploads": _concurrent_uploads,
     "csv_upload": _csv_upload,
     "refused_uploads": lambda spark, sf_dir: refused_uploads(upload_text_lines(spark, sf_dir)),
     "workbook_rows": _on("workbook", I.validate_workbook),
