@@ -80,21 +80,18 @@ def check_new_users(requests: DataFrame, users: DataFrame, register: bool = Fals
             "role": role,
         }
     ).withColumn("error", F.when(~allowed, _ROLE).when(incomplete, message))
-    # The first acceptable request per email is known before the join: there, one email on very
-    # many requests is cut to one row per task before it is shuffled.
-    first = first_per_key(
-        cleaned.where(F.col("error").isNull()).select("row_num", "email"),
-        [folded(F.col("email"))],
-        [F.asc("row_num")],
-    ).select("row_num", F.lit(True).alias("_first"))
-    known = users.select(folded(F.col("email")).alias("_email")).distinct().withColumn("_known", F.lit(True))
-    matched = cleaned.join(known, folded(cleaned["email"]) == known["_email"], "left").drop("_email")
-    taken = F.when(F.col("_known").isNotNull() | F.col("_first").isNull(), _EXISTS)
-    return (
-        matched.join(first, "row_num", "left")
-        .withColumn("error", F.coalesce("error", taken))
-        .drop("_known", "_first")
+    # Who claims an email: a user, or the first acceptable request. One email on very many requests
+    # is cut to one row per task before it is shuffled, and each request meets one claim.
+    email = folded(F.col("email"))
+    asked = cleaned.where(F.col("error").isNull()).select(email.alias("_email"), F.col("row_num").alias("_first"))
+    first = first_per_key(asked, [F.col("_email")], [F.asc("_first")])
+    known = users.select(email.alias("_email"), F.lit(None).alias("_first"))
+    claims = first.unionByName(known).groupBy("_email").agg(
+        F.min("_first").alias("_first"), (F.count("_first") < F.count("*")).alias("_known")
     )
+    matched = cleaned.join(claims, email == F.col("_email"), "left")
+    mine = ~F.coalesce("_known", F.lit(False)) & F.col("_first").eqNullSafe(F.col("row_num"))
+    return matched.withColumn("error", F.coalesce("error", F.when(~mine, _EXISTS))).drop("_email", "_first", "_known")
 
 
 def new_users(requests: DataFrame, users: DataFrame) -> DataFrame:

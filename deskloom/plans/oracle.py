@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deskloom.plans.registry import AS_OF, DAY
+from deskloom.plans.registry import AS_OF, DAY, SEEDS
 from deskloom.sources.derived import view_sql
 
 _LOWERED = "lower(coalesce(nullif(status, ''), 'pending'))"
@@ -535,9 +535,9 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "seed_if_absent": _sql(
         "audit",
-        "select * from (values ('system_startup', '{\"message\": \"Application initialized\", \"environment\": \"railway\"}'), "
-        "('database_connected', '{\"database\": \"ticketing_db\", \"status\": \"connected\"}'), "
-        f"('app_deployed', '{{\"version\": \"1.0.0\", \"platform\": \"railway\", \"timestamp\": \"{AS_OF}\"}}')) s(action, payload) "
+        "select * from (values "
+        + ", ".join(f"('{action}', '{payload}')" for action, payload in SEEDS)
+        + ") s(action, payload) "
         "where not exists (select 1 from audit where action in ('system_startup', 'database_connected', 'app_deployed'))",
     ),
     "audit_events": _AUDIT_EVENTS,

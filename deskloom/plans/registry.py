@@ -32,6 +32,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2026-01-01 00:00:00"
 DAY = "1998-04-01"
 EDIT_ORDER = ["seq", "seq2"]
+SEEDS = (
+    ("system_startup", '{"message": "Started", "environment": "test"}'),
+    ("database_connected", '{"database": "desk", "status": "connected"}'),
+    ("app_deployed", f'{{"version": "1.0.0", "timestamp": "{AS_OF}"}}'),
+)
 
 
 def _on(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -206,7 +211,7 @@ def _new_user_rows(requests: DataFrame, users: DataFrame, register: bool = False
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = view(spark, sf_dir, "audit")
-    return AU.seed_if_absent(AU.seed_rows(spark, AS_OF), audit)
+    return AU.seed_if_absent(AU.seed_rows(spark, SEEDS), audit)
 
 
 def _change_rows(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:

@@ -65,12 +65,14 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_seeding(spark):
-    seeds = A.seed_rows(spark, "2026-01-02 03:04:05")
+    pairs = [("system_startup", "{}"), ("app_deployed", '{"version": 1}')]
+    seeds = A.seed_rows(spark, pairs)
     empty = spark.createDataFrame([], "action string, payload string")
-    assert [r["action"] for r in A.seed_if_absent(seeds, empty).collect()] == ["system_startup", "database_connected", "app_deployed"]
-    assert "2026-01-02 03:04:05" in seeds.collect()[2]["payload"]
-    once = seeds.where("action = 'app_deployed'")
+    assert [tuple(r) for r in A.seed_if_absent(seeds, empty).collect()] == pairs
+    once = seeds.where("action = 'app_deployed'").withColumn("action", F.upper("action"))
     assert A.seed_if_absent(seeds, once).count() == 0
+    other = A.seed_rows(spark, [("first_run", "{}")])
+    assert A.seed_if_absent(other, once).count() == 1 and A.seed_if_absent(other, other).count() == 0
     assert FI.by_action(seeds, ["APP_deployed"]).count() == 1 and FI.by_action(seeds, []).count() == 0
 
 

@@ -56,3 +56,11 @@ def test_shared_dir_comes_from_the_session(spark, tmp_path, monkeypatch):
     assert shared_dir(spark) == str(tmp_path)
     assert N.with_sequence(spark.range(5), [F.asc("id")]).count() == 5
     assert any(tmp_path.iterdir())
+
+
+def test_no_folder_of_this_machine(spark, monkeypatch):
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *rest: None if key == "spark.checkpoint.dir" else get(self, key, *rest))
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
