@@ -3,8 +3,10 @@
 Tokens with a digit are variable fields and masked, unless few others would be left. A line's leaf
 is its number of tokens and its first tokens. Within a leaf, a token that recurs at its position is
 constant, any other is a variable field too; a line whose tokens are mostly constant takes the
-template in which its other fields are masked, and any other line is its own template. Templates that occur in enough different documents are dropped, except
-in the first document that has them.
+template in which its other fields are masked, and any other line is its own template. Lines of few
+tokens, and those without spaces, have no fields: each is its own template, and has to occur more
+often. Templates that occur in enough different documents are dropped, except in the first document
+that has them.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ DEPTH = 3
 MIN_DOCS = 5
 #: Least share of constant tokens in a line that takes a template with variable fields.
 SIMILARITY = 0.7
-#: Shorter lines stay: a few words recur by chance.
+#: Shorter lines have no variable fields and recur from this many different texts on: a few words
+#: may do so by chance.
 MIN_TOKENS = 4
+SHORT_DOCS = 10
 _SPACE = " \\t\\x0B\\f\\r"
 _WILD = "<*>"
 _WITH_DIGIT = f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*"
 
 
 def _lines(docs: DataFrame, similarity: float) -> DataFrame:
-    """``doc_key, doc_id, content, pos, n, masked, leaf, line`` of every line that is long enough.
+    """``doc_key, doc_id, content, pos, n, masked, leaf, line`` of every line that is not blank.
 
     ``docs`` has ``doc_key, doc_id, content, text``. Patterns run on the few texts and lines that
     need them; the rest is counted and cut without any.
@@ -42,8 +46,9 @@ def _lines(docs: DataFrame, similarity: float) -> DataFrame:
     plain = docs.withColumn("text", F.when(loose, tidy).otherwise(text)).withColumn("lines", F.split("text", "\n", -1)).drop("text")
     lines = plain.select("doc_key", "doc_id", "content", F.posexplode("lines").alias("pos", "plain"))
     spaces = F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit("")))
-    long = lines.withColumn("n", spaces + 1).where(F.col("n") >= MIN_TOKENS)
-    masked = long.withColumn("masked", F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", _WITH_DIGIT, _WILD)))
+    filled = lines.where(F.col("plain") != "").withColumn("n", spaces + 1)
+    variable = (F.col("n") >= MIN_TOKENS) & F.col("plain").rlike("[0-9]")
+    masked = filled.withColumn("masked", F.when(variable, F.regexp_replace("plain", _WITH_DIGIT, _WILD)))
     wild = (F.length("masked") - F.length(F.replace("masked", F.lit(_WILD), F.lit("")))) / len(_WILD)
     chosen = F.when(F.col("n") - wild >= F.col("n") * similarity, F.col("masked")).otherwise(F.col("plain"))
     return (
@@ -54,6 +59,7 @@ def _lines(docs: DataFrame, similarity: float) -> DataFrame:
 
 def _templates(distinct: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """``leaf, line, template`` for lines whose template is not the line itself."""
+    distinct = distinct.where(F.col("n") >= MIN_TOKENS)
     rare = distinct.where(F.col("texts") < min_docs)
     tokens = distinct.select("leaf", "line", "n", "texts", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("t")).where(F.col("t") >= min_docs).drop("t")
@@ -69,7 +75,8 @@ def _templates(distinct: DataFrame, min_docs: int, similarity: float) -> DataFra
 
 
 def recurring_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+    short_docs: int = SHORT_DOCS,
 ) -> DataFrame:
     """``doc_key, dropped``: the positions (from 0) of the lines to drop, per document that has any."""
     text = text_of(text_col)
@@ -89,35 +96,36 @@ def recurring_lines(
     lent = lent.join(counted, ["doc_key", "leaf", "line", "n"]).dropDuplicates(["leaf", "line", "n"])
     distinct = pin(lent.select("leaf", "line", "n", "masked", "texts"), "distinct-lines")
     general = _templates(distinct, min_docs, similarity)
-    named = distinct.select("leaf", "line", "texts").join(general, ["leaf", "line"], "left").select(
-        "leaf", "line", "texts", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")
+    named = distinct.select("leaf", "line", "n", "texts").join(general, ["leaf", "line"], "left").select(
+        "leaf", "line", "n", "texts", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")
     )
     named = pin(named, "named-lines")
     # A template with fields and a line without any may still be the same lines' hash: keep both apart.
     placed = pinned.select("doc_key", "doc_id", "content", "pos", "leaf", "line").join(named, ["leaf", "line"])
-    key = ["leaf", "template", "general"]
+    key = ["leaf", "n", "template", "general"]
     recurring = (
         placed.groupBy(*key, "content").agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
         .groupBy(*key).agg(F.count("*").alias("texts"), F.min("first.doc_id").alias("least"), F.min_by("first.doc_key", "first").alias("keeper"))
-        .where(F.col("texts") >= min_docs)
+        .where(F.col("texts") >= F.when(F.col("n") < MIN_TOKENS, short_docs).otherwise(min_docs))
     )
     hits = placed.join(pin(recurring.select(*key, "keeper"), "recurring"), key).where("doc_key <> keeper")
     return hits.groupBy("doc_key").agg(F.collect_set("pos").alias("dropped"))  # a document's own lines
 
 
 def drop_recurring_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+    short_docs: int = SHORT_DOCS,
 ) -> DataFrame:
     """The input's rows with recurring lines gone from the text, and ``n_lines`` and ``n_dropped``.
 
     Lines end at a line feed. A template stays in the document of the least id (null least) that
     has it, so nothing is lost; copies of one text count as one document, so a text is not emptied
     because it was copied. Repeated rows are treated alike. A null text stays null and has no
-    lines; an empty one has one empty line. Empty and short lines stay. An empty table gives an
-    empty result. Other columns are kept; input columns named ``n_lines`` or ``n_dropped`` are
+    lines; an empty one has one empty line. Blank lines stay. An empty table gives an empty result.
+    Other columns are kept; input columns named ``n_lines`` or ``n_dropped``, in any case, are
     replaced.
     """
-    drops = pin(recurring_lines(df, id_col, text_col, min_docs, similarity), "drops")
+    drops = pin(recurring_lines(df, id_col, text_col, min_docs, similarity, short_docs), "drops")
     text = text_of(text_col)
     packed = df.select(
         F.struct(*[col(c) for c in df.columns]).alias("row"), F.xxhash64(col(id_col), text).alias("doc_key")
@@ -129,7 +137,7 @@ def drop_recurring_lines(
     # The lists of lines grow with the corpus, so they are never broadcast.
     joined = packed.join(drops.hint("merge"), "doc_key", "left")
     kept = [
-        (cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns if c not in ("n_lines", "n_dropped")
+        (cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")
     ]
     return joined.select(
         *kept,
@@ -150,10 +158,10 @@ plain as (
   select doc_id, text, pos, string_split(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')), ' ') as raw from lines),
 masked as (select *, [case when regexp_matches(t, '[0-9]') then '{_WILD}' else t end for t in raw] as ms from plain),
 tokens as (
-  select doc_id, text, pos, case when len([t for t in ms if t <> '{_WILD}']) >= len(raw) * {SIMILARITY} then ms else raw end as ts from masked),
-leaves as (select doc_id, text, pos, ts, len(ts)::varchar || ' ' || array_to_string(ts[1:{DEPTH}], ' ') as leaf from tokens where len(ts) >= {MIN_TOKENS}),
+  select doc_id, text, pos, case when len(raw) >= {MIN_TOKENS} and len([t for t in ms if t <> '{_WILD}']) >= len(raw) * {SIMILARITY} then ms else raw end as ts from masked),
+leaves as (select doc_id, text, pos, ts, len(ts)::varchar || ' ' || array_to_string(ts[1:{DEPTH}], ' ') as leaf from tokens where ts <> ['']),
 busy as (select * from leaves where leaf in (select leaf from leaves group by leaf having count(*) >= {MIN_DOCS})),
-uniq as (select leaf, ts, count(distinct text) as texts from busy group by all),
+uniq as (select leaf, ts, count(distinct text) as texts from busy where len(ts) >= {MIN_TOKENS} group by all),
 parts as (select leaf, ts, texts, unnest(ts) as token, generate_subscripts(ts, 1) as i from uniq),
 fixed as (select leaf, i, token from parts group by all having sum(texts) >= {MIN_DOCS}),
 general as (
@@ -164,7 +172,8 @@ named as (
   select b.doc_id, b.text, b.pos, b.leaf, coalesce(g.template, b.ts) as template, g.template is not null as general
   from busy b left join general g on b.leaf = g.leaf and b.ts = g.ts),
 recurring as (
-  select leaf, template, general, min(doc_id) as keeper from named group by all having count(distinct text) >= {MIN_DOCS}),
+  select leaf, template, general, min(doc_id) as keeper from named group by all
+  having count(distinct text) >= case when split_part(leaf, ' ', 1)::int < {MIN_TOKENS} then {SHORT_DOCS} else {MIN_DOCS} end),
 dropped as (
   select n.doc_id, list(n.pos) as ps from named n join recurring r on n.leaf = r.leaf and n.template = r.template and n.general = r.general
   where n.doc_id <> r.keeper group by n.doc_id)

@@ -28,6 +28,23 @@ def test_rare_and_short_lines_and_prose_stay(spark):
     assert [out[i] for i in range(len(texts))] == texts
 
 
+def test_short_lines_recur_too(spark):
+    """Lines of one to three tokens, or without spaces, go by their exact text and a higher count."""
+    texts = [f"{PROSE[i]}\n All  rights reserved.\nRead more\n版权所有。\npage {i} end" for i in range(12)]
+    texts += [f"{PROSE[20 + i]}\nfew" for i in range(9)]
+    out = cleaned(spark, texts)
+    assert out[0] == texts[0] and [out[i] for i in range(12, 21)] == texts[12:]
+    assert all(out[i] == f"{PROSE[i]}\npage {i} end" for i in range(1, 12))
+    lower = cleaned(spark, texts, short_docs=9)
+    assert lower[12] == texts[12] and all(lower[i] == PROSE[i + 8] for i in range(13, 21))
+
+
+def test_columns_that_clash_but_for_case(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d", 9, 9)], "doc_id long, text string, N_Lines int, Copy int")
+    drop_recurring_lines(df).write.parquet(str(tmp_path / "lines"))
+    assert spark.read.parquet(str(tmp_path / "lines")).columns == ["doc_id", "text", "Copy", "n_lines", "n_dropped"]
+
+
 def test_tables_of_numbers_are_no_template(spark):
     texts = [f"{i} {i + 1} {i + 2} {i + 3} {i + 4}\n{PROSE[i]}" for i in range(20)]
     assert sorted(cleaned(spark, texts).values()) == sorted(texts)
