@@ -18,8 +18,8 @@ SEED = 20240
 TEMPERATURE = 0.5
 #: A larger mean is the sum of equal parts, each with a hashed number of its own.
 LARGEST_MEAN = 500.0
-#: Up to so many sources the table of rates is broadcast; beyond, it is joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Up to so many numbers the tables of sums are broadcast; beyond, they are joined by a shuffle.
+MOST_NUMBERS = 4_000_000
 
 
 def _hashed(digits: int, *parts: Column) -> Column:
@@ -66,7 +66,7 @@ def mix(
     target size as a multiple of the input's. Sizes are UTF-8 bytes plus 1, so empty and null texts
     count. The null source is a source like any other. Draws depend on the id only: repeated rows
     and rows with a null id are drawn alike. An empty table gives an empty result. All columns are
-    kept; input columns named ``copy`` or ``order_key`` are replaced.
+    kept; input columns named ``copy`` or ``order_key``, in any case, are replaced.
     """
     spark = df.sparkSession
     table = rates(df, source_col, text_col, weights, epochs)
@@ -74,8 +74,8 @@ def mix(
     table = table.withColumn("parts", parts).withColumn("sums", cumulative(F.col("rate") / F.col("parts")))
     packed = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(id_col).alias("id"), col(source_col).alias("source"))
     side = table.select("src", "parts", "sums")
-    few = table.select("src").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    drawn = packed.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("src")))
+    numbers = table.agg(F.sum(F.size("sums"))).first()[0] or 0
+    drawn = packed.join(F.broadcast(side) if numbers <= MOST_NUMBERS else side, F.col("source").eqNullSafe(F.col("src")))
     number = lambda part: (_hashed(13, F.col("id"), part) + 0.5) / float(1 << 52)
     times = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + F.size(F.filter("sums", lambda c: c < number(part)))
@@ -85,7 +85,7 @@ def mix(
     )
     keyed = copies.withColumn("order_key", _hashed(15, F.col("id"), F.lit("copy"), F.col("copy")))
     dealt = keyed.repartition(partitions(spark), "order_key").sortWithinPartitions("order_key")
-    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("copy", "order_key")]
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in ("copy", "order_key")]
     return dealt.select(*kept, "copy", "order_key")
 
 
