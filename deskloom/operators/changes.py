@@ -114,22 +114,18 @@ def _editable(tickets: DataFrame) -> dict[str, Column]:
     return {c: v for c, v in values.items() if c in tickets.columns}
 
 
-def _with_edits(tickets: DataFrame, edits: DataFrame, order: list[str], how: str) -> DataFrame:
-    """Tickets with their last accepted edit as struct ``edit``.
-
-    Both sides have one row per key here, so the join has no hot keys.
-    """
+def accepted_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """The last accepted edit per key, as key and struct ``edit``."""
     key = key_column(tickets)
     last = last_edits(judge_edits(tickets, edits, order), key, order)
-    packed = last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
-    return tickets.join(packed, key, how)
+    return last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
 
 
-def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
-    """All tickets, with the last accepted edit applied. Write it as a new snapshot."""
+def edited(tickets: DataFrame, last: DataFrame) -> DataFrame:
+    """Tickets with their ``accepted_edits``. Both sides have one row per key, so no key is hot."""
     values = _editable(tickets)
     matched = F.col("edit").isNotNull()
-    return _with_edits(tickets, edits, order, "left").select(
+    return tickets.join(last, key_column(tickets), "left").select(
         *[
             F.when(matched, values[f.name]).otherwise(quoted(f.name)).cast(f.dataType).alias(f.name)
             if f.name in values
@@ -139,6 +135,11 @@ def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> Dat
     )
 
 
+def apply_updates(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """All tickets, with the last accepted edit applied. Write it as a new snapshot."""
+    return edited(tickets, accepted_edits(tickets, edits, order))
+
+
 def rejected_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     judged = judge_edits(tickets, edits, order)
     return judged.where(F.col("error").isNotNull()).select(key_column(tickets), *order, "error")
@@ -188,7 +189,7 @@ def diff_tickets(old: DataFrame, new: DataFrame) -> DataFrame:
 def update_records(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     """The change records an update leaves, from one join instead of two snapshots."""
     key = key_column(tickets)
-    matched = _with_edits(tickets, edits, order, "inner")
+    matched = tickets.join(accepted_edits(tickets, edits, order), key)
     values = _editable(tickets)
     old = matched.withColumn("old", _record(tickets))
     new = old.withColumns({c: v.cast(data_type(tickets, c)) for c, v in values.items()})

@@ -441,6 +441,9 @@ ORACLE_SQL: dict[str, str] = {
     "stored_users": _sql("users", "select * from users"),
     "stored_audit": _sql("audit", "select * from audit"),
     "apply_updates": _sql("tickets edits", f"{_UPDATES} select * from updated"),
+    "ranged_changes": _sql(
+        "tickets edits deletes", f"{_UPDATES} select * from updated where ticket_no not in (select ticket_no from deletes)"
+    ),
     "rejected_edits": _sql(
         "tickets edits",
         f"{_UPDATES} select ticket_no, seq, seq2, error from checked_edits where error is not null",

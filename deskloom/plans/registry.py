@@ -17,6 +17,7 @@ from deskloom.operators import filters as FI
 from deskloom.operators import ingest as I
 from deskloom.operators import numbering as N
 from deskloom.operators import people as U
+from deskloom.operators import ranged as RG
 from deskloom.operators import reports as R
 from deskloom.operators import schema_ops as SO
 from deskloom.operators.ledger import reserve
@@ -85,6 +86,15 @@ def _concurrent_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("ticket_no", "job_order", "store_name", "concern", "status")
 
 
+def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickets in key ranges, edited and then thinned out in place."""
+    path = new_shared_path(spark, "ranged-tickets")
+    RG.write_ranged(view(spark, sf_dir, "tickets"), path, width=10_000)
+    RG.update_ranged(spark, path, view(spark, sf_dir, "edits"), EDIT_ORDER, width=10_000)
+    RG.delete_ranged(spark, path, view(spark, sf_dir, "deletes"), width=10_000)
+    return RG.read_ranged(spark, path)
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = N.assign_ticket_no(
         _accepted(spark, sf_dir), view(spark, sf_dir, "tickets"), [F.asc("row_num")]
@@ -280,6 +290,7 @@ QUERIES: dict[str, Query] = {
     "stored_audit": _stored("audit", T.audit),
     # Changes
     "apply_updates": lambda spark, sf_dir: _updated(spark, sf_dir)[1],
+    "ranged_changes": _ranged,
     "rejected_edits": _on_two("tickets", "edits", lambda t, e: C.rejected_edits(t, e, EDIT_ORDER)),
     "job_order_conflicts": _on_two("tickets", "edits", lambda t, e: C.job_order_conflicts(t, e, EDIT_ORDER)),
     "apply_deletes": _on_two("tickets", "deletes", lambda t, d: C.apply_deletes(t, d, "ticket_no")),
