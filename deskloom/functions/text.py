@@ -80,6 +80,19 @@ def _like_pattern(text: str) -> tuple[str, bool]:
     return "".join(out), wild
 
 
+def literal_runs(text: str) -> list[str]:
+    """The parts of a LIKE text between its wildcards, escapes resolved."""
+    runs, chars = [""], iter(text)
+    for ch in chars:
+        if ch == "\\":
+            runs[-1] += next(chars, "\\")
+        elif ch in "%_":
+            runs.append("")
+        else:
+            runs[-1] += ch
+    return [r for r in runs if r]
+
+
 def matches_like(c: Column, text: str) -> Column:
     """``c LIKE %text%`` without regard to case and accents; ``text`` may hold wildcards.
 

@@ -322,6 +322,8 @@ ORACLE_SQL: dict[str, str] = {
     "by_status": _t("select * from tickets where lower(status) = 'completed'"),
     "by_store": _t("select * from tickets where lower(store_name) like '%customer%_7%'"),
     "search_tickets": _t(f"select * from tickets where contains({_HAYSTACK}, 'technician 3 199')"),
+    "by_store_skipping": _t("select * from tickets where lower(store_name) like '%customer%_7%'"),
+    "search_skipping": _t(f"select * from tickets where contains({_HAYSTACK}, 'technician 3 199')"),
     "search_text": _t(f"select ticket_no, {_HAYSTACK} as haystack from tickets"),
     "by_label": _t(f"select * from tickets where {_LABEL} = 'Ongoing'"),
     "ticket_by_key": _t("select * from tickets where ticket_no = 42"),

@@ -20,6 +20,7 @@ from deskloom.operators import people as U
 from deskloom.operators import ranged as RG
 from deskloom.operators import reports as R
 from deskloom.operators import schema_ops as SO
+from deskloom.operators import skipping as SK
 from deskloom.operators.ledger import reserve
 from deskloom.session import new_shared_path
 from deskloom.sources.audit_log import parse_audit_lines
@@ -95,6 +96,18 @@ def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RG.read_ranged(spark, path)
 
 
+def _searched(search: Callable[[SparkSession, str, str], DataFrame], text: str) -> Query:
+    """The tickets as five indexed uploads, searched where their bitmaps allow a match."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, tickets = new_shared_path(spark, "indexed-tickets"), view(spark, sf_dir, "tickets")
+        for part in range(5):
+            SK.append_indexed(tickets.where(F.col("ticket_no") % 5 == part), path, f"upload-{part}")
+        return search(spark, path, text)
+
+    return run
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = N.assign_ticket_no(
         _accepted(spark, sf_dir), view(spark, sf_dir, "tickets"), [F.asc("row_num")]
@@ -252,6 +265,8 @@ QUERIES: dict[str, Query] = {
     "by_status": _on("tickets", lambda df: FI.by_status(df, "COMPLETED")),
     "by_store": _on("tickets", lambda df: FI.by_store(df, "CUSTÓMER%_7")),
     "search_tickets": _on("tickets", lambda df: FI.search(df, "Technician 3 199")),
+    "search_skipping": _searched(SK.search, "Technician 3 199"),
+    "by_store_skipping": _searched(SK.by_store, "CUSTÓMER%_7"),
     "search_text": _on("tickets", _search_text),
     "by_label": _on("tickets", lambda df: FI.by_label(df, "Ongoing")),
     "ticket_by_key": _on("tickets", lambda df: FI.ticket(df, 42)),
