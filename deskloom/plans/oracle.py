@@ -370,6 +370,7 @@ ORACLE_SQL: dict[str, str] = {
         "cast(null as decimal(10, 2)) as labor_fee from tickets"
     ),
     "export_rows": _t(f"{_EXPORT} order by date desc nulls last, ticket_no desc"),
+    "export_parts": _t(f"{_EXPORT} order by date desc nulls last, ticket_no desc"),
     "export_filtered": _t(
         f"{_EXPORT} where lower(store_name) like '%customer#000000%' order by date desc nulls last, ticket_no desc"
     ),

@@ -75,3 +75,36 @@ def test_round_trip(spark, tmp_path):
         .fillna("")
     )
     assert back.exceptAll(formatted).count() == 0 and formatted.exceptAll(back).count() == 0
+
+
+def joined(path):
+    return b"".join(open(p, "rb").read() for p in sorted(glob.glob(f"{path}/part-*")))
+
+
+def test_parts_are_one_file(spark, tickets, tmp_path):
+    """The parts one after the other are the file that a single writer would have made."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = tickets.crossJoin(spark.range(300).select((F.col("id") * 10).alias("k"))).withColumn("ticket_no", F.col("ticket_no") + F.col("k")).drop("k")
+        manifest = X.export_parts(many, str(tmp_path), everything=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = joined(tmp_path / "tickets-all")
+    got = list(csv.reader(io.StringIO(text.decode(), newline="")))
+    titles = X.export_rows(many).columns
+    assert got[0] == titles and got[1:] == [list(r) for r in X.export_rows(many).collect()]
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\n").writerow(titles)
+    assert text.startswith(out.getvalue().encode()) and text.count(b"Ticket No") == 1
+    assert len(manifest) > 2 and sum(r["rows"] for r in manifest) == 900 and sum(r["bytes"] for r in manifest) == len(text)
+    for r in manifest:
+        part = next(p for p in glob.glob(f"{tmp_path}/tickets-all/*") if p.endswith(r["part"]))
+        assert text[r["start"] : r["start"] + r["bytes"]] == open(part, "rb").read()
+
+
+def test_parts_of_nothing_are_the_header(spark, tickets, tmp_path):
+    manifest = X.export_parts(tickets, str(tmp_path), status="nothing").collect()
+    assert [(r["rows"], r["start"]) for r in manifest] == [(0, 0)]
+    assert joined(tmp_path / "tickets-status-nothing") == b"Ticket No,Store Name,Labor Fee,Status,Date,Foo Bar\n"
+    with pytest.raises(ValueError):
+        X.export_parts(tickets, str(tmp_path))
