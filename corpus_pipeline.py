@@ -2,6 +2,9 @@
 
 Each stage is a function of (session, documents, table folder) to a DataFrame; ``run`` writes every
 stage's rows as Parquet below the shared folder and reads them again for the next.
+
+All stages take a null text as empty, treat each repeated row alike, and give an empty table for an
+empty one; the stages but the last keep all columns, extra ones too. Ties go by the document's id.
 """
 
 from __future__ import annotations
