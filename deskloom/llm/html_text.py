@@ -1,11 +1,15 @@
 """Operator 2, HTML extraction: two-pass block rules.
 
-A page is cut into blocks at block-level tags. Regions that are never main text by their element,
-role, class or id are left out; a class or id alone does not leave out what holds an article. The first pass decides blocks by stop-word density, length and link
+A page is cut into blocks at block-level tags. Regions whose element or role is never main text are left
+out. Others are only doubtful: forms, asides, and what has a class or id that names a region other than the
+main text. Their blocks stay if the region holds an article, or if its kind of region holds far more decided
+text than the rest of the page; regions of adverts, notices and readers' comments never outweigh their name.
+The first pass decides blocks by stop-word density, length and link
 density; the second gives the ambiguous ones, as a rule short, the label of their nearest decided
 neighbours. If a page marks articles, those with a fair share of its decided text are its main text;
 there the mark speaks for ambiguous blocks, elsewhere the lack of it against all but long text. Without
 an article of such a share, the text outside of them is judged as on a page without marks.
+A heading that opens readers' comments ends the main text of its article or page.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ FEW_STOP = 0.1
 FEW_STOP_LINKS = 0.2
 #: Share of the largest part's decided text from which an article, or the text outside of any, is main text.
 SHARE = 0.25
+#: A kind of doubtful region is main text from so many times the decided text outside of such regions.
+OUTWEIGH = 4
 #: Outside of such parts, decided blocks are main text from so many characters.
 LONG_OUTSIDE = 2 * LONG
 
@@ -51,10 +57,15 @@ _BLOCK = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = frozenset(
-    "aside button dialog footer form head iframe menu nav noscript object option script select style svg template textarea title".split()
+    "button dialog footer head iframe menu nav noscript object option script select style svg template textarea title".split()
 )
+# Elements that a region left out cannot go on past, if it is never closed.
+_ENDS = frozenset("article blockquote body footer h1 h2 h3 h4 h5 h6 header main p section table".split())
 _ARTICLE = frozenset(("article", "main"))
-_NEVER_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_NEVER_ROLE = frozenset("alert alertdialog banner contentinfo dialog menu menubar navigation search".split())
+#: Doubtful regions by element and by role.
+_DOUBTFUL = {"aside": "aside", "form": "form"}
+_DOUBTFUL_ROLE = {"complementary": "aside", "form": "form"}
 # Words of a class or id that name a region other than the main text.
 _NEVER_NAME = frozenset(
     "ad ads advert advertisement adverts advertorial banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
@@ -62,6 +73,11 @@ _NEVER_NAME = frozenset(
     "outbrain overlay pager pagination popup promo promoted promotion reactions recommended recommendations related replies reply respond "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+# Those of them that are no main text, however long.
+_FIRM = frozenset(
+    "ad ads advert advertisement adverts advertorial comment comments consent cookie cookies discussion disqus gdpr hidden outbrain promoted "
+    "reactions replies reply respond sponsor sponsored taboola".split()
+)
 _SAFE = frozenset(("html", "body", "main"))
 # Words of a class or id that tell what a page has or which state it is in, before and behind a region's name.
 _STATE_BEFORE = frozenset("has have hide no not show toggle when with without".split())
@@ -79,6 +95,11 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+# Headings of readers' comments and labels of adverts in the languages served.
+_COMMENTS = re.compile(
+    r"\W*(\d+\s+)?(reader\s+|user\s+)?(comments?|kommentare?|leserkommentare|commentaires?|comentarios?|leave a (reply|comment)|"
+    r"join the (discussion|conversation))\s*(\(?\d+\)?)?\W*", re.I)
+_ADVERT = re.compile(r"\W*(advertisement|advertorial|sponsored|anzeige|werbung|publicité|publicidad)(\s+content)?\s*([:|–—-]\s.*|\W*)", re.I | re.S)
 _RIGHTS = re.compile(r"^\s*(©|\(c\)\s|copyright\b)", re.I)
 
 
@@ -86,82 +107,101 @@ class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
     article: int  # 0 outside of any
+    region: int = 0  # the innermost doubtful one, 0 outside of any
 
 
-def _names(token: str, head_only: bool) -> bool:
-    """Whether a class or id names a region other than the main text; with ``head_only``, by its first word."""
+def _named(token: str, head_only: bool) -> str | None:
+    """The region other than the main text that a class or id names, if any; with ``head_only``, by its first word."""
     parts = [part.lower() for part in _NAME_PART.findall(token)]
     if not parts or (len(parts) > 1 and parts[-1] in _STATE_BEHIND):
-        return False
+        return None
     if "hidden" in parts:
-        return parts[-1] == "hidden" and all(part in _HIDDEN_BEFORE for part in parts[:-1])
+        return "hidden" if parts[-1] == "hidden" and all(part in _HIDDEN_BEFORE for part in parts[:-1]) else None
     for part in parts[:1] if head_only else parts:
         if part in _STATE_BEFORE:
-            return False
+            return None
         if part in _NEVER_NAME:
-            return True
-    return False
+            return part
+    return None
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element's region is no main text, whatever it holds; and whether it is by its class
-    or id, unless it holds an article."""
+def _judged(tag: str, attributes: str, inside: bool) -> tuple[bool, str | None]:
+    """Whether an element's region is no main text, whatever it holds; and its kind, if it is doubtful."""
     if tag in _NEVER or (tag == "header" and not inside):
-        return True, False
+        return True, None
+    kind = _DOUBTFUL.get(tag)
     if not attributes.strip():
-        return False, False
+        return False, kind
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if tag not in ("html", "body") else {}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True, False
-    if values.get("role", "").lower() in _NEVER_ROLE:
-        return True, False
+        return True, None
+    role = values.get("role", "").lower()
+    if role in _NEVER_ROLE:
+        return True, None
     if tag in _SAFE:
-        return False, False
+        return False, kind
     names = f"{values.get('class', '')} {values.get('id', '')}".split()
-    return False, any(_names(name, tag == "article") for name in names)
+    kinds = [k for k in [kind, _DOUBTFUL_ROLE.get(role), *(_named(name, tag == "article") for name in names)] if k]
+    return False, next((k for k in kinds if k in _FIRM), kinds[0] if kinds else None)
 
 
-def blocks(html: str, spared: frozenset[int] = frozenset()) -> list[Block]:
-    """The candidate blocks of a page in order, white space collapsed and references decoded.
+def _unclosed(html: str) -> set[int]:
+    """Where elements begin that may be left out and are never closed."""
+    still: dict[str, list[int]] = {}
+    for token in _TOKEN.finditer(html):
+        tag = (token[3] or "").lower()
+        if tag in _NEVER or tag in _DOUBTFUL or tag == "header":
+            if not token[2]:
+                still.setdefault(tag, []).append(token.start())
+            elif still.get(tag):
+                still[tag].pop()
+    return {at for places in still.values() for at in places}
 
-    Of the regions left out by their names, counted from 0, the spared ones stay. Those that turn
-    out to hold an article are spared by a second run.
-    """
+
+def blocks(html: str) -> tuple[list[Block], list[frozenset[str]]]:
+    """The candidate blocks of a page in order, white space collapsed and references decoded; and per
+    doubtful region its kind and those of the regions around it, without such as hold an article."""
     found: list[Block] = []
-    parts: list[str] = []
-    linked = breaks = articles = current = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements, whether their region is left out, and whether by its name
-    named: list[int] = []  # open regions left out by their names
-    holding: set[int] = set()  # those that hold an article
-    left_out = links = inside = regions = 0
+    parts: dict[int, list[str]] = {}  # text of the open block by region
+    linked: dict[int, int] = {}
+    breaks = articles = current = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether their region is left out or doubtful
+    opened: dict[str, int] = {}  # how many elements of a name are open
+    loose: list[int] = []  # places in the stack of elements that are never closed
+    around, kinds, holds = [0], [""], [0]  # per doubtful region: the next outer one, its kind, 1 for an article in it and 2 for a main
+    region = left_out = links = inside = 0
+    unclosed = _unclosed(html)
 
     def end_block() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            found.append(Block(text, min(linked, len(text)), current if inside else 0))
+        for own, pieces in parts.items():
+            text = " ".join("".join(pieces).split())
+            if text:
+                found.append(Block(text, min(linked.get(own, 0), len(text)), current if inside else 0, own))
         parts.clear()
-        linked = 0
+        linked.clear()
 
     def text_between(a: int, b: int) -> None:
-        nonlocal linked, breaks
+        nonlocal breaks
         if a < b and not left_out:
             piece = unescape(html[a:b])
-            parts.append(piece)
+            parts.setdefault(region, []).append(piece)
             bare = len(" ".join(piece.split()))
             if bare:
                 breaks = 0
-            linked += bare * bool(links)
+            linked[region] = linked.get(region, 0) + bare * bool(links)
 
     def close(at: int) -> None:
-        nonlocal left_out, links, inside
+        nonlocal left_out, links, inside, region
         while len(stack) > at:
-            tag, out, by_name = stack.pop()
+            tag, out, doubtful = stack.pop()
+            opened[tag] -= 1
             left_out -= out
-            if by_name:
-                named.pop()
+            if doubtful:
+                region = around[region]
             links -= tag == "a"
             inside -= tag in _ARTICLE
+        while loose and loose[-1] >= at:
+            loose.pop()
 
     position = 0
     for token in _TOKEN.finditer(html):
@@ -174,44 +214,91 @@ def blocks(html: str, spared: frozenset[int] = frozenset()) -> list[Block]:
             end_block()
         if tag == "br":
             breaks += 1
-            parts.append(" ")
+            parts.setdefault(region, []).append(" ")
             if breaks == 2:
                 end_block()
         elif token[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
+            if opened.get(tag):
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
                 close(at)
         elif tag not in _VOID:
-            if tag == "body":  # a head that was never closed
-                close(next((i for i, (t, *_) in enumerate(stack) if t == "head"), len(stack)))
+            if loose and tag in _ENDS:
+                close(loose[0])
             if tag in ("p", "li", "a", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
             if token[4].rstrip().endswith("/"):
                 continue
-            out, by_name = _left_out(tag, token[4], bool(inside))
-            if by_name:
-                out = regions not in spared
-                by_name = out
-                if out:
-                    named.append(regions)
-                regions += 1
-            elif tag in _ARTICLE and not out and left_out == len(named):
-                holding.update(named)
+            out, kind = _judged(tag, token[4], bool(inside))
+            if kind:
+                around.append(region)
+                kinds.append(kind)
+                holds.append(0)
+                region = len(kinds) - 1
+            elif tag in _ARTICLE and not out and not left_out:
+                mark, at = 1 + (tag == "main"), region
+                while at and not holds[at] & mark:
+                    holds[at] |= mark
+                    at = around[at]
             if tag in _ARTICLE:
                 articles += not inside
                 current = articles
                 inside += 1
-            stack.append((tag, out, by_name))
+            if token.start() in unclosed:
+                loose.append(len(stack))
+            stack.append((tag, out, bool(kind)))
+            opened[tag] = opened.get(tag, 0) + 1
             left_out += out
             links += tag == "a"
     text_between(position, len(html))
     end_block()
-    return blocks(html, frozenset(holding)) if holding else found
+    doubts = [frozenset()]
+    for outer, kind, held in zip(around[1:], kinds[1:], holds[1:]):
+        # Asides hold teasers that are marked as articles.
+        doubts.append(doubts[outer] if held & 2 or (held and kind != "aside") or kind in doubts[outer] else doubts[outer] | {kind})
+    return found, doubts
+
+
+def _outweighing(found: list[Block], labels: list[bool | None], doubts: list[frozenset[str]]) -> frozenset[str]:
+    """The kinds of doubtful regions that are main text, as little other text is decided to be that.
+
+    Without any decided text, long blocks without links stand for it.
+    """
+    for weigh in (lambda b, own: own, lambda b, own: own is None and len(b.text) >= LONG and not b.linked):
+        size: dict[frozenset[str], int] = {}
+        for b, own in zip(found, labels):
+            if weigh(b, own):
+                size[doubts[b.region]] = size.get(doubts[b.region], 0) + len(b.text)
+        if size:
+            break
+    spared: frozenset[str] = frozenset()
+    while True:
+        outside = sum(n for kinds, n in size.items() if kinds <= spared)
+        others = [(n, sorted(kinds)) for kinds, n in size.items() if not kinds <= spared and not kinds & _FIRM]
+        most, kinds = max(others, default=(0, []))
+        if not others or most < OUTWEIGH * outside:
+            return spared
+        spared |= frozenset(kinds)
+
+
+def _before_comments(found: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Whether blocks come before the heading of readers' comments, if main text does, in their article or outside of any."""
+    told: set[int] = set()
+    over: set[int] = set()
+    out = []
+    for b, own in zip(found, labels):
+        if own:
+            told.add(b.article)
+        elif b.article in told and len(b.text) < LONG and _COMMENTS.fullmatch(b.text):
+            over.add(b.article)
+        out.append(b.article not in over)
+    return out
 
 
 def decided(block: Block) -> bool | None:
     """First pass: main text or not, or None where a block alone does not tell."""
-    if block.linked > LINK_DENSITY * len(block.text) or _RIGHTS.match(block.text):
+    if block.linked > LINK_DENSITY * len(block.text) or _RIGHTS.match(block.text) or _ADVERT.fullmatch(block.text):
         return False
     words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
     stops = sum(w in STOP_WORDS for w in words)
@@ -273,8 +360,11 @@ def _chosen(found: list[Block], labels: list[bool | None]) -> set[int]:
 
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; empty if there is none."""
-    found = blocks(html or "")
+    found, doubts = blocks(html or "")
     labels = [decided(b) for b in found]
+    spared = _outweighing(found, labels, doubts)
+    stay = [a and doubts[b.region] <= spared for a, b in zip(_before_comments(found, labels), found)]
+    found, labels = [b for b, own in zip(found, stay) if own], [label for label, own in zip(labels, stay) if own]
     chosen = _chosen(found, labels)
     keep = [bool(own) and len(b.text) >= LONG_OUTSIDE for b, own in zip(found, labels)]
     for part in chosen:
@@ -298,7 +388,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     A null page counts as empty and has the empty text; null ids and urls stay null; repeated rows
     are extracted each. An empty table gives an empty result. Other columns are ignored. Every page
-    is one row of one task, so there is no shuffle.
+    is one row of one task, so there is no shuffle; the work on a page grows with its length, however
+    deep its elements nest and whether they are closed or not.
     """
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = df.select(col(id_col).alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))

@@ -121,3 +121,48 @@ def test_unmarked_boilerplate_in_an_article():
         f"<article><h1>Title</h1><p>{LONG}</p>{advert}<p>Short.</p><p>{LONG}</p>{links}<p>More from us</p>{links}<p>Copyright 2024 The Paper</p></article>"
     ))
     assert text == f"Title\n{LONG}\nShort.\n{LONG}"
+
+
+def test_much_text_outweighs_the_name_of_its_region():
+    story = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = f"Title\n{LONG}\nShort.\n{LONG}"
+    for inner in (
+        f"<form id=aspnetForm><div>{story}</div><div class=comments><p>{LONG}</p></div></form>",
+        f"<form><article>{story}</article></form>",
+        f"<div class='elementor-widget elementor-widget-text-editor'><div class=widget-container>{story}</div></div>",
+        f"<div id='social-post'>{story}</div>",
+        "".join(f"<div class='block-widget'>{part}</div>" for part in re.findall(r"<(?:p|h1)>.*?</(?:p|h1)>", story)),
+        f"<aside><main>{story}</main></aside>",
+        f"<div role=form>{story}<div class=ad><p>{LONG}</p></div></div>",
+    ):
+        assert main_text(page(inner)) == want
+        assert main_text(inner) == want
+    assert main_text(page(f"<div class=comments>{story}</div>")) == ""
+    assert main_text(page(f"<p>{LONG}</p><div class=comments>{story * 9}</div><aside><article>{story}</article></aside>")) == LONG
+
+
+def test_elements_that_are_never_closed():
+    story = f"<h1>Title</h1><p>{LONG}</p>"
+    for tag in ("nav", "button", "menu", "header", "select", "form", "aside"):
+        for body in (f"<div>{story}</div>", f"<article>{story}</article>", f"<nav><a href=/>x</a></nav><section>{story}</section>"):
+            assert main_text(f"<html><body><{tag}><a href=/a>A</a> <a href=/b>B</a>{body}</body></html>") == f"Title\n{LONG}"
+
+
+def test_readers_comments_and_labelled_adverts_in_an_article():
+    advert = f"<p>Advertisement: {LONG}</p>"
+    for heading in ("<h3>12 Comments</h3>", "<p>Comments (3)</p>", "<h2>Leave a reply</h2>", "<h4>Kommentare</h4>"):
+        text = main_text(page(f"<article><h1>Title</h1><p>{LONG}</p>{advert}<p>Sponsored</p><p>No comments so far.</p><p>{LONG}</p>{heading}<p>{LONG}</p></article>"))
+        assert text == f"Title\n{LONG}\nNo comments so far.\n{LONG}"
+
+
+def test_deep_nesting_takes_linear_time():
+    from time import process_time
+
+    def seconds(n):
+        begun = process_time()
+        for open_tags, stray in (("<div>", "</span>"), ("<div class=widget>", "</b>"), ("<form><div class=sidebar><article>", "</p>"), ("<nav>", "</i>")):
+            assert main_text(open_tags * n + f"<p>{LONG}</p>" + stray * n) == LONG
+        return process_time() - begun
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.05)
