@@ -6,7 +6,8 @@ if it has enough words there, else it runs on over line ends. Where no sentence
 words, one of them is taken as a beginning by its hash, so that any 50 equal words hold a paragraph.
 Paragraphs get
 MinHash signatures over runs of five words; bands of them are tuned for recall. Paragraphs that
-meet in a band are verified on exact Jaccard similarity, linked ones are clustered by components,
+meet in a band are held against a bound from parity sketches, which only refuses pairs that cannot be
+alike, then verified on exact Jaccard similarity; linked ones are clustered by components,
 and a cluster that spans documents keeps its paragraphs in the first of them and removes the others.
 
 Paragraphs of one document overlap, so most that meet are neighbours. Two paragraphs that both
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
-from deskloom.llm.common import col, documents, pin, text_of
+from deskloom.llm.common import col, documents, few, pin, text_of
 from deskloom.llm.linking import index_lists, linked_components, verified
 
 WORDS = 5
@@ -35,8 +36,15 @@ PERCENT = 75
 PARAGRAPH = 20
 #: Rows of a band, and the share of pairs at the threshold that must meet. A near copy on one line may
 #: hold one paragraph only, so each pair by itself has to meet.
-ROWS = 2
+ROWS = 1
 RECALL = 0.99
+#: Bits of a paragraph's parity sketch, the upper half of its identity.
+SKETCH = 32
+#: Entries of a band that are compared by their sketches as soon as they are together; those of longer lists
+#: are all kept for the joins behind.
+TOGETHER = 4096
+#: The most sets that tasks are sent to find their places by; beyond that they are joined by a shuffle.
+MOST_SETS = 2_000_000
 #: In any so many words of a document without a beginning of a sentence, the word of the least hash is one.
 #: A first beginning, the least words of a paragraph and the next beginning fit in 2 * 15 + 20 words.
 BREAK = 15
@@ -86,7 +94,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
         runs += hashes[i : i + len(runs)] * f
     runs = H.mix(runs + np.uint64(k))
     document = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    empty = {c: np.empty(0, np.int64) for c in ("document", "start", "end", "words", "at")} | {"digest": np.empty(0, np.uint64), "runs": runs}
+    empty = {c: np.empty(0, np.int64) for c in ("document", "start", "end", "words", "at", "size")} | {"digest": np.empty(0, np.uint64), "runs": runs}
     if n < least:
         return empty
     inside = H.word_mask(data)
@@ -117,7 +125,27 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
         return empty
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(H.mix(runs ^ np.uint64(0x5BD1E995)))))
     digest = H.mix(total[stop - k + 1] - total[at] + (stop - at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return {"document": document[at], "start": starts[at], "end": ends[stop - 1], "words": stop - at, "at": at, "digest": digest, "runs": runs}
+    sketch, size = _sketches(runs, at, stop - k + 1)
+    digest = sketch << np.uint64(32) | digest >> np.uint64(32)
+    return {"document": document[at], "start": starts[at], "end": ends[stop - 1], "words": stop - at, "at": at, "size": size, "digest": digest, "runs": runs}
+
+
+def _sketches(runs: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per paragraph a parity sketch of ``SKETCH`` bits of its distinct runs of words, and their number."""
+    bits = np.uint64(1) << (runs >> np.uint64(20)) % np.uint64(SKETCH)
+    up_to = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)))
+    sketch, size = up_to[end] ^ up_to[at], end - at
+    order = np.argsort(runs, kind="stable")
+    again = np.flatnonzero(runs[order[1:]] == runs[order[:-1]])
+    if len(again):
+        before = np.full(len(runs) + 1, -1)  # where the same run was last
+        before[order[again + 1]] = order[again]
+        span = np.empty(2 * len(at), np.int64)
+        span[::2], span[1::2] = at, end
+        for i in np.flatnonzero(np.maximum.reduceat(before, span)[::2] >= at):
+            _, once = np.unique(runs[at[i] : end[i]], return_index=True)
+            sketch[i], size[i] = np.bitwise_xor.reduce(bits[at[i] + once]), len(once)
+    return sketch, size
 
 
 def band_keys(found: dict[str, np.ndarray], count: int, rows: int, k: int) -> np.ndarray:
@@ -136,7 +164,7 @@ def band_keys(found: dict[str, np.ndarray], count: int, rows: int, k: int) -> np
 
 
 def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """``token, set, source`` per band of a paragraph; equal paragraphs of a task for two documents at most."""
+    """``token, set, source, size`` per band of a paragraph; equal paragraphs of a task for two documents at most."""
     seen: dict[int, int | None] = {}  # the first document; none after the second
     for batch in batches:
         keys = batch.column("doc_key").to_numpy()
@@ -152,11 +180,12 @@ def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, r
                     seen[digest] = None
                     fresh[i] = True
             if fresh.any():
-                part = {c: found[c][fresh] for c in ("at", "words", "digest")} | {"runs": found["runs"]}
+                part = {c: found[c][fresh] for c in ("at", "words", "size", "digest")} | {"runs": found["runs"]}
                 tokens = band_keys(part, count, rows, k)
                 yield pa.record_batch([
                     pa.array(H.signed(tokens.reshape(-1))), pa.array(H.signed(np.repeat(part["digest"], count))), pa.array(np.repeat(source[fresh], count)),
-                ], names=["token", "set", "source"])
+                    pa.array(np.repeat(part["size"], count).astype(np.int32)),
+                ], names=["token", "set", "source", "size"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -192,17 +221,106 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iter
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["set", "text"])
 
 
+def _close(sets: np.ndarray, sources: np.ndarray, sizes: np.ndarray, i, j, percent: int) -> np.ndarray:
+    """``_fits`` of the entries ``i`` and ``j``."""
+    apart = np.bitwise_count((sets[i] ^ sets[j]) >> np.uint64(64 - SKETCH)).astype(np.int64)
+    return (sources[i] != sources[j]) & ((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j]))
+
+
+def _any_close(starts: np.ndarray, ends: np.ndarray, sets: np.ndarray, sources: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries fit any other one of their list; lists run from ``starts`` to ``ends``."""
+    met = np.zeros(len(sets), bool)
+    last = np.repeat(ends, ends - starts)
+    place = np.arange(len(sets))
+    far = int((ends - starts).max(initial=0))
+    for step in range(1, min(far, 33)):
+        i = place[place + step < last]
+        i = i[_close(sets, sources, sizes, i, i + step, percent)]
+        met[i] = met[i + step] = True
+    for start, end in zip(starts[ends - starts > 33], ends[ends - starts > 33]):
+        own = np.arange(start, end)
+        for block in range(start, end, 256):
+            met[block : min(block + 256, end)] |= _close(sets, sources, sizes, own[block - start :][:256, None], own[None, :], percent).any(axis=1)
+    return met
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of entries in the order of token, set and source: each set of a list once, for its least source, if
+    the set has several sources (``again``) or fits another one of its list (``met``)."""
+    names = ["token", "set", "source", "size"]
+    held = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+    long = None  # token of a list that is passed on as it comes
+
+    def told(part: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        token, sets, sources, sizes = part
+        new = np.append(True, (token[1:] != token[:-1]) | (sets[1:] != sets[:-1]))
+        first = np.flatnonzero(new)
+        again = np.maximum.reduceat(sources != sources[first][np.cumsum(new) - 1], first)
+        token, sets, sources, sizes = (x[first] for x in part)
+        if whole:
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            met = _any_close(starts, np.append(starts[1:], len(token)), sets, sources, sizes, percent)
+        else:
+            met = np.ones(len(token), bool)
+        keep = again | met
+        columns = [H.signed(token[keep]), H.signed(sets[keep]), sources[keep], sizes[keep].astype(np.int32), again[keep], met[keep]]
+        return pa.record_batch([pa.array(c) for c in columns], names=[*names, "again", "met"])
+
+    for batch in batches:
+        fresh = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        fresh = [fresh[0].view(np.uint64), fresh[1].view(np.uint64), fresh[2], fresh[3].astype(np.int64)]
+        held = [np.concatenate(pair) for pair in zip(held, fresh)]
+        token = held[0]
+        if not len(token):
+            continue
+        if long is not None:
+            end = int((token == long).sum())  # its rows come first
+            if end == len(token):
+                if end > TOGETHER:  # but for the last set, whose other sources may follow
+                    end = int(np.flatnonzero(held[1] != held[1][-1])[-1:].sum() + 1) if held[1][0] != held[1][-1] else 0
+                    if end:
+                        yield told([x[:end] for x in held], False)
+                        held = [x[end:] for x in held]
+                    else:
+                        held = _least_and_other(held)
+                continue
+            if end:
+                yield told([x[:end] for x in held], False)
+                held = [x[end:] for x in held]
+                token = held[0]
+            long = None
+        end = int(np.flatnonzero(token != token[-1])[-1:].sum() + 1) if token[0] != token[-1] else 0
+        if end:
+            yield told([x[:end] for x in held], True)
+            held = [x[end:] for x in held]
+        if len(held[0]) > TOGETHER:
+            long = held[0][0]
+    if len(held[0]):
+        yield told(held, long is None)
+
+
+def _least_and_other(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Of one set's rows in the order of their sources, the first and one of another source, if any."""
+    return [x[np.unique([0, len(x) - 1])] for x in rows]
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    """Whether two paragraphs of different documents could be alike: where their sketches differ, only one has a run."""
+    return f"""{a}source <> {b}source
+        and {100 + percent} * bit_count(shiftrightunsigned({a}set ^ {b}set, {64 - SKETCH})) <= {100 - percent} * ({a}size + {b}size)"""
+
+
 def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in H.slices(batch, column):
         yield from H.distinct_sets(data, offsets, k)
 
 
-def _linked(docs: DataFrame, places: DataFrame, least: int, k: int, percent: int, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, owners: DataFrame, least: int, k: int, percent: int, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    chosen = places.join(ends, "set", "left_semi").groupBy("set").agg(F.min("doc_key").alias("doc_key"))
+    chosen = owners.join(ends, "set", "left_semi")
     wanted = pin(chosen.groupBy("doc_key").agg(F.collect_set("set").alias("wanted")), "wanted")  # a document's own paragraphs
-    texts = docs.select("doc_key", "text").join(wanted, "doc_key").select("text", "wanted")
-    found = texts.mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string")
+    texts = docs.select("doc_key", "text").join(few(wanted.select("doc_key")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    found = texts.join(wanted, "doc_key").select("text", "wanted").mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string")
     return verified(pairs, pin(found, "paragraph-texts"), percent, partial(_sets, k=k))
 
 
@@ -223,18 +341,21 @@ def repeated_passages(
     docs = df.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     count = bands(percent, rows, recall)
     entries = docs.select("doc_key", "text").mapInArrow(
-        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long, source long"
+        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long, source long, size int"
     )
-    met = pin(index_lists(entries, F.lit(0), "source"), "band-lists")
-    active = pin(met.select("set").distinct(), "active")
+    in_order = entries.repartition("token").sortWithinPartitions("token", "set", "source")
+    met = pin(in_order.mapInArrow(partial(_meeting, percent=percent), "token long, set long, source long, size int, again boolean, met boolean"), "met")
+    lists = pin(index_lists(met.where("met").select("token", "set", "source", "size"), F.lit(0), "source"), "band-lists")
+    owners = pin(met.groupBy("set").agg(F.min("source").alias("doc_key")), "owners")
+    labels = linked_components(
+        lists.where("n > 1"), partial(_fits, percent=percent), lambda probes: probes, [], partial(_linked, docs, owners, least, words, percent)
+    )
+    active = pin(met.where("again").select("set").union(labels.select(F.col("node").alias("set"))).distinct(), "active")
     places = pin(
         docs.select("doc_key", "text").mapInArrow(partial(_occurrences, least=least, k=words), "doc_key long, set long, start int, end int")
-        .join(active, "set", "left_semi").distinct(),
+        .join(few(active, MOST_SETS), "set", "left_semi").distinct(),
         "places",
     )
-    labels = linked_components(
-        met.where("n > 1"), lambda a, b: f"{a}source <> {b}source", lambda probes: probes, [], partial(_linked, docs, places, least, words, percent)
-    )
     clustered = places.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("cluster", F.coalesce("comp", "set"))
     ids = docs.select("doc_key", "doc_id").distinct()
     clustered = pin(clustered.select("doc_key", "cluster", "start", "end").join(ids, "doc_key"), "clustered")

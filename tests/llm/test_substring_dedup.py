@@ -209,3 +209,121 @@ def test_bands_find_what_brute_force_finds():
                         met += bool((keys[i] == keys[j]).any())
     print(f"{met} of {close} pairs")
     assert close > 500 and met >= 0.99 * close
+
+
+@pytest.mark.parametrize("together", [4096, 40, 3])
+def test_lists_are_filtered_as_by_brute_force(monkeypatch, together):
+    import deskloom.llm.substring_dedup as S
+
+    monkeypatch.setattr(S, "TOGETHER", together)
+    rng = random.Random(together)
+    rows = set()
+    sizes = {}
+    for token in range(-60, 60):
+        centre = rng.randrange(1 << 32)
+        for _ in range(rng.choice([1, 1, 2, 3, 8, 60, 150])):
+            sketch = centre
+            for _ in range(rng.choice([0, 1, 3, 9])):
+                sketch ^= 1 << rng.randrange(32)
+            key = sketch << 32 | rng.randrange(3)
+            key -= (key >> 63) << 64
+            rows.update((token, key, rng.randrange(40), sizes.setdefault(key, rng.randrange(16, 30))) for _ in range(rng.choice([1, 1, 2, 30])))
+    rows = sorted(rows)
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + 37])], names=["token", "set", "source", "size"]) for i in range(0, len(rows), 37)]
+    got = {}
+    for b in S._meeting(iter(batches), 75):
+        for r in b.to_pylist():
+            assert (r["token"], r["set"]) not in got  # once
+            got[r["token"], r["set"]] = (r["source"], r["size"], r["again"], r["met"])
+    lists = {}
+    for token, key, source, size in rows:
+        lists.setdefault(token, {}).setdefault(key, []).append((source, size))
+    for token, own in lists.items():
+        whole = sum(map(len, own.values())) <= together
+        for key, places in own.items():
+            least = min(places)[0]
+            again = len({s for s, _ in places}) > 1
+            met = any(
+                min(others)[0] != least and 175 * ((key ^ other) >> 32 & 0xFFFFFFFF).bit_count() <= 25 * (places[0][1] + others[0][1])
+                for other, others in own.items() if other != key
+            )
+            found = got.get((token, key))
+            if whole:
+                assert found == ((least, places[0][1], again, met) if again or met else None)
+            elif again or met:
+                assert found[:3] == (least, places[0][1], again) and (found[3] or not met)
+
+
+def test_sketches_never_refuse_what_is_alike():
+    texts = []
+    for _ in range(200):
+        words = [RNG.choice("abc") for _ in range(RNG.randrange(20, 34))] if RNG.random() < 0.5 else plain_words(RNG.randrange(20, 34))
+        texts.append(" ".join(words))
+        words[RNG.choice([0, -1, 10])] = "z"
+        texts.append(" ".join(words))
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    (_, _, data, offsets), = H.slices(batch, "text")
+    found = paragraphs(data, offsets, 20, 5, over_lines=True)
+    sets = [set(found["runs"][a : a + n - 4].tolist()) for a, n in zip(found["at"], found["words"])]
+    assert [len(s) for s in sets] == found["size"].tolist()
+    alike = 0
+    for i in range(len(sets)):
+        for j in range(i + 1, min(i + 8, len(sets))):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                alike += 1
+                differ = (int(found["digest"][i]) ^ int(found["digest"][j])) >> 32
+                assert 175 * differ.bit_count() <= 25 * (len(sets[i]) + len(sets[j]))
+    assert alike > 50
+
+
+def test_spans_and_clusters_equal_brute_force(spark):
+    """Variants of neighbouring paragraphs in many documents, against all pairs of paragraphs."""
+    docs = [" ".join(sentence(RNG.randrange(7, 12)) for _ in range(8)) for _ in range(48)]
+    for _ in range(3):
+        passage = [sentence(RNG.randrange(7, 12)) for _ in range(9)]
+        for d in RNG.sample(range(48), 14):
+            words = " ".join(passage).split()
+            for _ in range(RNG.choice([0, 0, 1, 2])):
+                words[RNG.randrange(1, len(words))] = f"z{RNG.randrange(10**6)}"
+            docs[d] += RNG.choice([" ", "\n"]) + " ".join(words) + " " + sentence(9)
+    batch = pa.record_batch([pa.array(docs)], names=["text"])
+    places, sets = [], {}
+    (_, _, data, offsets), = H.slices(batch, "text")
+    found = paragraphs(data, offsets, 20, 5, over_lines=True)
+    for d, a, b, at, n in zip(*(found[c].tolist() for c in ("document", "start", "end", "at", "words"))):
+        words = tuple(data[a:b].tobytes().decode().lower().split())
+        places.append((d, a - int(offsets[d]), b - int(offsets[d]), words))
+        sets[words] = {words[i : i + 5] for i in range(n - 4)}
+    owners = {}
+    for d, _, _, words in places:
+        owners.setdefault(words, set()).add(d)
+    comp = {w: w for w in sets}
+
+    def root(w):
+        while comp[w] != w:
+            w = comp[w]
+        return w
+
+    keys = list(sets)
+    for i, x in enumerate(keys):
+        for y in keys[i + 1 :]:
+            shared = len(sets[x] & sets[y])
+            if not owners[x] & owners[y] and 100 * shared >= 75 * len(sets[x] | sets[y]):
+                comp[root(x)] = root(y)
+    members = {}
+    for d, _, _, words in places:
+        members.setdefault(root(words), set()).add(d)
+    want = set()
+    for d in range(len(docs)):
+        for removed in (False, True):
+            own = sorted((a, b) for e, a, b, w in places if e == d and len(members[root(w)]) > 1 and (min(members[root(w)]) != d) == removed)
+            islands = []
+            for a, b in own:
+                if islands and a <= islands[-1][1]:
+                    islands[-1][1] = max(islands[-1][1], b)
+                else:
+                    islands.append([a, b])
+            want |= {(d, a, b, removed) for a, b in islands}
+    rows = repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert len(want) > 40 and {(r["doc_id"], r["span_start"], r["span_end"], r["removed"]) for r in rows} == want
