@@ -37,7 +37,7 @@ PARAGRAPH = 20
 #: Rows of a band, and the share of pairs at the threshold that must meet. A near copy on one line may
 #: hold one paragraph only, so each pair by itself has to meet.
 ROWS = 1
-RECALL = 0.99
+RECALL = 0.999
 #: Bits of a paragraph's parity sketch, the upper half of its identity.
 SKETCH = 32
 #: Entries of a band that are compared by their sketches as soon as they are together; those of longer lists
