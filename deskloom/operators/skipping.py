@@ -9,7 +9,10 @@ bitmaps are written beside the table when an upload is appended, and replaced wi
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,14 @@ from deskloom.functions.text import fold, literal_runs
 from deskloom.operators import filters as FI
 from deskloom.operators.ingest import append_tickets
 from deskloom.operators.schema_ops import read_field
+from deskloom.session import ship
 
 #: Positions of a file's bitmap, kept in parts of 32,768.
 POSITIONS = 1 << 20
 #: With more files to read than this, the whole table is read.
 MOST_FILES = 10_000
+#: Trigrams of a file's texts of one kind that a task remembers, a power of two.
+SEEN = 1 << 18
 
 _TEXTS = {
     "search": FI.haystack,
@@ -29,12 +35,47 @@ _TEXTS = {
 }
 
 
-def _trigrams(text: Column) -> Column:
-    chars = F.split(text, "")
-    last = F.size(chars) - 3
-    at = lambda i, k: F.get(chars, i + k)
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(at(i, 0), at(i, 1), at(i, 2)))
-    return F.when(last >= 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def _codes(texts: list[str]) -> np.ndarray:
+    """Every run of three characters of each text, as one number."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(chars) < 3:
+        return np.empty(0, np.uint64)
+    inside = np.ones(len(chars), bool)
+    ends = np.cumsum([len(t) for t in texts])
+    for back in (1, 2):  # runs from a text's last two characters would reach into the next text
+        inside[np.maximum(ends - back, 0)[ends >= back]] = False
+    inside = inside[:-2]
+    return (chars[:-2] << np.uint64(42) | chars[1:-1] << np.uint64(21) | chars[2:])[inside]
+
+
+def _as_texts(codes: np.ndarray) -> list[str]:
+    mask = np.uint64((1 << 21) - 1)
+    chars = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & mask, codes & mask], axis=1).astype("<u4")
+    text = chars.tobytes().decode("utf-32-le")
+    return [text[i : i + 3] for i in range(0, len(text), 3)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, kind, trigram`` of rows with ``file`` and a text per kind.
+
+    A trigram comes once per batch at most, and not again while the task remembers it for its file.
+    """
+    seen, current = {}, None
+    for batch in batches:
+        files = batch.column("file").dictionary_encode()
+        places = files.indices.to_numpy()
+        starts = np.append(0, np.flatnonzero(places[1:] != places[:-1]) + 1) if len(places) else []
+        for start, end in zip(starts, [*starts[1:], len(places)]):
+            file = files.dictionary[int(places[start])].as_py()
+            if file != current:
+                current, seen = file, {kind: np.full(SEEN, ~np.uint64(0)) for kind in _TEXTS}
+            for kind, known in seen.items():
+                codes = _codes(batch.column(kind).slice(start, end - start).to_pylist())
+                slot = codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40) & np.uint64(SEEN - 1)
+                new, first = np.unique(codes[known[slot] != codes], return_index=True)
+                known[slot[known[slot] != codes][first]] = new
+                if len(new):
+                    yield pa.record_batch([pa.array([file] * len(new)), pa.array([kind] * len(new)), pa.array(_as_texts(new))], names=["file", "kind", "trigram"])
 
 
 def _position(trigram: Column) -> Column:
@@ -47,9 +88,10 @@ def _bits_path(path: str) -> str:
 
 def bitmaps(stored: DataFrame) -> DataFrame:
     """``file, kind, part, bits`` of rows with their ``file``: set bits of a part of the positions."""
-    texts = F.array(*[F.struct(F.lit(kind).alias("kind"), text(stored).alias("text")) for kind, text in _TEXTS.items()])
-    rows = stored.select("file", F.explode(texts).alias("t")).select("file", "t.kind", F.explode(_trigrams(F.col("t.text"))).alias("trigram"))
-    placed = rows.select("file", "kind", _position(F.col("trigram")).alias("p"))
+    ship(stored.sparkSession)
+    texts = stored.select("file", *[text(stored).alias(kind) for kind, text in _TEXTS.items()])
+    runs = texts.mapInArrow(_runs, "file string, kind string, trigram string")
+    placed = runs.select("file", "kind", _position(F.col("trigram")).alias("p"))
     return placed.groupBy("file", "kind", F.bitmap_bucket_number("p").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
     )
@@ -69,7 +111,8 @@ def append_indexed(df: DataFrame, path: str, upload_id: str) -> None:
 
 def _needed(spark: SparkSession, runs: list[str]) -> dict[int, list[int]]:
     """Bits of each part that a text with all these runs must have."""
-    cut = spark.createDataFrame([(r,) for r in runs], "r string").select(F.explode(_trigrams(F.col("r"))).alias("t"))
+    found = {r[i : i + 3] for r in runs for i in range(len(r) - 2)}
+    cut = spark.createDataFrame([(t,) for t in found], "t string")
     p = _position(F.col("t"))
     parts = defaultdict(list)
     for row in cut.select(F.bitmap_bucket_number(p).alias("part"), F.bitmap_bit_position(p).alias("bit")).distinct().collect():

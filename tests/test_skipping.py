@@ -1,7 +1,9 @@
 """Searches over stored tables: the same rows as without bitmaps, from fewer files."""
 
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,35 @@ def test_files_without_bitmaps_are_read(spark, tmp_path, monkeypatch):
 
 def test_literal_runs():
     assert literal_runs("%ab_c\\%d%%\\\\e\\f_") == ["ab", "c%d", "\\ef"]
+
+
+def test_bitmaps_of_long_texts_hold_their_trigrams_and_take_time_in_proportion(spark, monkeypatch):
+    rng = random.Random(5)
+    long = ["".join(rng.choices("abcé😀 xyz", k=5000)) for _ in range(40)] + ["", "a", "ab", "abc"]
+    names = [None, "ab", *(t[:k] for t, k in zip(long[:40], range(40)))] + [""] * 2
+    made = [(i, n, None, None, None, None, None, c, None, None) for i, (n, c) in enumerate(zip(names, long))]
+    stored = spark.createDataFrame(made, KIND).withColumn("file", F.concat(F.lit("f"), F.floor(F.col("ticket_no") / 20)))
+    texts = {"store": lambda r: (r["store_name"] or "").lower().replace("é", "e")}
+    plain = {(r["ticket_no"]): r["h"] for r in stored.select("ticket_no", FI.haystack(stored).alias("h")).collect()}
+    wanted = set()
+    for r in stored.drop("concern").collect():
+        for kind, text in (("store", texts["store"](r)), ("search", plain[r["ticket_no"]])):
+            wanted |= {(r["file"], kind, text[i : i + 3]) for i in range(len(text) - 2)}
+    placed = spark.createDataFrame(list(wanted), "file string, kind string, t string").withColumn("p", SK._position(F.col("t")))
+    placed = placed.select("file", "kind", F.bitmap_bucket_number("p"), F.bitmap_bit_position("p")).collect()
+    began = time.time()
+    found = SK.bitmaps(stored.repartition(2, "file")).collect()
+    assert time.time() - began < 20  # cutting each text anew for each of its characters took minutes
+    bits = {(r["file"], r["kind"], r["part"], 8 * i + b) for r in found for i, byte in enumerate(r["bits"]) for b in range(8) if byte >> b & 1}
+    assert bits == {tuple(r) for r in placed}
+
+
+@pytest.mark.parametrize("seen", [1, 4, SK.SEEN])
+def test_trigrams_that_a_task_forgets_come_again(monkeypatch, seen):
+    monkeypatch.setattr(SK, "SEEN", seen)
+    texts = ["abcabc", "", "ab", "é😀x\0\0", "bcab", "😀x\0"]
+    batch = pa.record_batch({"file": ["f", "f", "g", "g", "f", "f"], "search": texts, "store": texts[::-1]})
+    found = [(r["file"], r["kind"], r["trigram"]) for b in SK._runs(iter([batch, batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    assert set(found) == {
+        (r["file"], kind, r[kind][i : i + 3]) for r in batch.to_pylist() for kind in ("search", "store") for i in range(len(r[kind]) - 2)
+    }
