@@ -9,7 +9,7 @@ from deskloom import schema as S
 from deskloom.functions.legacy import pack_legacy
 from deskloom.functions.status import status_choice, status_store, status_transition
 from deskloom.functions.text import clean
-from deskloom.operators.claims import refused, same_edit
+from deskloom.operators.claims import refused_rows
 from deskloom.operators.ingest import too_wide
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type, key_column, quoted, read_field, write_column
@@ -17,6 +17,9 @@ from deskloom.session import pin
 
 _TAKEN = "Duplicate entry for column job_order"
 
+#: The most bitmaps of 4 kB that tasks are sent; beyond that they are joined by a shuffle.
+MOST_BITMAPS = 16_384
+
 # Edit column to the ticket column whose declared width limits it.
 _LIMITED = {
     "store_name": "store_name",
@@ -48,15 +51,23 @@ def check_edits(edits: DataFrame) -> DataFrame:
     return cleaned.withColumn("error", error).drop("_fee")
 
 
-def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
-    """Checked edits, refused too where the ticket table itself would refuse them.
+def _flag(df: DataFrame, rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` and a condition that tells whether its ``_row`` is among ``rows``.
 
-    A job order has one ticket. An edit is refused if another ticket has its job order when its turn
-    comes; one that is given up can be taken by a later edit of the batch. Edits that leave a
-    ticket's job order as it is are never refused for it. Without a concern column, the block that
-    holds the concern has a width as well. Edits are cleaned once and written; claims are decided on
-    their keys and job orders only.
+    The rows travel as one bitmap per 32,768 row numbers, which is broadcast, so ``df`` is not shuffled.
     """
+    numbered = rows.select("_row", F.bitmap_bucket_number("_row").alias("_bucket")).repartition("_bucket")
+    bits = pin(numbered.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_row")).alias("_bits")), "row-bits")
+    few = F.broadcast(bits) if bits.limit(MOST_BITMAPS + 1).count() <= MOST_BITMAPS else bits
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number("_row")).join(few, "_bucket", "left")
+    position = F.bitmap_bit_position("_row")
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), position % 8).cast("int")
+    return joined, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))
+
+
+def _judged(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """``judge_edits``, with the number of each row as ``_row`` if they are written."""
     checked = check_edits(edits)
     if write_column(tickets, "concern") is None:
         block = pack_legacy(F.col("contact_number"), F.col("reported_concern"), F.col("assigned_to"))
@@ -65,15 +76,24 @@ def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataF
     job_order, key = write_column(tickets, "job_order"), key_column(tickets)
     if job_order is None:
         return checked
-    checked = pin(checked, "checked-edits", split_bytes=4 << 20)
+    checked = pin(checked.withColumn("_row", F.monotonically_increasing_id()), "checked-edits", split_bytes=4 << 20)
     own = tickets.select(quoted(key).alias(key), clean(quoted(job_order)).alias("job_order"))
-    asks = checked.where(F.col("error").isNull())
-    taken = refused(asks, own, key, order, "job_order").distinct()
-    told = taken.withColumn("_taken", F.lit(True))
-    same = same_edit(checked, told, [key, *order, "job_order"])
-    judged = checked.join(told.select(*[F.col(c) for c in (key, *order, "job_order", "_taken")]), same, "left")
-    error = F.when(checked["error"].isNull() & told["_taken"], _TAKEN).otherwise(checked["error"])
-    return judged.select(*[checked[c] for c in checked.columns if c != "error"], error.alias("error"))
+    taken = refused_rows(checked.where(F.col("error").isNull()), own, key, order, "job_order")
+    judged, told = _flag(checked, taken)
+    error = F.when(F.col("error").isNull() & told, _TAKEN).otherwise(F.col("error"))
+    return judged.select(*[F.col(c) for c in checked.columns if c != "error"], error.alias("error"))
+
+
+def judge_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
+    """Checked edits, refused too where the ticket table itself would refuse them.
+
+    A job order has one ticket. An edit is refused if another ticket has its job order when its turn
+    comes; one that is given up can be taken by a later edit of the batch. Edits that leave a
+    ticket's job order as it is are never refused for it. Without a concern column, the block that
+    holds the concern has a width as well. Edits are cleaned once and written; claims are decided on
+    their keys and job orders only, and come back as bitmaps of row numbers.
+    """
+    return _judged(tickets, edits, order).drop("_row")
 
 
 def last_edits(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -117,7 +137,14 @@ def _editable(tickets: DataFrame) -> dict[str, Column]:
 def accepted_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
     """The last accepted edit per key, as key and struct ``edit``."""
     key = key_column(tickets)
-    last = last_edits(judge_edits(tickets, edits, order), key, order)
+    judged = _judged(tickets, edits, order)
+    if "_row" in judged.columns:
+        # The last ones are found by their row numbers, so that only they travel with all their columns.
+        rows = last_edits(judged.select(key, *order, "_row", "error"), key, order).select("_row")
+        chosen, is_last = _flag(judged, rows)
+        last = chosen.where(is_last).drop("_bucket", "_bits", "_row", "error")
+    else:
+        last = last_edits(judged, key, order)
     return last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
 
 
