@@ -44,14 +44,17 @@ def _touched(keys: DataFrame, key: str, width: int) -> list[int]:
 
 
 def _replace(stored: DataFrame, path: str, touched: list[int], new: DataFrame) -> None:
-    """Replace the touched ranges by ``new``; ranges without any row left are removed."""
-    new = pin(new, "touched-ranges")
+    """Replace the touched ranges by ``new``, written once; ranges without any row left are removed.
+
+    Spark puts new rows beside the table until all are complete, so ``new`` may read the table itself.
+    """
+    spark, before = stored.sparkSession, set(stored.inputFiles())
     _store(new, path)
-    left = {r[0] for r in new.select(RANGE).distinct().collect()}
-    spark = stored.sparkSession
-    for number in set(touched) - left:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RANGE}={number}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    written = {f.rsplit(f"/{RANGE}=", 1)[1].split("/")[0] for f in spark.read.parquet(path).inputFiles() if f not in before}
+    for number in touched:
+        if str(number) not in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RANGE}={number}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def update_ranged(spark: SparkSession, path: str, edits: DataFrame, order: list[str], width: int = WIDTH) -> list[int]:

@@ -72,3 +72,15 @@ def test_a_batch_of_nothing_writes_nothing(spark, tickets, tmp_path):
     before = files(path)
     assert RG.update_ranged(spark, path, edits_of(spark, [(5000, 1, "x", "y")]), ["seq"]) == []
     assert files(path) == before
+
+
+def test_touched_rows_are_written_once(spark, tickets, tmp_path, monkeypatch):
+    path, pinned = str(tmp_path / "entries"), []
+    monkeypatch.setattr(RG, "pin", lambda df, name, plain=RG.pin: pinned.append(name) or plain(df, name))
+    RG.write_ranged(tickets, path, width=100)
+    RG.update_ranged(spark, path, edits_of(spark, [(150, 1, "new", "jo-0150")]), ["seq"], width=100)
+    keys = tickets.where("ticket_no < 250 or ticket_no = 999").select("ticket_no")
+    assert RG.delete_ranged(spark, path, keys, width=100) == [0, 1, 2, 9]
+    assert pinned == ["last-edits"]
+    assert by_range(files(path)) == set(range(2, 11)) and RG.read_ranged(spark, path).count() == 750
+    assert RG.delete_ranged(spark, path, tickets.select("ticket_no"), width=100) == list(range(2, 11)) and files(path) == {}
