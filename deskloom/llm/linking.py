@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import pin
+from deskloom.llm.common import few, pin
 from deskloom.llm.components import components
 
 
@@ -49,13 +49,15 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    lists: DataFrame, fits: Callable[[str, str], str], probe: Callable[[DataFrame], DataFrame], keys: list[str], link: Callable[[DataFrame], DataFrame]
+    lists: DataFrame, fits: Callable[[str, str], str], probe: Callable[[DataFrame], DataFrame], keys: list[str], link: Callable[[DataFrame], DataFrame],
+    details: DataFrame | None = None, fits_closely: Callable[[str, str], str] | None = None,
 ) -> DataFrame:
     """``node, comp`` of every set with a link, from written ``index_lists``.
 
     ``fits(a, b)`` is the condition, in the entries' columns with these prefixes, under which a
     pair of a list may link. ``probe(entries)`` prepares entries, with columns prefixed ``p``, to
     meet others on ``keys``; ``link(pairs)`` gives the pairs ``a < b`` that do link.
+    ``details`` may have more columns per set, for ``fits_closely``, a stricter ``fits`` of the pairs without a leader.
     """
     columns = [c for c in lists.columns if c not in ("token", "set", "again", "n", "lead")]
     star = lists.where("set <> lead.set").select("set", *columns, F.col("lead.set").alias("pset"), *[F.col(f"lead.{c}").alias(f"p{c}") for c in columns])
@@ -71,14 +73,18 @@ def linked_components(
         .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")}).drop("lead")
     )
     named = pin(named, "named")
+    if details is not None:
+        open_lists = pin(named.where("comp <> led").select("token").distinct(), "open-lists")
+        columns += [c for c in details.columns if c != "set"]
+        named = pin(named.join(few(open_lists), "token", "left_semi").join(details, "set"), "detailed")
     apart = named.where("comp <> led").drop("led")
     probes = probe(apart.withColumnsRenamed({c: f"p{c}" for c in ("set", "comp", *columns)}))
     # Two probes of a list meet once, in the order of their sets.
-    met = named.join(probes, ["token", *keys]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {fits('', 'p')}")
+    met = named.join(probes, ["token", *keys]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {(fits_closely or fits)('', 'p')}")
     second = pin(_pairs(met).join(first, ["a", "b"], "left_anti"), "second-pairs")
     if second.isEmpty():
         return labels
-    return components(links.union(link(second)))
+    return components(links.union(pin(link(second), "second-links")))
 
 
 def _judged(batches: Iterator[pa.RecordBatch], percent: int, sets: Callable[[pa.RecordBatch, str], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
 from deskloom.llm.common import col, documents, few, pin, text_of
-from deskloom.llm.linking import index_lists, linked_components, verified
+from deskloom.llm.linking import index_lists, linked_components
 
 WORDS = 5
 PERCENT = 75
@@ -50,6 +50,11 @@ MOST_SETS = 2_000_000
 BREAK = 15
 #: Signs that may follow the mark that ends a sentence.
 _CLOSING = [c.encode() for c in "\"')]}\u201d\u2019\u00bb"]
+_ENDS_CLOSING = np.isin(np.arange(256), [c[-1] for c in _CLOSING])
+_ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
+#: An entry of a band beside its token and source.
+_ENTRY = np.dtype([("set", "<u8"), ("size", "<u4")])
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def bands(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -60,14 +65,17 @@ def bands(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> i
 def _sentence_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether words end in a mark, closing quotes and brackets behind it aside."""
     last = ends - 1
+    at = np.flatnonzero(_ENDS_CLOSING[data[last]])
+    own, first = last[at], starts[at]
     for _ in range(4):
         for sign in _CLOSING:
             size = len(sign)
-            hit = last - size >= starts
+            hit = own - size >= first
             for i, byte in enumerate(sign):
-                hit &= data[np.maximum(last - size + 1 + i, 0)] == byte
-            last = np.where(hit, last - size, last)
-    return np.isin(data[last], np.frombuffer(b".!?", np.uint8))
+                hit &= data[np.maximum(own - size + 1 + i, 0)] == byte
+            own = np.where(hit, own - size, own)
+    last[at] = own
+    return _ENDS_SENTENCE[data[last]]
 
 
 def _picked(hashes: np.ndarray, document: np.ndarray, marked: np.ndarray, window: int) -> np.ndarray:
@@ -76,8 +84,8 @@ def _picked(hashes: np.ndarray, document: np.ndarray, marked: np.ndarray, window
     if len(hashes) >= window:
         count = np.concatenate(([0], np.cumsum(marked)))
         at = np.flatnonzero((count[window:] == count[:-window]) & (document[window - 1 :] == document[: len(document) - window + 1]))
-        least = np.lib.stride_tricks.sliding_window_view(H.mix(hashes), window).argmin(axis=1)
-        out[at + least[at]] = True
+        least = np.lib.stride_tricks.sliding_window_view(H.mix(hashes), window)[at].argmin(axis=1)
+        out[at + least] = True
     return out
 
 
@@ -130,21 +138,35 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
     return {"document": document[at], "start": starts[at], "end": ends[stop - 1], "words": stop - at, "at": at, "size": size, "digest": digest, "runs": runs}
 
 
+def _spread(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some spans one after another, and where each span starts among them."""
+    ends = np.cumsum(end - at)
+    starts = ends - (end - at)
+    return starts, np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - starts, end - at)
+
+
 def _sketches(runs: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per paragraph a parity sketch of ``SKETCH`` bits of its distinct runs of words, and their number."""
     bits = np.uint64(1) << (runs >> np.uint64(20)) % np.uint64(SKETCH)
     up_to = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)))
     sketch, size = up_to[end] ^ up_to[at], end - at
-    order = np.argsort(runs, kind="stable")
-    again = np.flatnonzero(runs[order[1:]] == runs[order[:-1]])
-    if len(again):
+    order = np.argsort(runs)
+    same = runs[order[1:]] == runs[order[:-1]]
+    if same.any():
+        several = np.append(same, False) | np.append(False, same)
+        which, own = np.cumsum(np.append(True, ~same))[several], order[several]
+        own = own[np.lexsort((own, which))]
+        again = np.flatnonzero(which[1:] == which[:-1])
         before = np.full(len(runs) + 1, -1)  # where the same run was last
-        before[order[again + 1]] = order[again]
+        before[own[again + 1]] = own[again]
         span = np.empty(2 * len(at), np.int64)
         span[::2], span[1::2] = at, end
-        for i in np.flatnonzero(np.maximum.reduceat(before, span)[::2] >= at):
-            _, once = np.unique(runs[at[i] : end[i]], return_index=True)
-            sketch[i], size[i] = np.bitwise_xor.reduce(bits[at[i] + once]), len(once)
+        some = np.flatnonzero(np.maximum.reduceat(before, span)[::2] >= at)
+        if len(some):
+            starts, place = _spread(at[some], end[some])
+            repeated = before[place] >= np.repeat(at[some], end[some] - at[some])
+            sketch[some] ^= np.bitwise_xor.reduceat(np.where(repeated, bits[place], np.uint64(0)), starts)
+            size[some] -= np.add.reduceat(repeated.astype(np.int64), starts)
     return sketch, size
 
 
@@ -164,7 +186,10 @@ def band_keys(found: dict[str, np.ndarray], count: int, rows: int, k: int) -> np
 
 
 def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """``token, set, source, size`` per band of a paragraph; equal paragraphs of a task for two documents at most."""
+    """``token, source, entries`` of the bands of paragraphs; equal paragraphs of a task for two documents at most.
+
+    Paragraphs that begin one after another often share a band's key and travel in one row (``_ENTRY``).
+    """
     seen: dict[int, int | None] = {}  # the first document; none after the second
     for batch in batches:
         keys = batch.column("doc_key").to_numpy()
@@ -181,11 +206,55 @@ def _banded(batches: Iterator[pa.RecordBatch], least: int, k: int, count: int, r
                     fresh[i] = True
             if fresh.any():
                 part = {c: found[c][fresh] for c in ("at", "words", "size", "digest")} | {"runs": found["runs"]}
-                tokens = band_keys(part, count, rows, k)
+                tokens, owner = np.ascontiguousarray(band_keys(part, count, rows, k).T), source[fresh]
+                new = np.ones(tokens.shape, bool)
+                new[:, 1:] = (tokens[:, 1:] != tokens[:, :-1]) | (owner[1:] != owner[:-1])
+                first = np.flatnonzero(new)
+                entries = np.empty(tokens.shape, _ENTRY)
+                entries["set"], entries["size"] = part["digest"], part["size"]
                 yield pa.record_batch([
-                    pa.array(H.signed(tokens.reshape(-1))), pa.array(H.signed(np.repeat(part["digest"], count))), pa.array(np.repeat(source[fresh], count)),
-                    pa.array(np.repeat(part["size"], count).astype(np.int32)),
-                ], names=["token", "set", "source", "size"])
+                    pa.array(H.signed(tokens.reshape(-1)[first])), pa.array(np.tile(owner, count)[first]), _binary(entries, np.append(first, tokens.size)),
+                ], names=["token", "source", "entries"])
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of values from one bound to the next as bytes."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _values(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_binary`` has packed: all values, and how many each row has."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.empty(0, np.uint8)
+    return values.view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, set, source, size`` of the tokens that several sources have; rows come in the order of tokens."""
+    held: pa.RecordBatch | None = None  # rows of the last token, of one source so far
+    known = None  # a token that several sources have
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        token, source = (batch.column(c).to_numpy() for c in ("token", "source"))
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        lengths = np.diff(np.append(starts, len(token)))
+        several = np.logical_or.reduceat(source != np.repeat(source[starts], lengths), starts)
+        several[0] |= known is not None and token[0] == known
+        known = token[-1] if several[-1] else None
+        held = None if several[-1] else batch.slice(int(starts[-1]))
+        keep = np.repeat(several, lengths)
+        if keep.any():
+            entries, counts = _values(batch.column("entries"), _ENTRY)
+            entries, counts = entries[np.repeat(keep, counts)], counts[keep]
+            yield pa.record_batch([
+                pa.array(np.repeat(token[keep], counts)), pa.array(H.signed(np.ascontiguousarray(entries["set"]))),
+                pa.array(np.repeat(source[keep], counts)), pa.array(entries["size"].astype(np.int32)),
+            ], names=["token", "set", "source", "size"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -201,24 +270,51 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
             ], names=["doc_key", "set", "start", "end"])
 
 
-def _wanted_texts(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """``set, text`` of the wanted paragraphs of each document."""
+def _wanted_runs(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
+    """``set, runs, even, odd`` of the wanted paragraphs of each document: their distinct runs of words, and a parity
+    sketch of 128 bits of these."""
     for batch in batches:
         wanted = batch.column("wanted")
         for row, end, data, offsets in H.slices(batch, "text"):
             found = paragraphs(data, offsets, least, k, over_lines=True)
-            raw = data.tobytes()
-            digests = H.signed(found["digest"])
-            ids, texts = [], []
-            bounds = np.searchsorted(found["document"], np.arange(end - row + 1))
-            for d in range(end - row):
-                own = slice(bounds[d], bounds[d + 1])
-                once = np.zeros(bounds[d + 1] - bounds[d], bool)
-                once[np.unique(digests[own], return_index=True)[1]] = True
-                for i in np.flatnonzero(once & np.isin(digests[own], wanted[row + d].values.to_numpy())) + bounds[d]:
-                    ids.append(int(digests[i]))
-                    texts.append(raw[found["start"][i] : found["end"][i]].decode())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["set", "text"])
+            lists = wanted.slice(row, end - row)
+            document = np.repeat(np.arange(end - row), lists.value_lengths().to_numpy(zero_copy_only=False))
+            asked = lists.flatten().to_numpy().view(np.uint64) ^ H.mix(document.astype(np.uint64))
+            keys, first = np.unique(found["digest"] ^ H.mix(found["document"].astype(np.uint64)), return_index=True)
+            own = first[np.isin(keys, asked)]
+            if not len(own):
+                continue
+            at, count = found["at"][own], found["words"][own] - k + 1
+            runs = _rows(found["runs"][_spread(at, at + count)[1]], count)
+            runs.sort(axis=1)
+            runs[:, 1:][runs[:, 1:] == runs[:, :-1]] = _NONE
+            told = runs != _NONE
+            bits = np.where(told, np.uint64(1) << (runs & np.uint64(63)), np.uint64(0))
+            half = (runs & np.uint64(64)) > 0
+            yield pa.record_batch([
+                pa.array(H.signed(found["digest"][own])), _binary(runs[told], np.append(0, np.cumsum(told.sum(axis=1)))),
+                *[pa.array(H.signed(np.bitwise_xor.reduce(np.where(side, bits, np.uint64(0)), axis=1))) for side in (~half, half)],
+            ], names=["set", "runs", "even", "odd"])
+
+
+def _rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row per run of so many values, filled up with ``_NONE``. Paragraphs are about equally long."""
+    out = np.full((len(counts), int(counts.max(initial=0))), _NONE)
+    out[np.arange(out.shape[1]) < counts[:, None]] = values
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` whose sets of runs of words reach the threshold."""
+    for batch in batches:
+        for row in range(0, len(batch), 2048):
+            part = batch.slice(row, 2048)
+            (x, nx), (y, ny) = (_values(part.column(c), np.dtype("<u8")) for c in ("ra", "rb"))
+            both = np.concatenate((_rows(x, nx), _rows(y, ny)), axis=1)
+            both.sort(axis=1)
+            shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)).sum(axis=1)
+            linked = pa.array(100 * shared >= percent * (nx.astype(np.int64) + ny - shared))
+            yield pa.record_batch([part.column("a").filter(linked), part.column("b").filter(linked)], names=["a", "b"])
 
 
 def _close(sets: np.ndarray, sources: np.ndarray, sizes: np.ndarray, i, j, percent: int) -> np.ndarray:
@@ -310,18 +406,25 @@ def _fits(a: str, b: str, percent: int) -> str:
         and {100 + percent} * bit_count(shiftrightunsigned({a}set ^ {b}set, {64 - SKETCH})) <= {100 - percent} * ({a}size + {b}size)"""
 
 
-def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in H.slices(batch, column):
-        yield from H.distinct_sets(data, offsets, k)
+def _differ(a: str, b: str, percent: int) -> str:
+    """``_fits`` by the sketches of 128 bits."""
+    return f"""{a}source <> {b}source
+        and {100 + percent} * (bit_count({a}even ^ {b}even) + bit_count({a}odd ^ {b}odd)) <= {100 - percent} * ({a}size + {b}size)"""
 
 
-def _linked(docs: DataFrame, owners: DataFrame, least: int, k: int, percent: int, pairs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    chosen = owners.join(ends, "set", "left_semi")
+def _runs(docs: DataFrame, lists: DataFrame, least: int, k: int) -> DataFrame:
+    """``_wanted_runs`` of every set of the lists, each out of one document."""
+    chosen = lists.groupBy("set").agg(F.min("source").alias("doc_key"))
     wanted = pin(chosen.groupBy("doc_key").agg(F.collect_set("set").alias("wanted")), "wanted")  # a document's own paragraphs
     texts = docs.select("doc_key", "text").join(few(wanted.select("doc_key")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    found = texts.join(wanted, "doc_key").select("text", "wanted").mapInArrow(partial(_wanted_texts, least=least, k=k), "set long, text string")
-    return verified(pairs, pin(found, "paragraph-texts"), percent, partial(_sets, k=k))
+    found = texts.join(wanted, "doc_key").select("text", "wanted")
+    return pin(found.mapInArrow(partial(_wanted_runs, least=least, k=k), "set long, runs binary, even long, odd long"), "paragraph-runs")
+
+
+def _linked(runs: DataFrame, percent: int, pairs: DataFrame) -> DataFrame:
+    of_a, of_b = (runs.select(F.col("set").alias(e), F.col("runs").alias(f"r{e}")) for e in "ab")
+    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "ra", "rb")
+    return both.mapInArrow(partial(_alike, percent=percent), "a long, b long")
 
 
 def repeated_passages(
@@ -341,14 +444,18 @@ def repeated_passages(
     docs = df.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     count = bands(percent, rows, recall)
     entries = docs.select("doc_key", "text").mapInArrow(
-        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, set long, source long, size int"
+        partial(_banded, least=least, k=words, count=count, rows=rows), "token long, source long, entries binary"
     )
-    in_order = entries.repartition("token").sortWithinPartitions("token", "set", "source")
+    by_token = entries.repartition("token").sortWithinPartitions("token")
+    several = by_token.mapInArrow(_several, "token long, set long, source long, size int")
+    in_order = several.sortWithinPartitions("token", "set", "source")  # a token's rows are together already
     met = pin(in_order.mapInArrow(partial(_meeting, percent=percent), "token long, set long, source long, size int, again boolean, met boolean"), "met")
     lists = pin(index_lists(met.where("met").select("token", "set", "source", "size"), F.lit(0), "source"), "band-lists")
-    owners = pin(met.groupBy("set").agg(F.min("source").alias("doc_key")), "owners")
+    lists = lists.where("n > 1")
+    runs = _runs(docs, lists, least, words)
     labels = linked_components(
-        lists.where("n > 1"), partial(_fits, percent=percent), lambda probes: probes, [], partial(_linked, docs, owners, least, words, percent)
+        lists, partial(_fits, percent=percent), lambda probes: probes, [], partial(_linked, runs, percent),
+        runs.select("set", "even", "odd"), partial(_differ, percent=percent),
     )
     active = pin(met.where("again").select("set").union(labels.select(F.col("node").alias("set"))).distinct(), "active")
     places = pin(

@@ -327,3 +327,69 @@ def test_spans_and_clusters_equal_brute_force(spark):
             want |= {(d, a, b, removed) for a, b in islands}
     rows = repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
     assert len(want) > 40 and {(r["doc_id"], r["span_start"], r["span_end"], r["removed"]) for r in rows} == want
+
+
+def wanted_runs(texts):
+    """The rows of ``_wanted_runs`` for all paragraphs of some texts, and the sets of runs by brute force."""
+    import deskloom.llm.substring_dedup as S
+
+    (_, _, data, offsets), = H.slices(pa.record_batch([pa.array(texts)], names=["text"]), "text")
+    found = paragraphs(data, offsets, 20, 5, over_lines=True)
+    digests = H.signed(found["digest"]).tolist()
+    sets = {g: set(found["runs"][a : a + n - 4].tolist()) for g, a, n in zip(digests, found["at"], found["words"])}
+    wanted = [[g for g, e in zip(digests, found["document"]) if e == d] for d in range(len(texts))]
+    batch = pa.record_batch([pa.array(texts), pa.array(wanted, pa.list_(pa.int64()))], names=["text", "wanted"])
+    return [r for b in S._wanted_runs(iter([batch.slice(0, 3), batch.slice(3)]), 20, 5) for r in b.to_pylist()], sets
+
+
+def test_second_sketches_refuse_nearly_all_that_is_not_alike():
+    """Variants of one paragraph meet in one list; hardly more pairs than those that link may leave it."""
+    import deskloom.llm.substring_dedup as S
+
+    words = plain_words(30)
+    texts = [" ".join(words[: (n := RNG.randrange(12, 30))] + plain_words(30 - n)) for _ in range(300)]
+    rows, sets = wanted_runs(texts + ["a b " * 15, "short"])
+    assert {r["set"] for r in rows} == set(sets)
+    for r in rows:
+        assert sorted(sets[r["set"]]) == np.frombuffer(r["runs"], np.uint64).tolist()
+    first = second = alike = 0
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            own, other = sets[x["set"]], sets[y["set"]]
+            most = 25 * (len(own) + len(other))
+            if len(own & other) and x["set"] != y["set"]:
+                shared = 100 * len(own & other) >= 75 * len(own | other)
+                bits = sum(((x[c] ^ y[c]) & (1 << 64) - 1).bit_count() for c in ("even", "odd"))
+                alike += shared
+                first += 175 * ((x["set"] ^ y["set"]) >> 32 & 0xFFFFFFFF).bit_count() <= most
+                second += 175 * bits <= most
+                assert not shared or 175 * bits <= most
+    assert alike > 100 and second <= 1.25 * alike < first
+    pairs = [(x, y) for x in rows[:40] for y in rows[:40] if x["set"] < y["set"]]
+    batch = pa.record_batch([pa.array([p[e][c] for p in pairs], t) for c, t in (("set", pa.int64()), ("runs", pa.binary())) for e in (0, 1)], names=["a", "b", "ra", "rb"])
+    got = {(r["a"], r["b"]) for b in S._alike(iter([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)]), 75) for r in b.to_pylist()}
+    brute = lambda x, y: 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    assert got == {(x["set"], y["set"]) for x, y in pairs if brute(x["set"], y["set"])}
+
+
+@pytest.mark.parametrize("size", [1, 4, 500])
+def test_only_tokens_of_several_sources_go_on(size):
+    import deskloom.llm.substring_dedup as S
+
+    rng = random.Random(size)
+    rows = []
+    for token in range(-80, 80):
+        own = [rng.randrange(5) for _ in range(rng.choice([1, 1, 2, 9]))]
+        rows += [(token, s, [(rng.randrange(1 << 64), rng.randrange(16, 30)) for _ in range(rng.randrange(1, 4))]) for s in own]
+    batches = []
+    for i in range(0, len(rows), size):
+        part = rows[i : i + size]
+        entries = np.array([e for r in part for e in r[2]], S._ENTRY)
+        packed = S._binary(entries, np.cumsum([0, *[len(r[2]) for r in part]]))
+        batches.append(pa.record_batch([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), packed], names=["token", "source", "entries"]))
+    got = [tuple(r.values()) for b in S._several(iter(batches)) for r in b.to_pylist()]
+    sources = {}
+    for token, source, _ in rows:
+        sources.setdefault(token, set()).add(source)
+    want = [(t, e - (e >> 63 << 64), s, n) for t, s, own in rows if len(sources[t]) > 1 for e, n in own]
+    assert got == want
