@@ -106,10 +106,11 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
     if n < least:
         return empty
     inside = H.word_mask(data)
-    space = np.flatnonzero(~inside)
-    edges = np.concatenate((space, offsets[1:], [len(data)]))
-    edges.sort()
-    ends = edges[np.searchsorted(edges, starts, "right")]  # a word ends at white space or with its document
+    final = inside.copy()  # a word ends at white space or with its document
+    final[:-1] &= ~inside[1:]
+    tails = offsets[1:][np.diff(offsets) > 0] - 1
+    final[tails] = inside[tails]
+    ends = np.flatnonzero(final) + 1
     line = np.cumsum(data == 10)[starts] + document * (1 + int((data == 10).sum()))
     marked = np.ones(n, bool)
     marked[1:] = _sentence_ends(data, starts[:-1], ends[:-1]) | (document[1:] != document[:-1])
@@ -117,11 +118,12 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
     begins = marked.copy()
     begins[1:] |= line[1:] != line[:-1]
     last = np.append(np.flatnonzero(line[1:] != line[:-1]) + 1, n)  # first word after each line
-    after_line = last[np.searchsorted(last, np.arange(n), "right")]
+    after_line = np.repeat(last, np.diff(np.append(0, last)))
 
     def stops(begins: np.ndarray) -> np.ndarray:
         heads = np.append(np.flatnonzero(begins), n)
-        return heads[np.minimum(np.searchsorted(heads, at + least, "left"), len(heads) - 1)]
+        before = np.append(0, np.cumsum(begins))
+        return heads[before[np.minimum(at + least, n)]]
 
     at = np.flatnonzero(begins)
     stop = np.minimum(stops(begins), after_line[at])
