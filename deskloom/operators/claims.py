@@ -95,11 +95,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forever = 1 << 62
     for batch in batches:
         accepted = []
-        columns = (batch.column(c).to_pylist() for c in ("_name", "_at", "_same", "_until"))
-        for name, at, same, until in zip(*columns):
+        columns = [batch.column(c) for c in ("_name", "_at", "_same", "_until")]
+        columns[3] = columns[3].fill_null(forever)
+        for name, at, same, until in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in columns)):
             if name != current:
                 current, end = name, _START
-            until = forever if until is None else until
             if at < 0:
                 end = max(end, until)  # keys that share a value from the start all have to leave it
                 accepted.append(True)
