@@ -32,3 +32,18 @@ def components(links: DataFrame) -> DataFrame:
             hooked.join(over, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")),
             "labels",
         )
+
+
+def extended(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``labels`` of ``components`` after further links, and what became of the old labels, as ``node, comp``.
+
+    Only links between different labels take part, and they meet as links of the labels. A node
+    that had no link yet counts as a label of its own.
+    """
+    of_a = labels.select(F.col("node").alias("a"), F.col("comp").alias("la"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("comp").alias("lb"))
+    ends = links.join(of_b, "b", "left").join(of_a, "a", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(ends)
+    over = moved.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    old = labels.join(over, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return pin(old.union(moved.join(labels, "node", "left_anti").select("node", "comp")), "labels"), moved

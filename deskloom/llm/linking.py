@@ -3,6 +3,10 @@
 Each list elects a leader, which is compared with the whole list. Members linked with their leader
 share its component; only the others are compared with the list again, and there only with entries
 of other components. So each pair of a list is either compared or already known to be connected.
+
+A leader may be like few of its list, and then the pairs left are as many as the square of a group
+of variants. Given ``near``, each entry that its leader has left open first asks a few likely ones of
+its list, block by block, and what that links counts as connected too.
 """
 
 from __future__ import annotations
@@ -16,7 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskloom.llm.common import few, pin
-from deskloom.llm.components import components
+from deskloom.llm.components import components, extended
+
+#: Entries of a list among which each asks for a likely one; longer lists are dealt into blocks by hash, twice.
+BLOCK = 1024
 
 
 def index_lists(entries: DataFrame, rank: Column, source: str | None = None) -> DataFrame:
@@ -50,7 +57,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def linked_components(
     lists: DataFrame, fits: Callable[[str, str], str], probe: Callable[[DataFrame], DataFrame], keys: list[str], link: Callable[[DataFrame], DataFrame],
-    details: DataFrame | None = None, fits_closely: Callable[[str, str], str] | None = None,
+    details: DataFrame | None = None, fits_closely: Callable[[str, str], str] | None = None, near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node, comp`` of every set with a link, from written ``index_lists``.
 
@@ -58,6 +65,8 @@ def linked_components(
     pair of a list may link. ``probe(entries)`` prepares entries, with columns prefixed ``p``, to
     meet others on ``keys``; ``link(pairs)`` gives the pairs ``a < b`` that do link.
     ``details`` may have more columns per set, for ``fits_closely``, a stricter ``fits`` of the pairs without a leader.
+    ``near(entries)`` gives ``token, set, other``, pairs likely to link: for each of the entries that ``asks`` at least one
+    of its ``token, block`` that has another component and ``fits_closely``, if there is any. A block's rows come together.
     """
     columns = [c for c in lists.columns if c not in ("token", "set", "again", "n", "lead")]
     star = lists.where("set <> lead.set").select("set", *columns, F.col("lead.set").alias("pset"), *[F.col(f"lead.{c}").alias(f"p{c}") for c in columns])
@@ -65,26 +74,51 @@ def linked_components(
     links = pin(link(first), "first-links")
     labels = components(links)
     # In a list of two sets, its leader has answered for both.
-    larger = lists.where("n > 2").select("token", "set", *columns, F.col("lead.set").alias("lead"))
+    larger = lists.where("n > 2").select("token", "set", *columns, "n", F.col("lead.set").alias("lead"))
     own = labels.select(F.col("node").alias("set"), "comp")
     lead = labels.select(F.col("node").alias("lead"), F.col("comp").alias("led"))
     named = (
         larger.join(own, "set", "left").join(lead, "lead", "left")
-        .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")}).drop("lead")
+        .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")})
     )
-    named = pin(named, "named")
+    named = pin(named if near is not None else named.drop("lead", "n"), "named")
     if details is not None:
         open_lists = pin(named.where("comp <> led").select("token").distinct(), "open-lists")
         columns += [c for c in details.columns if c != "set"]
         named = pin(named.join(few(open_lists), "token", "left_semi").join(details, "set"), "detailed")
-    apart = named.where("comp <> led").drop("led")
+    known, in_question = first, F.lit(True)
+    if near is not None:
+        asked = pin(near(_dealt(named)), "asked")
+        likely = pin(_pairs(asked.withColumnRenamed("other", "pset")).join(first, ["a", "b"], "left_anti"), "near-pairs")
+        known = first.union(likely)
+        labels, moved = extended(labels, pin(link(likely), "near-links"))
+        moved = few(moved.withColumnRenamed("comp", "up"))
+        for c in ("comp", "led"):
+            named = named.join(moved.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
+        # One that found nobody to ask in a list of one block has no pair left there.
+        answered = pin(asked.select("token", "set").distinct(), "answered")
+        named = named.join(few(answered.select("token", F.lit(True).alias("open")).distinct()), "token", "left").where(f"open or n > {BLOCK}").drop("open")
+        in_question = F.expr(f"open or n > {BLOCK}")
+        named = named.join(few(answered.withColumn("open", F.lit(True))), ["token", "set"], "left")
+    apart = named.where("comp <> led").where(in_question).select("token", "set", "comp", *columns)
     probes = probe(apart.withColumnsRenamed({c: f"p{c}" for c in ("set", "comp", *columns)}))
     # Two probes of a list meet once, in the order of their sets.
     met = named.join(probes, ["token", *keys]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {(fits_closely or fits)('', 'p')}")
-    second = pin(_pairs(met).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    second = pin(_pairs(met).join(known, ["a", "b"], "left_anti"), "second-pairs")
     if second.isEmpty():
         return labels
-    return components(links.union(pin(link(second), "second-links")))
+    return extended(labels, pin(link(second), "second-links"))[0]
+
+
+def _dealt(named: DataFrame) -> DataFrame:
+    """The entries but for leaders, which have met their whole list, dealt into blocks of a list in a random order; longer
+    lists in two ways, so that their blocks hang together."""
+    ways = F.when(F.col("n") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    sent = named.where("set <> lead").withColumn("asks", F.expr("comp <> led")).withColumn("way", F.explode(ways))
+    parts, turn = F.ceil(F.col("n") / BLOCK), F.xxhash64("token", "set", "way")
+    block = (F.pmod(F.xxhash64("turn"), parts) + parts * F.col("way")).cast("int")
+    blocks = sent.withColumn("turn", turn).withColumn("block", block).drop("lead", "led", "n", "way")
+    return blocks.repartition("token", "block").sortWithinPartitions("token", "block", "turn")
 
 
 def _judged(batches: Iterator[pa.RecordBatch], percent: int, sets: Callable[[pa.RecordBatch, str], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:

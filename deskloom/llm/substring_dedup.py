@@ -55,6 +55,8 @@ _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
 #: An entry of a band beside its token and source.
 _ENTRY = np.dtype([("set", "<u8"), ("size", "<u4")])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Columns of the second sketches.
+_PARITY = ["even", "odd", "even2", "odd2"]
 
 
 def bands(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -273,8 +275,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
 
 
 def _wanted_runs(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """``set, runs, even, odd`` of the wanted paragraphs of each document: their distinct runs of words, and a parity
-    sketch of 128 bits of these."""
+    """``set, runs, even, odd, even2, odd2`` of the wanted paragraphs of each document: their distinct runs of words, a
+    parity sketch of 128 bits of these, and the parts of its halves that make it one of 256 bits."""
     for batch in batches:
         wanted = batch.column("wanted")
         for row, end, data, offsets in H.slices(batch, "text"):
@@ -292,11 +294,11 @@ def _wanted_runs(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
             runs[:, 1:][runs[:, 1:] == runs[:, :-1]] = _NONE
             told = runs != _NONE
             bits = np.where(told, np.uint64(1) << (runs & np.uint64(63)), np.uint64(0))
-            half = (runs & np.uint64(64)) > 0
+            half, quarter = (runs & np.uint64(64)) > 0, (runs & np.uint64(128)) > 0
             yield pa.record_batch([
                 pa.array(H.signed(found["digest"][own])), _binary(runs[told], np.append(0, np.cumsum(told.sum(axis=1)))),
-                *[pa.array(H.signed(np.bitwise_xor.reduce(np.where(side, bits, np.uint64(0)), axis=1))) for side in (~half, half)],
-            ], names=["set", "runs", "even", "odd"])
+                *[pa.array(H.signed(np.bitwise_xor.reduce(np.where(side, bits, np.uint64(0)), axis=1))) for side in (~half, half, ~half & quarter, half & quarter)],
+            ], names=["set", "runs", *_PARITY])
 
 
 def _rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -409,9 +411,60 @@ def _fits(a: str, b: str, percent: int) -> str:
 
 
 def _differ(a: str, b: str, percent: int) -> str:
-    """``_fits`` by the sketches of 128 bits."""
-    return f"""{a}source <> {b}source
-        and {100 + percent} * (bit_count({a}even ^ {b}even) + bit_count({a}odd ^ {b}odd)) <= {100 - percent} * ({a}size + {b}size)"""
+    """``_fits`` by the sketches of 128 and 256 bits too; the shorter ones refuse most, at less cost."""
+    short = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in ("even", "odd"))
+    whole = " + ".join(f"bit_count({a}{c}2 ^ {b}{c}2) + bit_count({a}{c} ^ {b}{c} ^ {a}{c}2 ^ {b}{c}2)" for c in ("even", "odd"))
+    return " and ".join([_fits(a, b, percent), *[f"{100 + percent} * ({x}) <= {100 - percent} * ({a}size + {b}size)" for x in (short, whole)]])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``token, set, other``: for each entry that ``asks`` two of its block that have another component and that
+    the sketches of 256 bits allow, the closest by the sketches and the next one in a ring. The rows of a block are together."""
+    held: pa.RecordBatch | None = None  # rows of the last block
+
+    def told(part: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        """Of whole blocks, which run from one bound to the next; small ones are compared in one go."""
+        token, sets, source, comp, *sketch = (part.column(c).to_numpy() for c in ("token", "set", "source", "comp", *_PARITY))
+        size, asks = part.column("size").to_numpy().astype(np.int32), part.column("asks").to_numpy(zero_copy_only=False)
+        even, odd, even2, odd2 = (x.view(np.uint64) for x in sketch)
+        sketch = [even ^ even2, even2, odd ^ odd2, odd2]
+        block = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        cuts = np.unique(bounds[np.searchsorted(bounds, np.append(np.arange(0, len(part), 128), len(part)))])
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # who asks whom
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            other = np.arange(start, end)
+            asking = other[asks[start:end]]
+            for at in range(0, len(asking), 256):
+                own = asking[at : at + 256, None]
+                apart = sum(np.bitwise_count(x[own] ^ x[other]).astype(np.int32) for x in sketch)
+                room = (100 - percent) * (size[own] + size[other]) - (100 + percent) * apart
+                room[(block[own] != block[other]) | (source[own] == source[other]) | (comp[own] == comp[other])] = -1
+                fits = room >= 0
+                behind = fits & (other > own)
+                following = np.where(behind.any(axis=1), behind.argmax(axis=1), fits.argmax(axis=1))
+                some = fits.any(axis=1)
+                for chosen in (room.argmax(axis=1), following):
+                    x.append(own[some, 0])
+                    y.append(other[chosen[some]])
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.record_batch([pa.array(token[x]), pa.array(sets[x]), pa.array(sets[y])], names=["token", "set", "other"])
+
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        token, block = batch.column("token").to_numpy(), batch.column("block").to_numpy()
+        bounds = np.append(0, np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1])) + 1)
+        held = batch.slice(int(bounds[-1]))
+        yield told(batch.slice(0, int(bounds[-1])), bounds)
+    if held is not None:
+        yield told(held, np.array([0, len(held)]))
+
+
+def _near(entries: DataFrame, percent: int) -> DataFrame:
+    columns = ["token", "block", "set", "source", "comp", "size", *_PARITY, "asks"]
+    return entries.select(*columns).mapInArrow(partial(_asked, percent=percent), "token long, set long, other long")
 
 
 def _runs(docs: DataFrame, lists: DataFrame, least: int, k: int) -> DataFrame:
@@ -420,7 +473,7 @@ def _runs(docs: DataFrame, lists: DataFrame, least: int, k: int) -> DataFrame:
     wanted = pin(chosen.groupBy("doc_key").agg(F.collect_set("set").alias("wanted")), "wanted")  # a document's own paragraphs
     texts = docs.select("doc_key", "text").join(few(wanted.select("doc_key")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     found = texts.join(wanted, "doc_key").select("text", "wanted")
-    return pin(found.mapInArrow(partial(_wanted_runs, least=least, k=k), "set long, runs binary, even long, odd long"), "paragraph-runs")
+    return pin(found.mapInArrow(partial(_wanted_runs, least=least, k=k), "set long, runs binary, even long, odd long, even2 long, odd2 long"), "paragraph-runs")
 
 
 def _linked(runs: DataFrame, percent: int, pairs: DataFrame) -> DataFrame:
@@ -457,7 +510,7 @@ def repeated_passages(
     runs = _runs(docs, lists, least, words)
     labels = linked_components(
         lists, partial(_fits, percent=percent), lambda probes: probes, [], partial(_linked, runs, percent),
-        runs.select("set", "even", "odd"), partial(_differ, percent=percent),
+        runs.select("set", *_PARITY), partial(_differ, percent=percent), partial(_near, percent=percent),
     )
     active = pin(met.where("again").select("set").union(labels.select(F.col("node").alias("set"))).distinct(), "active")
     places = pin(

@@ -393,3 +393,82 @@ def test_only_tokens_of_several_sources_go_on(size):
         sources.setdefault(token, set()).add(source)
     want = [(t, e - (e >> 63 << 64), s, n) for t, s, own in rows if len(sources[t]) > 1 for e, n in own]
     assert got == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_entries_ask_the_closest_and_the_next_of_their_block(size):
+    import deskloom.llm.substring_dedup as S
+
+    rng = random.Random(size)
+    rows, key = [], 0
+    for token in range(-20, 20):
+        for block in range(rng.choice([1, 1, 3])):
+            centre = [rng.randrange(1 << 64) for _ in range(4)]
+            for _ in range(rng.choice([1, 2, 9, 60, 300 if token == 0 else 5])):
+                parts = [x ^ sum({1 << rng.randrange(64) for _ in range(rng.choice([0, 0, 1, 4]))}) for x in centre]
+                key += 1
+                rows.append((token, block, key, rng.randrange(9), rng.randrange(12), rng.randrange(16, 30), *parts, rng.random() < 0.7))
+    names = ["token", "block", "set", "source", "comp", "size", *S._PARITY, "asks"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_()]
+    low = lambda r: (*r[:6], *[x - (x >> 63 << 64) for x in r[6:10]], r[10])
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*map(low, rows[i : i + size])), types)], names=names) for i in range(0, len(rows), size)]
+    got = {}
+    for b in S._asked(iter(batches), 75):
+        for r in b.to_pylist():
+            got.setdefault((r["token"], r["set"]), []).append(r["other"])
+
+    def room(x, y):
+        (e, o, e2, o2), (f, p, f2, p2) = x[6:10], y[6:10]
+        return 25 * (x[5] + y[5]) - 175 * sum(d.bit_count() for d in (e2 ^ f2, e ^ f ^ e2 ^ f2, o2 ^ p2, o ^ p ^ o2 ^ p2))
+
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r[:2], []).append(r)
+    want = {}
+    for own in blocks.values():
+        for i, x in enumerate(own):
+            ring = [y for y in own[i + 1 :] + own[:i] if x[3] != y[3] and x[4] != y[4] and room(x, y) >= 0]
+            if x[10] and ring:
+                want[x[0], x[2]] = (ring[0][2], max(room(x, y) for y in ring))
+    by_key = {r[2]: r for r in rows}
+    assert len(want) > 100 and set(got) == set(want)
+    for (token, key), (following, most) in want.items():
+        closest, second = got[token, key]
+        assert second == following and room(by_key[key], by_key[closest]) == most
+
+
+def test_pairs_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """A leader that is like nobody leaves a group of variants open; each of them is judged with a few others only."""
+    import deskloom.llm.linking as L
+    import deskloom.llm.substring_dedup as S
+
+    n = 120
+    sets = [*range(1, 2 * n + 1), 10**6]  # two groups and the leader of the list
+    even = {s: (0 if s <= n else -1) if s < 10**6 else 0x0F0F0F0F0F0F for s in sets}
+    lead = (0, 10**6, 10**6, 20)
+    rows = [(5, s, s, 20, False, len(sets), lead) for s in sets]
+    lists = spark.createDataFrame(rows, "token long, set long, source long, size int, again boolean, n long, lead struct<rank:int,set:long,source:long,size:int>")
+    details = spark.createDataFrame([(s, even[s], 0, 0, 0) for s in sets], "set long, even long, odd long, even2 long, odd2 long")
+    alike = lambda a, b: a // n != 10**6 // n and b // n != 10**6 // n and (a <= n) == (b <= n) and (a + b) % 7
+
+    def run(near):
+        judged = []
+
+        def link(pairs):
+            rows = [tuple(r) for r in pairs.collect()]
+            judged.append(len(rows))
+            return spark.createDataFrame([r for r in rows if alike(*r)], "a long, b long")
+
+        labels = L.linked_components(lists, lambda a, b: f"{a}source <> {b}source", lambda p: p, [], link, details, lambda a, b: S._differ(a, b, 75), near)
+        groups = {}
+        for r in labels.collect():
+            groups.setdefault(r["comp"], set()).add(r["node"])
+        return judged, groups
+
+    want = {1: set(range(1, n + 1)), n + 1: set(range(n + 1, 2 * n + 1))}
+    judged, groups = run(None)
+    assert groups == want and sum(judged) > n * (n - 1) * 0.9
+    for block in (L.BLOCK, 50):
+        monkeypatch.setattr(L, "BLOCK", block)
+        judged, groups = run(lambda e: S._near(e, 75))
+        assert groups == want and sum(judged) < 14 * n
