@@ -79,9 +79,9 @@ def linked_components(
     lead = labels.select(F.col("node").alias("lead"), F.col("comp").alias("led"))
     named = (
         larger.join(own, "set", "left").join(lead, "lead", "left")
-        .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")})
+        .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead"), "leads": F.expr("set = lead")}).drop("lead")
     )
-    named = pin(named if near is not None else named.drop("lead", "n"), "named")
+    named = pin(named if near is not None else named.drop("leads", "n"), "named")
     if details is not None:
         open_lists = pin(named.where("comp <> led").select("token").distinct(), "open-lists")
         columns += [c for c in details.columns if c != "set"]
@@ -114,10 +114,10 @@ def _dealt(named: DataFrame) -> DataFrame:
     """The entries but for leaders, which have met their whole list, dealt into blocks of a list in a random order; longer
     lists in two ways, so that their blocks hang together."""
     ways = F.when(F.col("n") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    sent = named.where("set <> lead").withColumn("asks", F.expr("comp <> led")).withColumn("way", F.explode(ways))
+    sent = named.where("not leads").withColumn("asks", F.expr("comp <> led")).withColumn("way", F.explode(ways))
     parts, turn = F.ceil(F.col("n") / BLOCK), F.xxhash64("token", "set", "way")
     block = (F.pmod(F.xxhash64("turn"), parts) + parts * F.col("way")).cast("int")
-    blocks = sent.withColumn("turn", turn).withColumn("block", block).drop("lead", "led", "n", "way")
+    blocks = sent.withColumn("turn", turn).withColumn("block", block).drop("leads", "led", "n", "way")
     return blocks.repartition("token", "block").sortWithinPartitions("token", "block", "turn")
 
 
