@@ -6,7 +6,8 @@ of other components. So each pair of a list is either compared or already known
 
 A leader may be like few of its list, and then the pairs left are as many as the square of a group
 of variants. Given ``near``, each entry that its leader has left open first asks a few likely ones of
-its list, block by block, and what that links counts as connected too.
+its list, block by block, and what that links counts as connected too. Given ``parts``, a list beyond
+a block is compared once more only where entries share a part, so its pairs do not grow with its square.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 def linked_components(
     lists: DataFrame, fits: Callable[[str, str], str], probe: Callable[[DataFrame], DataFrame], keys: list[str], link: Callable[[DataFrame], DataFrame],
     details: DataFrame | None = None, fits_closely: Callable[[str, str], str] | None = None, near: Callable[[DataFrame], DataFrame] | None = None,
+    parts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node, comp`` of every set with a link, from written ``index_lists``.
 
@@ -67,6 +69,7 @@ def linked_components(
     ``details`` may have more columns per set, for ``fits_closely``, a stricter ``fits`` of the pairs without a leader.
     ``near(entries)`` gives ``token, set, other``, pairs likely to link: for each of the entries that ``asks`` at least one
     of its ``token, block`` that has another component and ``fits_closely``, if there is any. A block's rows come together.
+    ``parts(sets)`` gives ``set, parts`` for given sets, longs of which any two that link have one in common. It goes with ``near``.
     """
     columns = [c for c in lists.columns if c not in ("token", "set", "again", "n", "lead")]
     star = lists.where("set <> lead.set").select("set", *columns, F.col("lead.set").alias("pset"), *[F.col(f"lead.{c}").alias(f"p{c}") for c in columns])
@@ -75,10 +78,10 @@ def linked_components(
     labels = components(links)
     # In a list of two sets, its leader has answered for both.
     larger = lists.where("n > 2").select("token", "set", *columns, "n", F.col("lead.set").alias("lead"))
-    own = labels.select(F.col("node").alias("set"), "comp")
+    labelled = labels.select(F.col("node").alias("set"), "comp")
     lead = labels.select(F.col("node").alias("lead"), F.col("comp").alias("led"))
     named = (
-        larger.join(own, "set", "left").join(lead, "lead", "left")
+        larger.join(labelled, "set", "left").join(lead, "lead", "left")
         .withColumns({"comp": F.coalesce("comp", "set"), "led": F.coalesce("led", "lead")})
     )
     named = pin(named if near is not None else named.drop("lead", "n"), "named")
@@ -100,10 +103,16 @@ def linked_components(
         named = named.join(few(answered.select("token", F.lit(True).alias("open")).distinct()), "token", "left").where(f"open or n > {BLOCK}").drop("open")
         in_question = F.expr(f"open or n > {BLOCK}")
         named = named.join(few(answered.withColumn("open", F.lit(True))), ["token", "set"], "left")
-    apart = named.where("comp <> led").where(in_question).select("token", "set", "comp", *columns)
+    own = []
+    if parts is not None:
+        long = F.col("n") > BLOCK
+        sets = pin(named.where(long).select("set").distinct(), "long-sets")
+        shared = named.where(long).join(pin(parts(sets), "parts"), "set").withColumn("part", F.explode("parts")).drop("parts")
+        named, own = named.where(~long).withColumn("part", F.lit(0).cast("bigint")).unionByName(shared), ["part"]
+    apart = named.where("comp <> led").where(in_question).select("token", "set", "comp", *columns, *own)
     probes = probe(apart.withColumnsRenamed({c: f"p{c}" for c in ("set", "comp", *columns)}))
     # Two probes of a list meet once, in the order of their sets.
-    met = named.join(probes, ["token", *keys]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {(fits_closely or fits)('', 'p')}")
+    met = named.join(probes, ["token", *keys, *own]).where(f"(comp = led or set < pset) and set <> pset and comp <> pcomp and {(fits_closely or fits)('', 'p')}")
     second = pin(_pairs(met).join(known, ["a", "b"], "left_anti"), "second-pairs")
     if second.isEmpty():
         return labels

@@ -23,8 +23,10 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskloom.llm import hashing as H
 from deskloom.llm.common import col, documents, few, pin, text_of
@@ -55,6 +57,10 @@ _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
 #: An entry of a band beside its token and source.
 _ENTRY = np.dtype([("set", "<u8"), ("size", "<u4")])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Runs of words that are in so many paragraphs of long lists come last in the order of a paragraph's runs, the most common ones
+#: behind all others; of the commonest this many are told apart, 1 MB.
+COMMON = 64
+MOST_COMMON = 1 << 16
 #: Columns of the second sketches.
 _PARITY = ["even", "odd", "even2", "odd2"]
 
@@ -262,16 +268,23 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """``doc_key, set, start, end`` of every paragraph, places counted in characters."""
+    """``doc_id, doc_key, set, start, end`` of every paragraph, places counted in characters. A row that comes again in its
+    task is passed over."""
+    seen: set[int] = set()
     for batch in batches:
+        fresh = []
+        for key in batch.column("doc_key").to_pylist():
+            fresh.append(key not in seen)
+            seen.add(key)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for row, _, data, offsets in H.slices(batch, "text"):
             found = paragraphs(data, offsets, least, k, over_lines=True)
             chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
             base = chars[offsets[found["document"]]]
             yield pa.record_batch([
-                batch.column("doc_key").take(pa.array(row + found["document"])), pa.array(H.signed(found["digest"])),
+                *[batch.column(c).take(pa.array(row + found["document"])) for c in ("doc_id", "doc_key")], pa.array(H.signed(found["digest"])),
                 pa.array((chars[found["start"]] - base).astype(np.int32)), pa.array((chars[found["end"]] - base).astype(np.int32)),
-            ], names=["doc_key", "set", "start", "end"])
+            ], names=["doc_id", "doc_key", "set", "start", "end"])
 
 
 def _wanted_runs(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -301,6 +314,46 @@ def _wanted_runs(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
             ], names=["set", "runs", *_PARITY])
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``run, n`` of all runs of words of a batch of sets."""
+    for batch in batches:
+        runs, n = np.unique(_values(batch.column("runs"), np.dtype("<u8"))[0], return_counts=True)
+        yield pa.record_batch([pa.array(H.signed(runs)), pa.array(n)], names=["run", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], percent: int, common: Broadcast) -> Iterator[pa.RecordBatch]:
+    """``set, parts``: of each set its rarest runs, so many that sets at the threshold share one: they have at least
+    ``percent`` of either set in common, and all order runs in one way."""
+    known, often = common.value
+    for batch in batches:
+        for row in range(0, len(batch), 2048):
+            part = batch.slice(row, 2048)
+            values, sizes = _values(part.column("runs"), np.dtype("<u8"))
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            n = np.where(known[at] == values, often[at], 0) if len(known) else np.zeros(len(values), np.int64)
+            inside = np.arange(int(sizes.max(initial=0))) < sizes[:, None]
+            order = np.full(inside.shape, np.iinfo(np.int64).max)
+            order[inside] = n
+            runs = np.take_along_axis(_rows(values, sizes), np.argsort(order, axis=1, kind="stable"), axis=1)  # they are in order
+            count = sizes - -(-percent * sizes.astype(np.int64) // 100) + 1
+            some = runs[np.arange(runs.shape[1]) < count[:, None]]
+            bounds = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+            yield pa.record_batch([part.column("set"), pa.ListArray.from_arrays(bounds, pa.array(H.signed(some)))], names=["set", "parts"])
+
+
+def _parts(runs: DataFrame, percent: int, sets: DataFrame) -> DataFrame:
+    """``_rarest`` of some sets. What is common is counted among them only."""
+    own = runs.join(few(sets), "set", "left_semi").select("set", "runs")
+    often = (
+        own.mapInArrow(_frequent, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+        .orderBy(F.desc("n"), "run").limit(MOST_COMMON).toPandas()
+    )  # at most MOST_COMMON rows of 16 bytes
+    known = often["run"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    common = runs.sparkSession.sparkContext.broadcast((known[order], often["n"].to_numpy(np.int64)[order]))
+    return own.mapInArrow(partial(_rarest, percent=percent, common=common), "set long, parts array<long>")
+
+
 def _rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One row per run of so many values, filled up with ``_NONE``. Paragraphs are about equally long."""
     out = np.full((len(counts), int(counts.max(initial=0))), _NONE)
@@ -510,17 +563,14 @@ def repeated_passages(
     runs = _runs(docs, lists, least, words)
     labels = linked_components(
         lists, partial(_fits, percent=percent), lambda probes: probes, [], partial(_linked, runs, percent),
-        runs.select("set", *_PARITY), partial(_differ, percent=percent), partial(_near, percent=percent),
-    )
-    active = pin(met.where("again").select("set").union(labels.select(F.col("node").alias("set"))).distinct(), "active")
-    places = pin(
-        docs.select("doc_key", "text").mapInArrow(partial(_occurrences, least=least, k=words), "doc_key long, set long, start int, end int")
-        .join(few(active, MOST_SETS), "set", "left_semi").distinct(),
-        "places",
+        runs.select("set", *_PARITY), partial(_differ, percent=percent), partial(_near, percent=percent), partial(_parts, runs, percent),
     )
-    clustered = places.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("cluster", F.coalesce("comp", "set"))
-    ids = docs.select("doc_key", "doc_id").distinct()
-    clustered = pin(clustered.select("doc_key", "cluster", "start", "end").join(ids, "doc_key"), "clustered")
+    again = met.where("again").select("set", F.lit(None).cast("bigint").alias("comp"))
+    active = pin(again.union(labels).groupBy("set").agg(F.coalesce(F.max("comp"), "set").alias("cluster")), "active")
+    fields = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("doc_key long, set long, start int, end int")])
+    places = docs.mapInArrow(partial(_occurrences, least=least, k=words), fields)
+    # Repeated rows in other tasks give places again, which changes nothing below.
+    clustered = pin(places.join(few(active, MOST_SETS), "set").select("doc_id", "doc_key", "cluster", "start", "end"), "clustered")
     keep = (
         clustered.select("cluster", "doc_key", "doc_id").distinct()
         .groupBy("cluster").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "doc_key")).alias("keep")).where("n_docs > 1")

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from deskloom.llm import hashing as H
 from deskloom.llm.substring_dedup import bands, paragraphs, remove_passages, repeated_passages
@@ -472,3 +473,82 @@ def test_pairs_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
         monkeypatch.setattr(L, "BLOCK", block)
         judged, groups = run(lambda e: S._near(e, 75))
         assert groups == want and sum(judged) < 14 * n
+
+
+@pytest.mark.parametrize("common", [[], [5, 1, 9, 3, 70, 2]])
+def test_sets_that_are_alike_share_one_of_their_rarest_runs(common):
+    import deskloom.llm.substring_dedup as S
+
+    rng = random.Random(4)
+    pool = [*range(40), *(rng.randrange(1 << 64) for _ in range(60))]
+    sets = [set(rng.sample(pool, rng.choice([1, 2, 3, 8, 16, 17, 30]))) for _ in range(150)]
+    sets += [(s | set(rng.sample(pool, rng.randrange(3)))) - set(rng.sample(sorted(s), rng.randrange(len(s) // 4 + 1))) for s in sets]
+    sets = [s for s in sets if s]
+    own = [np.array(sorted(s), np.uint64) for s in sets]
+    packed = S._binary(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+    batch = pa.record_batch([pa.array(range(len(sets))), packed], names=["set", "runs"])
+    known = np.sort(np.array(common, np.uint64))
+    told = type("Told", (), {"value": (known, np.arange(len(known), 0, -1))})
+    rows = [r for b in S._rarest(iter([batch.slice(0, 7), batch.slice(7), batch.slice(0, 0)]), 75, told) for r in b.to_pylist()]
+    parts = {r["set"]: {p & (1 << 64) - 1 for p in r["parts"]} for r in rows}
+    assert len(rows) == len(sets) == len(parts)
+    rank = dict(zip(known.tolist(), range(len(known), 0, -1)))
+    for s, mine in zip(sets, (parts[i] for i in range(len(sets)))):
+        in_order = sorted(s, key=lambda x: (rank.get(x, 0), x))
+        assert mine == set(in_order[: len(s) - -(-75 * len(s) // 100) + 1])
+    alike = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= 75 * len(x | y)]
+    assert len(alike) > 50 and all(parts[i] & parts[j] for i, j in alike)
+
+
+def test_long_lists_are_compared_by_the_parts_that_they_share(spark, monkeypatch):
+    """Entries that are alike in nothing but their token are not compared with each other once more."""
+    import deskloom.llm.linking as L
+
+    monkeypatch.setattr(L, "BLOCK", 50)
+    long, short = [*range(1, 301), 1000], [*range(2001, 2041), 3000]
+    rows = [(t, s, s, 20, False, len(own), (0, own[-1], own[-1], 20)) for t, own in ((5, long), (6, short)) for s in own]
+    lists = spark.createDataFrame(rows, "token long, set long, source long, size int, again boolean, n long, lead struct<rank:int,set:long,source:long,size:int>")
+    linked, judged, asked = {(10, 20), (20, 30), (100, 200), (2001, 2002)}, [], []
+
+    def parts(sets):
+        asked.extend(r["set"] for r in sets.collect())
+        rows = [(s, [s, *[1000 + a + b for a, b in linked if s in (a, b)]]) for s in asked]
+        return spark.createDataFrame(rows, "set long, parts array<long>")
+
+    def link(pairs):
+        judged.append({tuple(r) for r in pairs.collect()})
+        return spark.createDataFrame([p for p in judged[-1] if p in linked], "a long, b long")
+
+    def near(entries):  # nobody of a long list, and all of a short one, finds somebody to ask
+        return entries.where("token = 6 and set < 2040").select("token", "set", F.lit(2040).cast("long").alias("other"))
+
+    labels = L.linked_components(lists, lambda a, b: f"{a}source <> {b}source", lambda p: p, [], link, near=near, parts=parts)
+    assert {r["node"]: r["comp"] for r in labels.collect()} == {10: 10, 20: 10, 30: 10, 100: 100, 200: 100, 2001: 2001, 2002: 2001}
+    assert set(asked) <= set(long) and {10, 20, 30, 100, 200} <= set(asked)
+    assert {p for p in judged[-1] if p[1] <= 1000} == {p for p in linked if p[1] <= 1000}
+    assert len({p for p in judged[-1] if p[1] > 1000}) == 39 * 38 // 2
+
+
+def test_long_lists_give_the_passages_that_short_ones_give(spark, monkeypatch):
+    """Variants around one passage share a token; in parts of a list they are found as well."""
+    import deskloom.llm.linking as L
+
+    common = plain_words(8)
+    base = [plain_words(20) for _ in range(40)]
+    variants = [[*own[: (n := RNG.randrange(21))], *plain_words(1), *own[n:]] if i % 3 else plain_words(20) for i, own in enumerate(base)]
+    docs = [(i, " ".join(common + own)) for i, own in enumerate(base + variants)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    found = lambda: sorted(map(tuple, repeated_passages(df).drop("doc_key").collect()))
+    want = found()
+    monkeypatch.setattr(L, "BLOCK", 4)
+    assert found() == want and len(want) > 5
+
+
+def test_rows_that_come_again_change_nothing(spark):
+    """A repeated row is one document, in one task and in several."""
+    passage = " ".join(plain_words(60))
+    docs = [(1, passage), (2, passage), (None, passage), (4, " ".join(plain_words(60)))]
+    once = spark.createDataFrame(docs, "doc_id int, text string")
+    again = spark.createDataFrame(docs * 6, "doc_id int, text string").repartition(5)
+    found = lambda df: sorted(map(str, repeated_passages(df).collect()))
+    assert found(again) == found(once) and len(found(once)) == 3
