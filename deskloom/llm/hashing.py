@@ -62,9 +62,10 @@ def segments(data: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarr
     lengths = np.diff(np.append(starts, len(data)))
     longest = int(lengths.max())
     factor = _BYTE_WEIGHTS if longest <= len(_BYTE_WEIGHTS) else weights(longest, 1)
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    value = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * factor[place]
-    value[~keep[starts[0] :]] = 0
+    ends = np.cumsum(lengths)
+    place = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
+    value = factor[place]
+    value *= (data[starts[0] :] + keep[starts[0] :].astype(np.uint16)) * keep[starts[0] :]  # bytes that are not kept count as 0
     return mix(np.add.reduceat(value, starts - starts[0]))
 
 

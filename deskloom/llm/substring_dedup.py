@@ -119,7 +119,8 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, k: int, over_l
     tails = offsets[1:][np.diff(offsets) > 0] - 1
     final[tails] = inside[tails]
     ends = np.flatnonzero(final) + 1
-    line = np.cumsum(data == 10)[starts] + document * (1 + int((data == 10).sum()))
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts) + document * (1 + len(breaks))  # no word begins at a line's end
     marked = np.ones(n, bool)
     marked[1:] = _sentence_ends(data, starts[:-1], ends[:-1]) | (document[1:] != document[:-1])
     marked |= _picked(hashes, document, marked, BREAK)
@@ -279,11 +280,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
         batch = batch.filter(pa.array(fresh, pa.bool_()))
         for row, _, data, offsets in H.slices(batch, "text"):
             found = paragraphs(data, offsets, least, k, over_lines=True)
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            base = chars[offsets[found["document"]]]
+            behind = np.flatnonzero((data & 0xC0) == 0x80)  # bytes of a character but its first
+            first = offsets[found["document"]]
+            start, end = (found[c] - first - np.searchsorted(behind, found[c]) + np.searchsorted(behind, first) for c in ("start", "end"))
             yield pa.record_batch([
                 *[batch.column(c).take(pa.array(row + found["document"])) for c in ("doc_id", "doc_key")], pa.array(H.signed(found["digest"])),
-                pa.array((chars[found["start"]] - base).astype(np.int32)), pa.array((chars[found["end"]] - base).astype(np.int32)),
+                pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
             ], names=["doc_id", "doc_key", "set", "start", "end"])
 
 
