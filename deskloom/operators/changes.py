@@ -13,7 +13,7 @@ from deskloom.operators.claims import refused_rows
 from deskloom.operators.ingest import too_wide
 from deskloom.operators.numbering import first_per_key
 from deskloom.operators.schema_ops import data_type, key_column, quoted, read_field, write_column
-from deskloom.session import pin
+from deskloom.session import pin, scratch
 
 _TAKEN = "Duplicate entry for column job_order"
 
@@ -76,10 +76,11 @@ def _judged(tickets: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame
     job_order, key = write_column(tickets, "job_order"), key_column(tickets)
     if job_order is None:
         return checked
-    checked = pin(checked.withColumn("_row", F.monotonically_increasing_id()), "checked-edits", split_bytes=4 << 20)
+    checked = pin(checked.withColumn("_row", F.monotonically_increasing_id()), "checked-edits", split_bytes=4 << 20, compression="zstd")
     own = tickets.select(quoted(key).alias(key), clean(quoted(job_order)).alias("job_order"))
-    taken = refused_rows(checked.where(F.col("error").isNull()), own, key, order, "job_order")
-    judged, told = _flag(checked, taken)
+    with scratch(checked.sparkSession, keep=1):  # but for the bitmaps
+        taken = refused_rows(checked.where(F.col("error").isNull()), own, key, order, "job_order")
+        judged, told = _flag(checked, taken)
     error = F.when(F.col("error").isNull() & told, _TAKEN).otherwise(F.col("error"))
     return judged.select(*[F.col(c) for c in checked.columns if c != "error"], error.alias("error"))
 
@@ -148,11 +149,14 @@ def accepted_edits(tickets: DataFrame, edits: DataFrame, order: list[str]) -> Da
     return last.select(F.col(key), F.struct(*[c for c in last.columns if c != key]).alias("edit"))
 
 
-def edited(tickets: DataFrame, last: DataFrame) -> DataFrame:
-    """Tickets with their ``accepted_edits``. Both sides have one row per key, so no key is hot."""
+def edited(tickets: DataFrame, last: DataFrame, beside: list[str] | None = None) -> DataFrame:
+    """Tickets with their ``accepted_edits``. Both sides have one row per key, so no key is hot.
+
+    ``beside`` names columns of both sides that follow from the key.
+    """
     values = _editable(tickets)
     matched = F.col("edit").isNotNull()
-    return tickets.join(last, key_column(tickets), "left").select(
+    return tickets.join(last, [*(beside or []), key_column(tickets)], "left").select(
         *[
             F.when(matched, values[f.name]).otherwise(quoted(f.name)).cast(f.dataType).alias(f.name)
             if f.name in values

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from deskloom.functions.text import folded
 from deskloom.operators.numbering import with_sequence
-from deskloom.session import pin, ship
+from deskloom.session import pin, scratch, ship
 
 #: Rounds over all events, before those that look at what has changed.
 ROUNDS = 2
@@ -56,23 +56,31 @@ def _events(asks: DataFrame, own: DataFrame, key: str, order: list[str], value:
 
     ``_at`` tells events apart; below zero are the starts. An event that asks for no contested value
     has no ``_name``; of several in a row only the first gives something up. Asks are shuffled once by
-    value and once by key.
+    value, once by key and once by time, and written in between, so that one shuffle lies on the disks at a time.
     """
-    names = pin(_contested(asks, own, key, value), "contested")
-    wanted = _named(asks, names, value).withColumn("_own", F.lit(False))
-    held = _named(own, names, value).withColumn("_own", F.lit(True))
-    rows = wanted.unionByName(held, allowMissingColumns=True).where(F.col(key).isNotNull())
+    in_order = [F.desc("_own"), *[F.asc(c) for c in (*order, key, "_turn")]]
+    with scratch(asks.sparkSession, keep=1):
+        names = pin(_contested(asks, own, key, value), "contested")
+        wanted = _named(asks, names, value).withColumn("_own", F.lit(False))
+        held = _named(own, names, value).withColumn("_own", F.lit(True))
+        rows = wanted.unionByName(held, allowMissingColumns=True).where(F.col(key).isNotNull())
+        with scratch(asks.sparkSession, keep=1):
+            played = pin(_played(pin(rows, "named-claims", compression="zstd"), key, order, value), "played-claims", compression="zstd")
+        ranged = played.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+        slots = pin(ranged.select(key, "_name", "_row", "_own", F.monotonically_increasing_id().alias("_slot")), "claims")
+    return with_sequence(slots, [], "_at").withColumn("_at", F.when(F.col("_own"), -F.col("_at")).otherwise(F.col("_at"))).drop("_own")
+
+
+def _played(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """The rows of keys that the table has and that have or ask for a contested value, but for those that change nothing;
+    ``_turn`` is their place among the rows of their key."""
     alike = Window.partitionBy(key)
     turns = alike.orderBy(F.desc("_own"), *order, value)
     earlier = F.lag(F.when(~F.col("_own"), F.struct("_name"))).over(turns)
     known, plays = F.max("_own").over(alike), F.max(F.col("_name").isNotNull()).over(alike)
     rows = rows.withColumns({"_known": known, "_plays": plays, "_turn": F.row_number().over(turns), "_earlier": earlier})
     idle = F.col("_name").isNull() & (F.col("_own") | F.coalesce(F.col("_earlier").isNotNull() & F.col("_earlier._name").isNull(), F.lit(False)))
-    played = rows.where(F.col("_known") & F.col("_plays") & ~idle)
-    in_order = [F.desc("_own"), *[F.asc(c) for c in (*order, key, "_turn")]]
-    ranged = played.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
-    slots = pin(ranged.select(key, "_name", "_row", "_own", F.monotonically_increasing_id().alias("_slot")), "claims")
-    return with_sequence(slots, [], "_at").withColumn("_at", F.when(F.col("_own"), -F.col("_at")).otherwise(F.col("_at"))).drop("_own")
+    return rows.where(F.col("_known") & F.col("_plays") & ~idle).select(key, *order, "_name", "_row", "_own", "_turn")
 
 
 def _leaves(events: DataFrame, key: str) -> DataFrame:

@@ -11,21 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.operators.changes import accepted_edits, apply_deletes, edited
+from deskloom.operators.changes import accepted_edits, edited
 from deskloom.operators.schema_ops import key_column, quoted
-from deskloom.session import pin
+from deskloom.session import drop, freeing, pin, scratch
 
 #: Ticket numbers of a range.
 WIDTH = 1_000_000
 RANGE = "key_range"
+#: The most ticket numbers that one task rewrites for a range, into one file.
+SLICE = 250_000
+_PLACE = [RANGE, "_slice"]
 
 
 def _range_of(key: str, width: int) -> Column:
     return F.floor(quoted(key) / width).cast("bigint")
 
 
+def _placed(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """Rows with their range, dealt out by range and slice: tables that are dealt out alike can be joined in place."""
+    slices = F.floor(quoted(key) / min(width, SLICE)).cast("bigint")
+    return rows.withColumns({RANGE: _range_of(key, width), "_slice": slices}).repartition(*_PLACE)
+
+
 def _store(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(path)
+    with freeing(rows.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):  # so that ``_placed`` rows stay where they are
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(path)
 
 
 def write_ranged(tickets: DataFrame, path: str, width: int = WIDTH) -> None:
@@ -46,6 +56,7 @@ def _touched(keys: DataFrame, key: str, width: int) -> list[int]:
 def _replace(stored: DataFrame, path: str, touched: list[int], new: DataFrame) -> None:
     """Replace the touched ranges by ``new``, written once; ranges without any row left are removed.
 
+    ``new`` comes ``_placed``, so a range is one file per slice, however many tasks there are.
     Spark puts new rows beside the table until all are complete, so ``new`` may read the table itself.
     """
     spark, before = stored.sparkSession, set(stored.inputFiles())
@@ -53,21 +64,22 @@ def _replace(stored: DataFrame, path: str, touched: list[int], new: DataFrame) -
     written = {f.rsplit(f"/{RANGE}=", 1)[1].split("/")[0] for f in spark.read.parquet(path).inputFiles() if f not in before}
     for number in touched:
         if str(number) not in written:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RANGE}={number}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            drop(spark, f"{path}/{RANGE}={number}")
 
 
 def update_ranged(spark: SparkSession, path: str, edits: DataFrame, order: list[str], width: int = WIDTH) -> list[int]:
     """Apply the last accepted edit of each ticket; the ranges that were rewritten."""
     stored = spark.read.parquet(path)
     tickets, key = stored.drop(RANGE), key_column(stored)
-    last = pin(accepted_edits(tickets, edits, order), "last-edits")
-    known = last.join(tickets.select(quoted(key)), key, "left_semi")
-    touched = _touched(known, key, width)
-    if touched:
-        part = stored.where(F.col(RANGE).isin(touched))
-        new = edited(part.drop(RANGE), last).withColumn(RANGE, _range_of(key, width))
-        _replace(stored, path, touched, new)
+    with scratch(spark):
+        with scratch(spark, keep=1):  # the edits and claims go before the ranges are written
+            last = pin(accepted_edits(tickets, edits, order), "last-edits")
+        known = last.join(tickets.select(quoted(key)), key, "left_semi")
+        touched = _touched(known, key, width)
+        if touched:
+            part = _placed(stored.where(F.col(RANGE).isin(touched)).drop(RANGE), key, width)
+            new = edited(part, _placed(last, key, width), _PLACE).drop("_slice")
+            _replace(stored, path, touched, new)
     return touched
 
 
@@ -77,5 +89,7 @@ def delete_ranged(spark: SparkSession, path: str, keys: DataFrame, width: int =
     key = key_column(stored)
     touched = _touched(keys.join(stored.select(quoted(key)), key, "left_semi"), key, width)
     if touched:
-        _replace(stored, path, touched, apply_deletes(stored.where(F.col(RANGE).isin(touched)), keys, key))
+        part = _placed(stored.where(F.col(RANGE).isin(touched)).drop(RANGE), key, width)
+        gone = _placed(keys.select(quoted(key)).distinct(), key, width)
+        _replace(stored, path, touched, part.join(gone, [*_PLACE, key], "left_anti").drop("_slice"))
     return touched

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deskloom.operators import changes as C
 from deskloom.operators import ranged as RG
+from deskloom.session import freeing, pin, scratch, shared_dir
 
 EDITABLE = ("store_name", "contact_number", "email", "subject", "job_order", "reported_concern", "assigned_to", "status", "service_done", "labor_fee")
 
@@ -84,3 +85,60 @@ def test_touched_rows_are_written_once(spark, tickets, tmp_path, monkeypatch):
     assert pinned == ["last-edits"]
     assert by_range(files(path)) == set(range(2, 11)) and RG.read_ranged(spark, path).count() == 750
     assert RG.delete_ranged(spark, path, tickets.select("ticket_no"), width=100) == list(range(2, 11)) and files(path) == {}
+
+
+def test_a_rewritten_range_is_one_file_however_many_tasks_there_are(spark, tickets, tmp_path, monkeypatch):
+    path, inside = str(tmp_path / "entries"), RG.SLICE
+    RG.write_ranged(tickets, path, width=100)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edits = edits_of(spark, [(i, 1, f"new {i}", f"JO-new-{i}") for i in range(1, 1001, 3)])
+        assert RG.update_ranged(spark, path, edits, ["seq"], width=100) == list(range(11))
+        assert len(files(path)) == 11 and same(RG.read_ranged(spark, path), C.apply_updates(tickets, edits, ["seq"]))
+        keys = tickets.where("ticket_no % 7 = 0").select("ticket_no")
+        assert RG.delete_ranged(spark, path, keys, width=100) == list(range(10))
+        want = C.apply_deletes(C.apply_updates(tickets, edits, ["seq"]), keys, "ticket_no")
+        assert len(files(path)) == 11 and same(RG.read_ranged(spark, path), want)
+        monkeypatch.setattr(RG, "SLICE", 30)
+        assert RG.delete_ranged(spark, path, tickets.where("ticket_no = 150").select("ticket_no"), width=100) == [1]
+        per_range = [f.split("key_range=")[1].split("/")[0] for f in files(path)]
+        assert 1 < per_range.count("1") <= 4 and same(RG.read_ranged(spark, path), want.where("ticket_no <> 150"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert inside >= 100_000
+
+
+def test_a_batch_leaves_only_its_table_behind(spark, tickets, tmp_path):
+    path = str(tmp_path / "entries")
+    RG.write_ranged(tickets, path, width=100)
+    top = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    edits = edits_of(spark, [(150, 1, "new", "jo-0900"), (900, 2, "b", "x"), (450, 3, "c", "JO-0900")])
+    assert RG.update_ranged(spark, path, edits, ["seq"], width=100) == [4, 9]
+    assert set(os.listdir(top)) == before
+    assert same(RG.read_ranged(spark, path), C.apply_updates(tickets, edits, ["seq"]))
+
+
+def test_written_jobs_free_their_shuffle_files_and_blocks_their_tables(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, other = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    with freeing(spark, spark__sql__shuffle__partitions="3"):
+        assert spark.conf.get(key) == "true" and spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get(key) == before and spark.conf.get("spark.sql.shuffle.partitions") == other
+    with scratch(spark):
+        with scratch(spark, keep=1):
+            first = pin(spark.range(5), "first")
+            second = pin(first.selectExpr("id + 1 as id"), "second", compression="zstd")
+        gone, there = (os.path.exists(t.inputFiles()[0].removeprefix("file://")) for t in (first, second))
+        assert (gone, there) == (False, True) and second.count() == 5
+        path = second.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark, keep=1):
+            path = pin(spark.range(5), "third").inputFiles()[0].removeprefix("file://")
+            raise ZeroDivisionError
+    assert not os.path.exists(path)
